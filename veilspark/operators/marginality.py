@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.cells import normalise
 from veilspark.functions.distance import ancestor_distance, semantic_from_sizes, similarity_from_depths
 from veilspark.operators.taxonomy import (
-    Taxonomy, leaf_domain, node_table, semantic_distance, similarity_distance,
+    Taxonomy, leaf_domain, semantic_distance, similarity_distance,
 )
 
 # Marginalities are rounded here before values are compared, so that equal sums tie.
@@ -47,7 +47,7 @@ def marginality(
     in each group: those of the sample, the ``domain``, all ``leaves``, or all ``nodes``.
     """
     by = by or []
-    table = node_table(tax)
+    table = tax.nodes
     sample = tax.hint(table.select(
         F.col("node").alias("value"), F.col("ancestors").alias("up_b"), F.col("size").alias("size_b"),
         F.col("depth").alias("depth_b"), F.col("single").alias("single_b")))
@@ -162,7 +162,7 @@ def boundary(tax: Taxonomy) -> DataFrame:
     margins = marginality_domain(tax)
     top = margins.agg(
         F.min_by("value", F.struct(-F.round("marginality", TIE_DIGITS), F.col("leaf_ord"))).alias("origin"))
-    bottom = _farthest(tax, margins, top)
+    bottom = _farthest(tax, leaf_domain(tax).withColumnRenamed("leaf", "value"), top)
     return bottom.join(top).select(
         F.col("value").alias("bottom"), F.col("origin").alias("top"), "distance")
 
@@ -170,9 +170,10 @@ def boundary(tax: Taxonomy) -> DataFrame:
 def boundary_from_mean(df: DataFrame, col: str, tax: Taxonomy) -> DataFrame:
     """``mean`` of the column, the leaf farthest from it, and the leaf farthest from that."""
     margins = marginality_sample(df, col, tax, targets="leaves")
+    leaves = tax.nodes.filter("is_leaf").select(F.col("node").alias("value"), "leaf_ord")
     mean = _least(margins, []).withColumnRenamed("mean", "origin")
-    bound1 = _farthest(tax, margins, mean).select(F.col("value").alias("origin"))
-    bound2 = _farthest(tax, margins, bound1)
+    bound1 = _farthest(tax, leaves, mean).select(F.col("value").alias("origin"))
+    bound2 = _farthest(tax, leaves, bound1)
     return (
         mean.withColumnRenamed("origin", "mean")
         .join(bound1.withColumnRenamed("origin", "bound1"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.cells import cell_text, grid_leaves
 from veilspark.functions.distance import ancestor_distance, cell_distance, numeric_distance
 from veilspark.operators.classes import all_suppressed, equivalence_classes
-from veilspark.operators.taxonomy import node_facts, node_table
+from veilspark.operators.taxonomy import node_facts
 from veilspark.runtime import small
 from veilspark.spec import QI, STAR
 
@@ -214,7 +214,7 @@ def sse(raw: DataFrame, anon: DataFrame, qis: list[QI], by: list[str] | None = N
         ])).alias("_c")
         counts = both.select(*by, cells).select(*by, "_c.*").groupBy(*by, "attr", "a", "b").agg(
             F.count(F.lit(1)).alias("n"))
-        tables = [node_table(q.tax).select(F.lit(q.name).alias("attr"), "node", "ancestors",
+        tables = [q.tax.nodes.select(F.lit(q.name).alias("attr"), "node", "ancestors",
                                            F.lit(q.span).alias("span")) for q in categories]
         table = reduce(DataFrame.unionByName, tables)
         rows = sum(q.tax.facts["rows"] for q in categories)

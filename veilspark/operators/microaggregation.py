@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 
 from veilspark.functions.cells import cell_text
 from veilspark.functions.distance import ancestor_distance, cell_distance, numeric_distance
-from veilspark.operators.taxonomy import node_table
 from veilspark.runtime import materialise, ordered_positions, positions_within, shuffle_partitions
 from veilspark.sources.tables import fingerprint, load_clusters, save_clusters
 from veilspark.spec import QI, names
@@ -73,9 +72,9 @@ def with_squared_terms(df: DataFrame, qis: list[QI], points: dict[str, list], ou
     cols = []
     for q in qis:
         if q.is_category:
-            table = q.tax.hint(node_table(q.tax).select(F.col("node").alias(q.name), F.col("ancestors").alias("_up")))
+            table = q.tax.hint(q.tax.nodes.select(F.col("node").alias(q.name), F.col("ancestors").alias("_up")))
             # the points are few: look their ancestor sets up once, on the driver
-            ups = {r["node"]: r["ancestors"] for r in node_table(q.tax)
+            ups = {r["node"]: r["ancestors"] for r in q.tax.nodes
                    .filter(F.col("node").isin(points[q.name])).select("node", "ancestors").collect()}
             df = df.join(table, q.name, "left")
             each = []
@@ -248,7 +247,7 @@ def _batch_runs(vectors: DataFrame, batch: list[tuple[int, ...]], k: int, m: int
             "take": np.concatenate(out_take)})
 
     # one task on purpose: at most BATCH_ROWS vectors, see _batch_size
-    return candidates.groupBy(F.lit(0)).applyInPandas(resolve, "vec string, cluster_id bigint, take bigint")
+    return candidates.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(resolve, "vec string, cluster_id bigint, take bigint")
 
 
 def _assign_rows(rows: DataFrame, runs: DataFrame, rid: str, k: int, last: int) -> DataFrame:

@@ -10,7 +10,7 @@ from veilspark.operators.marginality import (
     TIE_DIGITS, boundary_from_mean, categorical_mean, distance_variance, marginality_sample, normalised,
 )
 from veilspark.operators.ranks import nearest_numeric
-from veilspark.operators.taxonomy import Taxonomy, node_table, similarity_distance
+from veilspark.operators.taxonomy import Taxonomy, similarity_distance
 from veilspark.runtime import BROADCAST_ROWS, small
 
 # Noise below this size leaves a value unchanged.
@@ -63,7 +63,7 @@ def marginality_noise(df: DataFrame, col: str, tax: Taxonomy, level: float, seed
 def _value_options(df: DataFrame, col: str, tax: Taxonomy, mean: DataFrame) -> DataFrame:
     """For every value of the column: its distance to the mean, and all leaves with their distance
     to the value and to the mean."""
-    leaves = node_table(tax).filter("is_leaf").select(F.col("node").alias("leaf"), "leaf_ord")
+    leaves = tax.nodes.filter("is_leaf").select(F.col("node").alias("leaf"), "leaf_ord")
     values = df.select(F.col(col).alias("value")).distinct()
     table = similarity_distance(values.join(tax.hint(leaves)), "value", "leaf", tax, "d")
     of_mean = similarity_distance(leaves.join(F.broadcast(mean)), "leaf", "mean", tax, "dm")

@@ -73,6 +73,11 @@ class Taxonomy:
         """Broadcast a table derived from this closure when the closure is small."""
         return small(df, self.facts["rows"])
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """Node table of this taxonomy, kept for the many lookups of one plan."""
+        return node_table(self).cache()
+
     @cached_property
     def boundary(self) -> Boundary:
         from veilspark.operators.marginality import boundary
@@ -142,16 +147,11 @@ def node_facts(tax: Taxonomy) -> DataFrame:
 
 
 def value_paths(tax: Taxonomy) -> DataFrame:
-    """For every node value, an array of its generalisation at levels 0..height.
-
-    Below its own level a value stays as it is.
-    """
-    first = (
-        tax.closure.filter("path_id = 0")
-        .groupBy("leaf", "leaf_ord")
-        .agg(F.map_from_entries(F.collect_list(F.struct("level", "node"))).alias("_at"),
-             F.min("level").alias("_own"))
-    )
+    """For every leaf value, an array over levels 0..height of its generalisation ``node`` and the
+    ``share`` of the domain it covers. Below its own level a value stays as it is."""
+    step = F.struct("level", F.struct("node", (F.col("n_leaves") / F.lit(tax.domain_size)).alias("share")))
+    first = tax.closure.filter("path_id = 0").groupBy("leaf").agg(
+        F.map_from_entries(F.collect_list(step)).alias("_at"), F.min("level").alias("_own"))
     levels = F.sequence(F.lit(0), F.lit(tax.height))
     return first.select(
         F.col("leaf").alias("value"),
@@ -169,7 +169,7 @@ def at_level(tax: Taxonomy, level: int) -> DataFrame:
 
 
 def _node_pairs(tax: Taxonomy, nodes: str) -> DataFrame:
-    table = node_table(tax)
+    table = tax.nodes
     if nodes == "leaf":
         table = table.join(leaf_domain(tax).select(F.col("leaf").alias("node")), "node", "left_semi")
     elif nodes != "all":
@@ -191,7 +191,7 @@ def _node_pairs(tax: Taxonomy, nodes: str) -> DataFrame:
 
 def lcs(tax: Taxonomy, nodes: str = "leaf") -> DataFrame:
     """Deepest common ancestor of every pair; its height is measured on its own first path."""
-    depth = tax.hint(node_table(tax).select(F.col("node").alias("lcs"), F.col("depth").alias("lcs_depth")))
+    depth = tax.hint(tax.nodes.select(F.col("node").alias("lcs"), F.col("depth").alias("lcs_depth")))
     common = F.explode(F.array_intersect("ancestors_a", "ancestors_b")).alias("lcs")
     return (
         _node_pairs(tax, nodes)
@@ -219,7 +219,7 @@ def distance_matrix(tax: Taxonomy, nodes: str = "leaf", dist: str = "semantic")
 
 def semantic_distance(df: DataFrame, a: str, b: str, tax: Taxonomy, out: str = "distance") -> DataFrame:
     """Log distance of two value columns, by looking up both ancestor sets."""
-    table = node_table(tax)
+    table = tax.nodes
     side = lambda c: tax.hint(table.select(F.col("node").alias(c), F.col("ancestors").alias(f"_{c}_up")))
     return (
         df.join(side(a), a).join(side(b), b)
@@ -230,7 +230,7 @@ def semantic_distance(df: DataFrame, a: str, b: str, tax: Taxonomy, out: str = "
 
 def similarity_distance(df: DataFrame, a: str, b: str, tax: Taxonomy, out: str = "distance") -> DataFrame:
     """Path distance of two value columns."""
-    table = node_table(tax)
+    table = tax.nodes
     # common ancestors are few: carry (depth, node) structs so the deepest needs no extra join
     depths = tax.hint(table.select(F.col("node").alias("_anc"), F.col("depth").alias("_anc_depth")))
     ups = (
@@ -249,7 +249,7 @@ def similarity_distance(df: DataFrame, a: str, b: str, tax: Taxonomy, out: str =
 
 def covers(df: DataFrame, value: str, node: str, tax: Taxonomy, out: str = "covered") -> DataFrame:
     """Whether the node is the value itself or one of its ancestors."""
-    up = node_table(tax).select(F.col("node").alias(value), F.col("ancestors").alias("_up"))
+    up = tax.nodes.select(F.col("node").alias(value), F.col("ancestors").alias("_up"))
     return (
         df.join(tax.hint(up), value, "left")
         .withColumn(out, F.coalesce(F.array_contains("_up", F.col(node)), F.col(node) == STAR, F.lit(False)))
