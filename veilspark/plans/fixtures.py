@@ -148,3 +148,31 @@ def mixed_qi(spark: SparkSession, sf: str) -> DataFrame:
         c.alias("rid"), F.col("c_nationkey").cast("bigint").alias("cluster_id"),
         F.when(ranged, F.lit(TEMPERATURE_RANGE)).otherwise(
             number_text(F.lit(35.0) + (c * 37 % 71) / 10, 1)).alias("temperature"))
+
+
+def masked_qi(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with shifted nations, some merged segments, and displaced balances."""
+    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("nation")))
+    c = F.col("c_custkey")
+    moved = table(spark, sf, "customer").withColumn("_k", (F.col("c_nationkey") + c % 3) % 25)
+    shifted = F.col("c_acctbal") + (c * 7919 % 2001) - 1000
+    return moved.join(nation, F.col("_k") == F.col("n_nationkey")).select(
+        c.alias("rid"), F.when(c % 4 == 0, F.lit("MACHINERY")).otherwise(F.col("c_mktsegment")).alias("segment"),
+        "nation", F.least(F.greatest(F.round(shifted, 2), F.lit(-1000.0)), F.lit(10000.0)).alias("acctbal"))
+
+
+def sample_releases(spark: SparkSession, sf: str) -> DataFrame:
+    """Two parameter values, two iterations each: generalised customers, some fully suppressed."""
+    from veilspark.operators.classes import generalise_all
+    from veilspark.sources.tables import attach_grid
+    from veilspark.spec import STAR
+
+    df, qis = customer_qi(spark, sf), customer_qis(spark, sf)
+    parts = [
+        attach_grid(generalise_all(df, qis, levels), param=[param], iteration=[1, 2])
+        for param, levels in ((1.0, [0, 0, 1]), (2.0, [1, 1, 1]))
+    ]
+    gone = (F.col("rid") + F.col("iteration")) % 10 < F.col("param")
+    cell = lambda c: F.when(gone, F.lit(STAR)).otherwise(F.col(c)).alias(c)
+    return parts[0].unionByName(parts[1]).select(
+        F.lit("flat").alias("model"), "param", "iteration", "rid", cell("segment"), cell("nation"), cell("acctbal"))
