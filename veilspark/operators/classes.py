@@ -28,7 +28,7 @@ def generalise(df: DataFrame, qi: QI, level: int) -> DataFrame:
     if level == 0:
         return df.withColumn(qi.name, F.col(qi.name).cast("string"))
     nodes = at_level(qi.tax, level).select(F.col("leaf").alias(qi.name), F.col("node").alias("_node"))
-    out = df.join(qi.tax.hint(nodes), qi.name, "left")
+    out = qi.tax.lookup(df, nodes, qi.name, "left")
     known = F.when(F.col(qi.name).isNotNull(), F.coalesce("_node", F.lit(STAR)))
     return out.withColumn(qi.name, known).drop("_node").select(*df.columns)
 

@@ -66,8 +66,8 @@ def _with_paths(freq: DataFrame, qis: list[QI]) -> DataFrame:
     for j, q in enumerate(qis):
         name = f"p{j}"
         if q.is_category:
-            table = q.tax.hint(value_paths(q.tax).select(F.col("value").alias(q.name), F.col("path").alias(name)))
-            out = out.join(table, q.name, "left")
+            table = value_paths(q.tax).select(F.col("value").alias(q.name), F.col("path").alias(name))
+            out = q.tax.lookup(out, table, q.name, "left")
             gone = F.struct(F.lit(STAR).alias("node"), F.lit(1.0).alias("share"))
             missing = F.array(*[gone for _ in range(q.top_level + 1)])
             out = out.withColumn(name, F.coalesce(name, missing))

@@ -52,10 +52,11 @@ class _Grid:
         self.p = min(m, 2)
 
     def start(self) -> int:
-        """Smallest width whose cells are expected to hold a couple of vectors."""
+        """Smallest width whose cells, over all attributes, are expected to hold a couple of
+        vectors: about the distance at which a record finds its neighbour."""
         width = 1
         while width < self.rows:
-            cells = math.prod(min(math.ceil(self.rows / width), self.distinct[j]) for j in self.order[:self.p])
+            cells = math.prod(min(math.ceil(self.rows / width), d) for d in self.distinct)
             if self.rows >= 2 * cells:
                 break
             width *= 2
@@ -125,28 +126,28 @@ def closest_records(orig: DataFrame, mapped: DataFrame, qis: list[QI], by: list[
         x = x.join(F.broadcast(z_rows.select(*by).distinct()))
     rows = x_rows.count()
     grid = _Grid(z, m, rows)
-    found, waiting, width = [], materialise(x), 0
+    found, matched, waiting, width = [], [], materialise(x), 0
     while True:
         pairs = _neighbours(waiting, z, m, by, grid.axes(width, by) if width else [], width)
-        near = pairs.groupBy(*by, "xid", "d").agg(
-            F.sum("cnt").alias("n"), *([F.collect_set("zid").alias("zids")] if expand else []))
-        extra = ["zids"] if expand else []
-        best = materialise(near.groupBy(*by, "xid").agg(
-            F.min(F.struct("d", "n", *extra)).alias("_b")).select(*by, "xid", "_b.*"))
+        near = pairs.groupBy(*by, "xid", "d").agg(F.sum("cnt").alias("n"))
+        best = materialise(near.groupBy(*by, "xid").agg(F.min(F.struct("d", "n")).alias("_b")).select(*by, "xid", "_b.*"))
         found.append(best)
+        if expand:
+            matched.append(pairs.join(best.select(*by, "xid", "d"), [*by, "xid", "d"]).select(*by, "xid", "d", "zid"))
         if width >= rows:
             break
         waiting = materialise(waiting.join(best.select(*by, "xid"), [*by, "xid"], "left_anti"))
         if waiting.isEmpty():
             break
         width = grid.start() if width == 0 else width * GROWTH
-    best = reduce(DataFrame.unionByName, found)
-    per_row = x_rows.select(rid, "xid").join(best, "xid")
     if not expand:
-        return per_row.select(*by, rid, F.col("d").alias("distance"), F.col("n").alias("n_closest"))
+        best = reduce(DataFrame.unionByName, found)
+        return x_rows.select(rid, "xid").join(best, "xid").select(
+            *by, rid, F.col("d").alias("distance"), F.col("n").alias("n_closest"))
+    pairs = reduce(DataFrame.unionByName, matched)
     matches = z_rows.select(*by, "zid", F.col(rid).alias("match_rid"))
-    return per_row.select(*by, rid, F.col("d").alias("distance"), F.explode("zids").alias("zid")).join(
-        matches, [*by, "zid"]).drop("zid")
+    return x_rows.select(rid, "xid").join(pairs, "xid").join(matches, [*by, "zid"]).select(
+        *by, rid, F.col("d").alias("distance"), "match_rid")
 
 
 def linked_records(orig: DataFrame, anon: DataFrame, qis: list[QI], by: list[str] | None = None,

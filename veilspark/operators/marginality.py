@@ -21,6 +21,7 @@ from veilspark.functions.distance import ancestor_distance, semantic_from_sizes,
 from veilspark.operators.taxonomy import (
     Taxonomy, leaf_domain, semantic_distance, similarity_distance,
 )
+from veilspark.runtime import HOT_SHARE, shuffle_partitions
 
 # Marginalities are rounded here before values are compared, so that equal sums tie.
 TIE_DIGITS = 9
@@ -48,10 +49,10 @@ def marginality(
     """
     by = by or []
     table = tax.nodes
-    sample = tax.hint(table.select(
+    sample = table.select(
         F.col("node").alias("value"), F.col("ancestors").alias("up_b"), F.col("size").alias("size_b"),
-        F.col("depth").alias("depth_b"), F.col("single").alias("single_b")))
-    placed = counts.join(sample, "value")
+        F.col("depth").alias("depth_b"), F.col("single").alias("single_b"))
+    placed = tax.lookup(counts, sample, "value")
     shape = ["size_b", "depth_b", "single_b"]
     below = placed.select(*by, F.explode("up_b").alias("anc"), *shape, "n").groupBy(*by, "anc", *shape).agg(
         F.sum("n").alias("n"))
@@ -68,19 +69,33 @@ def marginality(
         raise ValueError(f"unknown targets {targets!r}")
     goal = goal.drop("is_leaf")
 
-    node_depth = tax.hint(table.select(F.col("node").alias("anc"), F.col("depth").alias("at")))
+    node_depth = table.select(F.col("node").alias("anc"), F.col("depth").alias("at"))
     step = _shared(dist, F.col("at"), "a", "b") - _shared(dist, F.col("at") - 1, "a", "b")
     # where one side has one path, every shared ancestor has one path too
     chained = F.col("single_a") | F.col("single_b")
     facts = ["value", "leaf_ord", "size_a", "depth_a", "single_a"]
     if targets == "sample":
-        goal = counts.select(*by, "value").distinct().join(tax.hint(goal), "value")
-        steps = goal.select(*by, *facts, F.explode("up_a").alias("anc")).join(
-            below, [*by, "anc"])
+        goal = tax.lookup(counts.select(*by, "value").distinct(), goal, "value")
+    up = goal.select(*(by if targets == "sample" else []), *facts, F.explode("up_a").alias("anc"))
+    keys = [*by, "anc"] if targets == "sample" else ["anc"]
+    if tax.is_small:
+        steps = up.join(below, keys) if targets == "sample" else below.join(F.broadcast(up), keys)
     else:
-        steps = below.join(tax.hint(goal.select(*facts, F.explode("up_a").alias("anc"))), "anc")
+        # all values have the root in common: the widest ancestors must not meet in one task
+        wide = F.broadcast(table.filter(F.col("n_leaves") > tax.domain_size // HOT_SHARE).select(F.col("node").alias("anc")))
+        near, hot = below.join(wide, "anc", "left_semi"), up.join(wide, "anc", "left_semi")
+        if by:
+            salts = shuffle_partitions(up.sparkSession)
+            hot = hot.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int"))
+            near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            hot = hot.join(near, [*keys, "_salt"]).drop("_salt")
+        else:
+            # one row per wide ancestor and depth: at most HOT_SHARE ancestors on each level
+            hot = hot.join(F.broadcast(near), keys)
+        cold = up.join(wide, "anc", "left_anti").join(below.join(wide, "anc", "left_anti"), keys)
+        steps = hot.unionByName(cold)
     sums = (
-        steps.join(node_depth, "anc")
+        tax.lookup(steps, node_depth, "anc")
         .groupBy(*by, "value", "leaf_ord")
         .agg(F.sum(F.when(chained, F.col("n") * step).otherwise(0.0)).alias("marginality"))
     )
@@ -125,7 +140,8 @@ def marginality_sample(
     return marginality(value_counts(df, col, by), tax, by, dist, targets)
 
 
-def _least(margins: DataFrame, by: list[str]) -> DataFrame:
+def least_marginal(margins: DataFrame, by: list[str]) -> DataFrame:
+    """The value of least marginality per group; ties go to the first in file order."""
     key = F.struct(F.round("marginality", TIE_DIGITS), "leaf_ord")
     return margins.groupBy(*by).agg(F.min_by("value", key).alias("mean"))
 
@@ -135,7 +151,7 @@ def categorical_mean(
     targets: str = "sample",
 ) -> DataFrame:
     """The value with the least marginality; ties go to the first in file order."""
-    return _least(marginality_sample(df, col, tax, by, dist, targets), by or [])
+    return least_marginal(marginality_sample(df, col, tax, by, dist, targets), by or [])
 
 
 def _farthest(tax: Taxonomy, values: DataFrame, origin: DataFrame) -> DataFrame:
@@ -171,7 +187,7 @@ def boundary_from_mean(df: DataFrame, col: str, tax: Taxonomy) -> DataFrame:
     """``mean`` of the column, the leaf farthest from it, and the leaf farthest from that."""
     margins = marginality_sample(df, col, tax, targets="leaves")
     leaves = tax.nodes.filter("is_leaf").select(F.col("node").alias("value"), "leaf_ord")
-    mean = _least(margins, []).withColumnRenamed("mean", "origin")
+    mean = least_marginal(margins, []).withColumnRenamed("mean", "origin")
     bound1 = _farthest(tax, leaves, mean).select(F.col("value").alias("origin"))
     bound2 = _farthest(tax, leaves, bound1)
     return (

@@ -197,34 +197,34 @@ def sse(raw: DataFrame, anon: DataFrame, qis: list[QI], by: list[str] | None = N
     by = by or []
     raw = raw.select(rid, *[cell_text(F.col(q.name), q).alias(f"_raw_{q.name}") for q in qis])
     both = anon.select(*by, rid, *[F.col(q.name).cast("string").alias(q.name) for q in qis]).join(raw, rid)
+    # one cell per category and one for all numbers of a row
     numbers = [q for q in qis if not q.is_category]
     categories = [q for q in qis if q.is_category]
-    parts = []
+    terms = []
+    for q in numbers:
+        a, b = F.col(f"_raw_{q.name}"), F.col(q.name)
+        d = cell_distance(a, b, numeric_distance(a, b) / F.lit(q.span))
+        terms.append(d * d)
+    text = lambda: F.lit(None).cast("string")
+    cells = [F.struct(F.lit(q.name).alias("attr"), F.col(f"_raw_{q.name}").alias("a"), F.col(q.name).alias("b"),
+                      F.lit(0.0).alias("term")) for q in categories]
     if numbers:
-        terms = []
-        for q in numbers:
-            a, b = F.col(f"_raw_{q.name}"), F.col(q.name)
-            d = cell_distance(a, b, numeric_distance(a, b) / F.lit(q.span))
-            terms.append(d * d)
-        parts.append(both.groupBy(*by).agg(F.sum(reduce(Column.__add__, terms)).alias("_s")))
-    if categories:
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(q.name).alias("attr"), F.col(f"_raw_{q.name}").alias("a"), F.col(q.name).alias("b"))
-            for q in categories
-        ])).alias("_c")
-        counts = both.select(*by, cells).select(*by, "_c.*").groupBy(*by, "attr", "a", "b").agg(
-            F.count(F.lit(1)).alias("n"))
-        tables = [q.tax.nodes.select(F.lit(q.name).alias("attr"), "node", "ancestors",
-                                           F.lit(q.span).alias("span")) for q in categories]
-        table = reduce(DataFrame.unionByName, tables)
-        rows = sum(q.tax.facts["rows"] for q in categories)
-        left = small(table.select("attr", F.col("node").alias("a"), F.col("ancestors").alias("_up_a"), "span"), rows)
-        right = small(table.select("attr", F.col("node").alias("b"), F.col("ancestors").alias("_up_b")), rows)
-        d = cell_distance(F.col("a"), F.col("b"), ancestor_distance(F.col("_up_a"), F.col("_up_b")) / F.col("span"))
-        parts.append(
-            counts.join(left, ["attr", "a"]).join(right, ["attr", "b"])
-            .groupBy(*by).agg(F.sum(F.col("n") * d * d).alias("_s")))
-    return reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.sum("_s").alias("sse"))
+        cells.append(F.struct(text().alias("attr"), text().alias("a"), text().alias("b"),
+                              reduce(Column.__add__, terms).alias("term")))
+    counts = both.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c.*").groupBy(
+        *by, "attr", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("term").alias("term"))
+    if not categories:
+        return counts.groupBy(*by).agg(F.sum("term").alias("sse"))
+    tables = [q.tax.nodes.select(F.lit(q.name).alias("attr"), "node", "ancestors",
+                                 F.lit(q.span).alias("span")) for q in categories]
+    table = reduce(DataFrame.unionByName, tables)
+    rows = sum(q.tax.facts["rows"] for q in categories)
+    left = small(table.select("attr", F.col("node").alias("a"), F.col("ancestors").alias("_up_a"), "span"), rows)
+    right = small(table.select("attr", F.col("node").alias("b"), F.col("ancestors").alias("_up_b")), rows)
+    d = cell_distance(F.col("a"), F.col("b"), ancestor_distance(F.col("_up_a"), F.col("_up_b")) / F.col("span"))
+    squared = F.when(F.col("attr").isNull(), F.col("term")).otherwise(F.col("n") * d * d)
+    return counts.join(left, ["attr", "a"], "left").join(right, ["attr", "b"], "left").groupBy(*by).agg(
+        F.sum(squared).alias("sse"))
 
 
 def score(df: DataFrame, metric: str) -> DataFrame:

@@ -72,11 +72,11 @@ def with_squared_terms(df: DataFrame, qis: list[QI], points: dict[str, list], ou
     cols = []
     for q in qis:
         if q.is_category:
-            table = q.tax.hint(q.tax.nodes.select(F.col("node").alias(q.name), F.col("ancestors").alias("_up")))
+            table = q.tax.nodes.select(F.col("node").alias(q.name), F.col("ancestors").alias("_up"))
             # the points are few: look their ancestor sets up once, on the driver
             ups = {r["node"]: r["ancestors"] for r in q.tax.nodes
                    .filter(F.col("node").isin(points[q.name])).select("node", "ancestors").collect()}
-            df = df.join(table, q.name, "left")
+            df = q.tax.lookup(df, table, q.name, "left")
             each = []
             for p in points[q.name]:
                 d = ancestor_distance(F.col("_up"), F.array(*[F.lit(a) for a in ups[p]])) / F.lit(q.span)
@@ -149,8 +149,8 @@ def _batched(df, qis, k, rid, n) -> DataFrame:
 
     Equal records are interchangeable, so the greedy works on vectors with counts, ordered by
     (distance, vector): a corner takes whole vectors until it has k rows and part of the last one.
-    Corner t of a batch can only lose rows to the t - 1 corners before it, so the vectors that
-    hold its first t * k rows contain everything it may take. One job per batch of corners.
+    The turn t of a batch can only lose rows to the t - 1 turns before it, so the vectors that
+    hold the first t * k rows around its corner contain everything it may take. One job per batch.
     """
     m = len(qis)
     attrs = names(qis)
@@ -164,9 +164,8 @@ def _batched(df, qis, k, rid, n) -> DataFrame:
     taken = []
     done = 0
     while done < steps:
-        size = _batch_size(k, steps - done)
-        batch = corners[done:done + size]
-        runs = materialise(_batch_runs(vectors, batch, k, m, done))
+        size = _batch_size(corners[done:], k)
+        runs = materialise(_batch_runs(vectors, corners[done:done + size], k, m, done))
         taken.append(runs)
         done += size
         used = runs.groupBy("vec").agg(F.sum("take").alias("_used"))
@@ -183,71 +182,97 @@ def _batched(df, qis, k, rid, n) -> DataFrame:
     return _assign_rows(rows, runs, rid, k, steps)
 
 
-def _batch_size(k: int, remaining: int) -> int:
-    size = 1
-    while size < remaining and k * (size + 1) * (size + 2) // 2 <= BATCH_ROWS:
-        size += 1
-    return size
+def _needs(batch: list[tuple[int, ...]], k: int) -> dict[tuple[int, ...], int]:
+    """Rows around each distinct corner that can matter up to its last turn in the batch."""
+    return {corner: (t + 1) * k for t, corner in enumerate(batch)}
+
+
+def _batch_size(corners: list[tuple[int, ...]], k: int) -> int:
+    """Longest batch whose candidates stay below BATCH_ROWS, at least one corner."""
+    need: dict[tuple[int, ...], int] = {}
+    total = 0
+    for t, corner in enumerate(corners):
+        total += (t + 1) * k - need.get(corner, 0)
+        need[corner] = (t + 1) * k
+        if total > BATCH_ROWS and t:
+            return t
+    return len(corners)
+
+
+def _entries(vectors: DataFrame, corners: list[tuple[int, ...]], m: int, extra: list[list]) -> DataFrame:
+    """Every vector once per distinct corner, with its distance ``d`` and two numbers of the corner."""
+    table = F.array(*[
+        F.struct(F.lit(i).alias("c"), F.array(*[F.lit(b) for b in bits]).alias("bits"),
+                 F.lit(float(extra[0][i])).alias("cut"), F.lit(extra[1][i]).alias("need"))
+        for i, bits in enumerate(corners)
+    ])
+    each = vectors.select("vec", "left", "terms", F.explode(table).alias("_c"))
+    return each.select("vec", "left", "_c.c", "_c.cut", "_c.need", _corner_distance(F.col("_c.bits"), m).alias("d"))
+
+
+def _cuts(vectors: DataFrame, corners: list[tuple[int, ...]], needs: list[int], m: int) -> list[float]:
+    """A distance per corner that surely covers the vectors it may take; infinity where that is
+    not worth a look or the estimate falls short."""
+    total = vectors.count()
+    none = [float("inf")] * len(corners)
+    if total * len(corners) <= 4 * BATCH_ROWS:
+        return none
+    # a vector holds at least one row, so ``need`` vectors are always enough
+    grid = [2.0 ** -(j / 2) for j in range(28)]
+    found = {
+        r["c"]: r["q"] for r in _entries(vectors, corners, m, [none, needs]).groupBy("c").agg(
+            F.percentile_approx("d", F.array(*[F.lit(g) for g in grid]), F.lit(10_000)).alias("q")).collect()
+    }
+    cuts = []
+    for c, need in enumerate(needs):
+        enough = [q for g, q in zip(grid, found[c]) if g >= 1.05 * need / total + 0.0003]
+        cuts.append(enough[-1] if enough else float("inf"))
+    got = {
+        r["c"]: r["n"] for r in _entries(vectors, corners, m, [cuts, needs]).filter("d <= cut")
+        .groupBy("c").count().withColumnRenamed("count", "n").collect()
+    }
+    return [cut if got.get(c, 0) >= min(needs[c], total) else float("inf") for c, cut in enumerate(cuts)]
 
 
 def _batch_runs(vectors: DataFrame, batch: list[tuple[int, ...]], k: int, m: int, first: int) -> DataFrame:
     """(vec, cluster_id, take): how many rows of each vector go to each corner of the batch."""
-    need = [(t + 1) * k for t in range(len(batch))]
-    distances = [_corner_distance(F.array(*[F.lit(b) for b in c]), m) for c in batch]
-    # a vector holds at least one row: (t + 1) * k vectors are always enough
-    total = vectors.count()
-    shares = [min(1.0, 1.05 * want / total + 0.001) for want in need]
-    cuts = vectors.agg(*[
-        F.percentile_approx(d, F.lit(s), F.lit(10_000)).alias(f"c{t}")
-        for t, (d, s) in enumerate(zip(distances, shares))
-    ]).first()
-    cuts = [float("inf") if s >= 1.0 else cuts[t] for t, s in enumerate(shares)]
-    got = vectors.agg(*[
-        F.count_if(d <= F.lit(float(c))).alias(f"c{t}") for t, (d, c) in enumerate(zip(distances, cuts))
-    ]).first()
-    cuts = [c if got[t] >= min(need[t], total) else float("inf") for t, c in enumerate(cuts)]
-
-    entries = F.array(*[
-        F.when(d <= F.lit(float(c)), F.struct(F.lit(t).alias("t"), d.alias("d")))
-        for t, (d, c) in enumerate(zip(distances, cuts))
-    ])
-    near = (
-        vectors.select("vec", "left", F.explode(F.array_compact(entries)).alias("_e"))
-        .select("vec", "left", "_e.t", "_e.d")
-    )
+    by_corner = _needs(batch, k)
+    corners = list(by_corner)
+    needs = [by_corner[c] for c in corners]
+    turns = [corners.index(c) for c in batch]
+    near = _entries(vectors, corners, m, [_cuts(vectors, corners, needs, m), needs]).filter(F.col("d") <= F.col("cut"))
     # top vectors per corner in two rounds, so a heavily tied corner is not sorted in one task
     slices = shuffle_partitions(vectors.sparkSession)
-    want = (F.col("t") + 1) * k
-    order = ["d", "vec"]
-    sliced = near.withColumn("_slice", F.pmod(F.xxhash64("vec"), F.lit(slices)))
-    for group in (["t", "_slice"], ["t"]):
+    near = near.withColumn("_slice", F.pmod(F.xxhash64("vec"), F.lit(slices)))
+    for group in (["c", "_slice"], ["c"]):
         before = F.sum("left").over(
-            W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-        sliced = sliced.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < want)
-    candidates = sliced.select("t", "d", "vec", "left")
+            W.partitionBy(*group).orderBy("d", "vec").rowsBetween(W.unboundedPreceding, -1))
+        near = near.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < F.col("need"))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "d", "vec"], kind="stable")
+        pdf = pdf.sort_values(["c", "d", "vec"], kind="stable")
         codes, uniques = pd.factorize(pdf["vec"])
         left = np.zeros(len(uniques), dtype=np.int64)
         left[codes] = pdf["left"].to_numpy()
-        out_vec, out_cluster, out_take = [], [], []
-        at = pdf["t"].to_numpy()
-        for t in range(at.max() + 1):
-            mine = codes[np.searchsorted(at, t):np.searchsorted(at, t, side="right")]
+        corner = pdf["c"].to_numpy()
+        queue = {
+            c: codes[np.searchsorted(corner, c):np.searchsorted(corner, c, side="right")] for c in set(turns)
+        }
+        parts = []
+        for t, c in enumerate(turns):
+            mine = queue[c]
+            mine = queue[c] = mine[left[mine] > 0]
             free = left[mine]
             take = np.clip(k - (np.cumsum(free) - free), 0, free)
             hit = take > 0
             left[mine[hit]] -= take[hit]
-            out_vec.append(uniques[mine[hit]])
-            out_cluster.append(np.full(hit.sum(), first + t))
-            out_take.append(take[hit])
-        return pd.DataFrame({
-            "vec": np.concatenate(out_vec), "cluster_id": np.concatenate(out_cluster),
-            "take": np.concatenate(out_take)})
-
-    # one task on purpose: at most BATCH_ROWS vectors, see _batch_size
-    return candidates.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(resolve, "vec string, cluster_id bigint, take bigint")
+            parts.append((uniques[mine[hit]], np.full(hit.sum(), first + t), take[hit]))
+        vec, cluster, take = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({"vec": vec, "cluster_id": cluster, "take": take})
+
+    # one task on purpose: at most BATCH_ROWS candidate vectors, see _batch_size
+    return near.select("c", "d", "vec", "left").withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(
+        resolve, "vec string, cluster_id bigint, take bigint")
 
 
 def _assign_rows(rows: DataFrame, runs: DataFrame, rid: str, k: int, last: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -50,8 +51,31 @@ def text_cells(df: DataFrame, qis: list[QI], by: list[str], rid: str = "rid") ->
     return df.select(*by, rid, cells).select(*by, rid, "_c.a", "_c.value")
 
 
-def _order_keys(counts: DataFrame, qis: list[QI], by: list[str]) -> DataFrame:
+def _bumped(margins: DataFrame, by: list[str]) -> DataFrame:
+    """Equal marginalities made distinct: in value order, one is added until the sum is free.
+
+    Only values with the same fractional part can meet, so these are the groups.
+    """
+    schema = margins.schema
+
+    def free(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value").drop(columns="_part")
+        taken, keys = set(), []
+        for key in pdf["key"]:
+            while round(key, TIE_DIGITS) in taken:
+                key += 1
+            taken.add(round(key, TIE_DIGITS))
+            keys.append(key)
+        return pdf.assign(key=keys)
+
+    part = F.round(F.col("key") - F.floor("key"), TIE_DIGITS) % 1
+    return margins.withColumn("_part", part).groupBy(*by, "_part").applyInPandas(free, schema)
+
+
+def _order_keys(counts: DataFrame, qis: list[QI], by: list[str], ties: str) -> DataFrame:
     """Attach ``tier`` and ``key`` to counted values."""
+    if ties not in ("value", "bump"):
+        raise ValueError("ties must be 'value' or 'bump'")
     text = F.col("value")
     mid = (range_lo(text) + range_hi(text)) / 2
     parts = []
@@ -61,6 +85,8 @@ def _order_keys(counts: DataFrame, qis: list[QI], by: list[str]) -> DataFrame:
         if q.is_category:
             known = marginality(mine.filter(text != STAR).select(*by, "value", "n"), q.tax, by).select(
                 *by, "value", F.round("marginality", TIE_DIGITS).alias("key"))
+            if ties == "bump":
+                known = _bumped(known, by)
             mine = mine.join(q.tax.hint(known) if not by else known, [*by, "value"], "left")
             mine = mine.withColumn("tier", star.otherwise(0))
         elif q.kind == "mixed":
@@ -77,11 +103,17 @@ def _relative(df: DataFrame, by: list[str], pos: str, weight) -> DataFrame:
     return df.join(F.broadcast(base), [*by, "a"]).withColumn(pos, F.col(pos) - F.col("_base")).drop("_base")
 
 
-def value_ranks(df: DataFrame, qis: list[QI], by: list[str] | None = None, rid: str = "rid") -> DataFrame:
-    """Distinct values of every column with the ranks they occupy: ``first_rank..last_rank``."""
+def value_ranks(df: DataFrame, qis: list[QI], by: list[str] | None = None, rid: str = "rid",
+                ties: str = "value") -> DataFrame:
+    """Distinct values of every column with the ranks they occupy: ``first_rank..last_rank``.
+
+    Categories of equal marginality follow their ``value``, or with ``bump`` one is added to the
+    marginality of the later value until no other has it.
+    """
     by = by or []
-    counts = text_cells(df, qis, by, rid).groupBy(*by, "a", "value").agg(F.count(F.lit(1)).alias("n"))
-    keyed = _order_keys(counts, qis, by)
+    # read once per attribute below, so the rows are scanned and counted once only
+    counts = materialise(text_cells(df, qis, by, rid).groupBy(*by, "a", "value").agg(F.count(F.lit(1)).alias("n")))
+    keyed = _order_keys(counts, qis, by, ties)
     placed = ordered_positions(keyed, [*by, "a", *ORDER], "last_rank", "n")
     return _relative(placed, by, "last_rank", F.col("n")).withColumn(
         "first_rank", F.col("last_rank") - F.col("n") + 1)
@@ -124,11 +156,11 @@ def numeric_ranks(df: DataFrame, qi: QI, rid: str = "rid") -> DataFrame:
     return value_ranks(df, [qi], rid=rid).select("value", "first_rank", "last_rank")
 
 
-def categorical_ranks(df: DataFrame, qi: QI, rid: str = "rid") -> DataFrame:
+def categorical_ranks(df: DataFrame, qi: QI, rid: str = "rid", ties: str = "value") -> DataFrame:
     """Rank table of one category: value, first_rank, last_rank."""
     if not qi.is_category:
         raise ValueError(f"{qi.name} is not a category")
-    return value_ranks(df, [qi], rid=rid).select("value", "first_rank", "last_rank")
+    return value_ranks(df, [qi], rid=rid, ties=ties).select("value", "first_rank", "last_rank")
 
 
 def reverse_map_cells(orig: DataFrame, anon: DataFrame, qis: list[QI], by: list[str] | None = None,

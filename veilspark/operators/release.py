@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import is_range, number_text, round_clamp
 from veilspark.functions.noise import fresh_seed, gumbel, laplace, uniform
-from veilspark.operators.marginality import TIE_DIGITS, categorical_mean, marginality_sample
+from veilspark.operators.marginality import categorical_mean, least_marginal, marginality, value_counts
 from veilspark.operators.microaggregation import microaggregate
 from veilspark.runtime import materialise
 from veilspark.sources.tables import attach_grid
@@ -54,14 +54,17 @@ def dp_categorical_centroid(
     The draw is the argmax of the exponent plus Gumbel noise. One call can draw for a whole grid of
     ``eps`` values and iterations over the same marginalities.
     """
+    return _dp_centroid(value_counts(df, qi.name, by), qi, eps, n, k, seed, by, iterations)
+
+
+def _dp_centroid(counts, qi, eps, n, k, seed, by, iterations=None) -> DataFrame:
     single = not isinstance(eps, list)
-    margins = marginality_sample(df, qi.name, qi.tax, by, targets="domain")
+    margins = marginality(counts, qi.tax, by, targets="domain")
     grid = attach_grid(margins, eps=[float(eps)] if single else eps, iteration=iterations or [1])
-    keys = [*by, "eps", "iteration"]
     logit = -F.col("eps") * F.col("marginality") / F.lit(2 * (n / k) * qi.span)
     u = uniform(seed, "centroid", qi.name, F.col("eps"), F.col("iteration"),
                 *[F.col(b) for b in by], F.col("value"))
-    out = grid.groupBy(*keys).agg(F.max_by("value", logit + gumbel(u)).alias("centroid"))
+    out = grid.groupBy(*by, "eps", "iteration").agg(F.max_by("value", logit + gumbel(u)).alias("centroid"))
     return out.drop("eps", "iteration") if single else out
 
 
@@ -71,26 +74,37 @@ def centroid_table(
     rid: str = "rid",
 ) -> DataFrame:
     """One row per cluster with the centroid of every attribute; with ``dp``, one per cluster,
-    eps and iteration, categories drawn by the exponential mechanism."""
-    members = df.select(rid, *names(qis)).join(clusters, rid)
+    eps and iteration, categories drawn by the exponential mechanism.
+
+    Rows meet their clusters once: categories are reduced to counts per cluster and value there.
+    """
     by = ["cluster_id"]
-    aggs = []
+    members = df.select(rid, *names(qis)).join(clusters, rid)
+    categories = [q for q in qis if q.is_category]
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for q in qis:
         if q.kind == "number":
             aggs.append(F.avg(F.col(q.name).cast("double")).alias(q.name))
         elif q.kind == "mixed":
             aggs.append(_mixed_centroid(q.name).alias(q.name))
-    out = members.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_n")])).drop("_n")
+    out = members.groupBy(*by).agg(*aggs).drop("_n")
     if dp:
         out = attach_grid(out, eps=eps, iteration=iterations or [1])
-    for q in qis:
-        if q.is_category:
-            if dp:
-                one = dp_categorical_centroid(members, q, eps, n, k, seed, by, iterations)
-                out = out.join(one.withColumnRenamed("centroid", q.name), [*by, "eps", "iteration"])
-            else:
-                one = categorical_centroid(members, q, by)
-                out = out.join(one.withColumnRenamed("centroid", q.name), by)
+    if categories:
+        cells = F.explode(F.array(*[
+            F.struct(F.lit(q.name).alias("attr"), F.col(q.name).alias("value")) for q in categories
+        ])).alias("_c")
+        counted = materialise(
+            members.select(*by, cells).select(*by, "_c.*").groupBy(*by, "attr", "value")
+            .agg(F.count(F.lit(1)).alias("n")))
+    for q in categories:
+        mine = counted.filter(F.col("attr") == q.name).drop("attr")
+        if dp:
+            one = _dp_centroid(mine, q, eps, n, k, seed, by, iterations)
+        else:
+            one = least_marginal(marginality(mine, q.tax, by), by).withColumnRenamed("mean", "centroid")
+        keys = [*by, "eps", "iteration"] if dp else by
+        out = out.join(one.withColumnRenamed("centroid", q.name), keys)
     lead = [*by, "eps", "iteration"] if dp else by
     return out.select(*lead, *names(qis))
 

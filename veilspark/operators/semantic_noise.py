@@ -10,7 +10,7 @@ from veilspark.operators.marginality import (
     TIE_DIGITS, boundary_from_mean, categorical_mean, distance_variance, marginality_sample, normalised,
 )
 from veilspark.operators.ranks import nearest_numeric
-from veilspark.operators.taxonomy import Taxonomy, similarity_distance
+from veilspark.operators.taxonomy import MATRIX_NODES, Taxonomy, similarity_distance
 from veilspark.runtime import BROADCAST_ROWS, small
 
 # Noise below this size leaves a value unchanged.
@@ -36,7 +36,7 @@ def nearest_by_marginality(df: DataFrame, target: str, margins: DataFrame, out:
     near = nearest_numeric(
         df.select(F.col(target).alias("x")),
         clean.groupBy(F.col("m").alias("y")).agg(F.min("leaf_ord").alias("first_rid")))
-    lookup = near.join(first, F.col("nearest") == F.col("m")).select(F.col("x").alias(target), out)
+    lookup = near.withColumnRenamed("nearest", "m").join(first, "m").select(F.col("x").alias(target), out)
     return df.join(lookup, target, "left")
 
 
@@ -64,6 +64,8 @@ def _value_options(df: DataFrame, col: str, tax: Taxonomy, mean: DataFrame) -> D
     """For every value of the column: its distance to the mean, and all leaves with their distance
     to the value and to the mean."""
     leaves = tax.nodes.filter("is_leaf").select(F.col("node").alias("leaf"), "leaf_ord")
+    if tax.domain_size > MATRIX_NODES:
+        raise ValueError(f"{tax.attr}: {tax.domain_size} leaves are too many to compare with every value")
     values = df.select(F.col(col).alias("value")).distinct()
     table = similarity_distance(values.join(tax.hint(leaves)), "value", "leaf", tax, "d")
     of_mean = similarity_distance(leaves.join(F.broadcast(mean)), "leaf", "mean", tax, "dm")

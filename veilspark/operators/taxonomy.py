@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.distance import ancestor_distance, similarity_from_depths
-from veilspark.runtime import BROADCAST_ROWS, small
+from veilspark import runtime
+from veilspark.runtime import lookup, materialise, small
 from veilspark.sources.hierarchy import closure_from_lines
 from veilspark.spec import STAR
 
@@ -35,8 +36,8 @@ class Taxonomy:
 
     def __init__(self, closure: DataFrame, attr: str):
         self.attr = attr
-        # the table is scanned many times in one plan; a lost block is recomputed
-        self.closure = closure.cache()
+        # scanned many times in one plan: written once, so that plans stay short
+        self.closure = materialise(closure)
 
     @classmethod
     def from_lines(cls, lines: DataFrame, attr: str) -> "Taxonomy":
@@ -69,14 +70,22 @@ class Taxonomy:
         """Some value has more than one path to the root."""
         return self.facts["last_path"] > 0
 
+    @property
+    def is_small(self) -> bool:
+        return self.facts["rows"] <= runtime.BROADCAST_ROWS
+
     def hint(self, df: DataFrame) -> DataFrame:
         """Broadcast a table derived from this closure when the closure is small."""
         return small(df, self.facts["rows"])
 
+    def lookup(self, df: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+        """Join a value column with a one-row-per-value table derived from this closure."""
+        return lookup(df, table, [key], self.facts["rows"], how)
+
     @cached_property
     def nodes(self) -> DataFrame:
-        """Node table of this taxonomy, kept for the many lookups of one plan."""
-        return node_table(self).cache()
+        """Node table of this taxonomy, written once for the many lookups of one plan."""
+        return materialise(node_table(self))
 
     @cached_property
     def boundary(self) -> Boundary:
@@ -112,6 +121,7 @@ def node_table(tax: Taxonomy) -> DataFrame:
         F.min("leaf_ord").alias("leaf_ord"),
         F.max("is_leaf").alias("is_leaf"),
         (F.count_distinct("up") == 1).alias("single"),
+        F.count_distinct("leaf_ord").alias("n_leaves"),
     ).withColumn("size", F.size("ancestors"))
 
 
@@ -219,39 +229,34 @@ def distance_matrix(tax: Taxonomy, nodes: str = "leaf", dist: str = "semantic")
 
 def semantic_distance(df: DataFrame, a: str, b: str, tax: Taxonomy, out: str = "distance") -> DataFrame:
     """Log distance of two value columns, by looking up both ancestor sets."""
-    table = tax.nodes
-    side = lambda c: tax.hint(table.select(F.col("node").alias(c), F.col("ancestors").alias(f"_{c}_up")))
-    return (
-        df.join(side(a), a).join(side(b), b)
-        .withColumn(out, ancestor_distance(F.col(f"_{a}_up"), F.col(f"_{b}_up")))
-        .drop(f"_{a}_up", f"_{b}_up")
-    )
+    for c in (a, b):
+        table = tax.nodes.select(F.col("node").alias(c), F.col("ancestors").alias(f"_{c}_up"))
+        df = tax.lookup(df, table, c)
+    return df.withColumn(out, ancestor_distance(F.col(f"_{a}_up"), F.col(f"_{b}_up"))).drop(f"_{a}_up", f"_{b}_up")
 
 
 def similarity_distance(df: DataFrame, a: str, b: str, tax: Taxonomy, out: str = "distance") -> DataFrame:
     """Path distance of two value columns."""
-    table = tax.nodes
-    # common ancestors are few: carry (depth, node) structs so the deepest needs no extra join
-    depths = tax.hint(table.select(F.col("node").alias("_anc"), F.col("depth").alias("_anc_depth")))
+    # ancestors carry their depth, so the deepest common one needs no further join
+    depths = tax.nodes.select(F.col("node").alias("_anc"), F.col("depth").alias("_anc_depth"))
     ups = (
-        table.select("node", "depth", F.explode("ancestors").alias("_anc")).join(depths, "_anc")
+        tax.lookup(tax.nodes.select("node", "depth", F.explode("ancestors").alias("_anc")), depths, "_anc")
         .groupBy("node", "depth").agg(F.collect_set(F.struct("_anc_depth", "_anc")).alias("_up"))
     )
-    side = lambda c: tax.hint(
-        ups.select(F.col("node").alias(c), F.col("depth").alias(f"_{c}_d"), F.col("_up").alias(f"_{c}_up")))
+    for c in (a, b):
+        table = ups.select(F.col("node").alias(c), F.col("depth").alias(f"_{c}_d"), F.col("_up").alias(f"_{c}_up"))
+        df = tax.lookup(df, table, c)
     deepest = F.array_max(F.array_intersect(f"_{a}_up", f"_{b}_up"))["_anc_depth"]
-    return (
-        df.join(side(a), a).join(side(b), b)
-        .withColumn(out, similarity_from_depths(deepest, F.col(f"_{a}_d"), F.col(f"_{b}_d")))
-        .drop(f"_{a}_up", f"_{b}_up", f"_{a}_d", f"_{b}_d")
-    )
+    return df.withColumn(
+        out, similarity_from_depths(deepest, F.col(f"_{a}_d"), F.col(f"_{b}_d"))
+    ).drop(f"_{a}_up", f"_{b}_up", f"_{a}_d", f"_{b}_d")
 
 
 def covers(df: DataFrame, value: str, node: str, tax: Taxonomy, out: str = "covered") -> DataFrame:
     """Whether the node is the value itself or one of its ancestors."""
     up = tax.nodes.select(F.col("node").alias(value), F.col("ancestors").alias("_up"))
     return (
-        df.join(tax.hint(up), value, "left")
+        tax.lookup(df, up, value, "left")
         .withColumn(out, F.coalesce(F.array_contains("_up", F.col(node)), F.col(node) == STAR, F.lit(False)))
         .drop("_up")
     )

@@ -99,7 +99,7 @@ def positions_within(df: DataFrame, group: list[str], rid: str, out: str = "pos"
     Rows are numbered inside hash slices of a group; slice sizes give the offsets. The order
     is (slice, rid): fixed by the data, and no task ever sorts a whole hot group.
     """
-    slices = 64
+    slices = max(64, shuffle_partitions(df.sparkSession))
     cut = df.withColumn("_slice", F.pmod(F.xxhash64(rid), F.lit(slices)).cast("int"))
     sizes = cut.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -122,18 +122,31 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def join_members(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one-row-per-key ``groups``, safe for hot keys.
+def join_members(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int,
+                 n_groups: int) -> DataFrame:
+    """Inner join of rows with one-row-per-key ``groups`` whose ``size`` counts their rows.
 
-    Keys with more than total / HOT_SHARE rows number at most HOT_SHARE, so they are broadcast;
-    what is left is a plain join in which every key is small.
+    Few groups are broadcast. Otherwise keys with more than total / HOT_SHARE rows, at most
+    HOT_SHARE of them, are broadcast, and what is left is a join in which every key is small.
     """
+    if n_groups <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), keys)
     limit = max(total // HOT_SHARE, 1)
     hot = F.broadcast(groups.filter(F.col(size) > limit))
-    cold = groups.filter(F.col(size) <= limit)
-    others = null_safe_join(rows, hot.select(*keys), keys, "left_anti")
-    return null_safe_join(rows, hot, keys).unionByName(null_safe_join(others, cold, keys))
+    others = rows.join(F.broadcast(groups.filter(F.col(size) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(others.join(groups.filter(F.col(size) <= limit), keys))
 
 
-def rounded(col: Column | str, digits: int = 6) -> Column:
-    return F.round(col, digits)
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """Join a column with a lookup table of ``rows`` counted rows, one per key.
+
+    A small table is broadcast and ``df`` does not move. For a large one the keys that hold more
+    than 1/HOT_SHARE of ``df`` are found first and joined by broadcast, the others by shuffle.
+    """
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), keys, how)
+    counts = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.filter(F.col("_n") > max(total // HOT_SHARE, 1)).select(*keys))
+    often = df.join(hot, keys, "left_semi").join(F.broadcast(table.join(hot, keys, "left_semi")), keys, how)
+    return often.unionByName(df.join(hot, keys, "left_anti").join(table, keys, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.runtime import inline_rows
+from veilspark.runtime import inline_rows, join_members, materialise
 
 
 def read_hierarchy_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +39,7 @@ def closure_from_lines(lines: DataFrame, attr: str) -> DataFrame:
     two different lines has two paths, numbered in file order. ``height`` is 0 at the root and
     ``level`` counts up from the deepest leaves.
     """
-    paths = (
+    paths = materialise(
         lines.groupBy(F.trim("line").alias("line"))
         .agg(F.min("ord").alias("ord"))
         .withColumn("nodes", F.transform(F.split("line", ";"), lambda x: F.trim(x)))
@@ -50,9 +50,10 @@ def closure_from_lines(lines: DataFrame, attr: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("ord", "nodes"))).alias("_paths"),
     )
     facts = paths.agg(
+        F.count(F.lit(1)).alias("lines"),
         (F.max(F.size("nodes")) - 1).alias("tree_height"),
         F.min_by("leaf", "ord").try_cast("double").isNotNull().alias("is_numeric"),
-    )
+    ).first()
     cells = (
         leaves.select("leaf", "leaf_ord", F.posexplode("_paths").alias("path_id", "_path"))
         .select("leaf", "leaf_ord", "path_id", F.col("_path.nodes").alias("_nodes"))
@@ -62,13 +63,11 @@ def closure_from_lines(lines: DataFrame, attr: str) -> DataFrame:
         )
     )
     widths = cells.groupBy("node").agg(F.countDistinct("leaf").alias("n_leaves"))
-    return (
-        cells.join(widths, "node")
-        .join(F.broadcast(facts))
-        .select(
-            F.lit(attr).alias("attr"), "leaf", "leaf_ord", "path_id",
-            (F.col("tree_height") - (F.col("_n") - 1 - F.col("_i"))).alias("level"),
-            "node", (F.col("_n") - 1 - F.col("_i")).alias("height"),
-            "n_leaves", "is_numeric",
-        )
+    # every leaf has the root among its ancestors: the widest nodes must not meet in one task
+    wide = join_members(cells, widths, ["node"], "n_leaves", facts["lines"], facts["lines"])
+    height = F.col("_n") - 1 - F.col("_i")
+    return wide.select(
+        F.lit(attr).alias("attr"), "leaf", "leaf_ord", "path_id",
+        (F.lit(facts["tree_height"]) - height).alias("level"), "node", height.alias("height"),
+        "n_leaves", F.lit(facts["is_numeric"]).alias("is_numeric"),
     )
