@@ -17,13 +17,13 @@ from veilspark.functions.cells import band, grid_leaves
 from veilspark.operators.classes import generalise_all, suppress_small
 from veilspark.operators.metrics import PENALISED, scale_of
 from veilspark.operators.taxonomy import value_paths
-from veilspark.runtime import materialise
+from veilspark.runtime import materialise, spread
 from veilspark.spec import QI, STAR, names
 
 # Lattices up to this size are scored as a whole.
 EXHAUSTIVE_NODES = 5_000
 # Frequency sets above this size are rolled up along their widest attribute before scoring.
-ROLLUP_ROWS = 1_000_000
+ROLLUP_ROWS = 100_000
 
 MODELS = ("granularity", "intensity", "discernibility", "entropy", "groupsize")
 
@@ -138,7 +138,7 @@ def score_lattice(
     m = len(qis)
     facts = freq.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("combos")).first()
     total = facts["rows"] or 0
-    paths = _with_paths(freq, qis)
+    paths = _with_paths(spread(freq, *names(qis)), qis)
     rolled = facts["combos"] > rollup_rows
     classes = (_rolled_classes if rolled else _classes)(paths, lattice, nodes)
 

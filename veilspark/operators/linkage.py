@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from veilspark.operators.ranks import (
     nearest_values, reverse_map_cells, row_ranks, text_cells, value_ranks, wide,
 )
-from veilspark.runtime import materialise
+from veilspark.runtime import materialise, spread
 from veilspark.spec import QI
 
 # A grid gets another attribute while its fullest cell holds more vectors than this.
 CELL_ROWS = 4_096
 GRID_ATTRS = 4
 GROWTH = 4
+# An attribute with at most this many ranks, and few of them within reach, is matched by rank.
+RANK_AXIS = 20_000
 
 
 def permutation_distance(orig: DataFrame, anon: DataFrame, qis: list[QI], rid: str = "rid") -> DataFrame:
@@ -42,14 +44,17 @@ def permutation_distance(orig: DataFrame, anon: DataFrame, qis: list[QI], rid: s
 
 
 class _Grid:
-    """Cell layout over rank vectors ``z0..``: which attributes, and the starting width."""
+    """Layout of the neighbour join over rank vectors ``z0..``.
+
+    Attributes with few ranks within reach are matched by rank, through the short list of rank
+    pairs within the width. The widest of the others are cut into cells.
+    """
 
     def __init__(self, vectors: DataFrame, m: int, rows: int):
         self.vectors, self.m, self.rows = vectors, m, max(rows, 1)
-        spread = vectors.agg(*[F.approx_count_distinct(f"z{j}").alias(f"d{j}") for j in range(m)]).first()
-        self.distinct = [max(spread[j], 1) for j in range(m)]
+        spread_ = vectors.agg(*[F.approx_count_distinct(f"z{j}").alias(f"d{j}") for j in range(m)]).first()
+        self.distinct = [max(spread_[f"d{j}"], 1) for j in range(m)]
         self.order = sorted(range(m), key=lambda j: -self.distinct[j])
-        self.p = min(m, 2)
 
     def start(self) -> int:
         """Smallest width whose cells, over all attributes, are expected to hold a couple of
@@ -62,34 +67,53 @@ class _Grid:
             width *= 2
         return width
 
-    def axes(self, width: int, by: list[str]) -> list[int]:
-        """Attributes of the grid; one more is taken while some cell is too full."""
-        p = self.p
-        while self.rows > CELL_ROWS and p < min(self.m, GRID_ATTRS):
-            cell = [F.floor(F.col(f"z{j}") / width).alias(f"c{j}") for j in self.order[:p]]
+    def axes(self, width: int, by: list[str]) -> tuple[list[int], list[int]]:
+        """(attributes matched by rank, attributes cut into cells) at this width."""
+        ranked = [j for j in self.order
+                  if self.distinct[j] <= RANK_AXIS and width * self.distinct[j] <= 3 * self.rows]
+        rest = [j for j in self.order if j not in ranked]
+        p = min(len(rest), 2)
+        while self.rows > CELL_ROWS and p < min(len(rest), GRID_ATTRS):
+            cell = [*[F.col(f"z{j}") for j in ranked],
+                    *[F.floor(F.col(f"z{j}") / width).alias(f"c{j}") for j in rest[:p]]]
             full = self.vectors.groupBy(*by, *cell).count().agg(F.max("count")).first()[0] or 0
             if full <= CELL_ROWS:
                 break
             p += 1
-        return self.order[:p]
+        return ranked, rest[:p]
+
+
+def _rank_pairs(x: DataFrame, z: DataFrame, j: int, width: int) -> DataFrame:
+    """Ranks of attribute j in x and in z that differ by at most ``width``."""
+    own = F.floor(F.col(f"x{j}") / width)
+    xs = x.select(f"x{j}").distinct().withColumn("_c", F.explode(F.array(own - 1, own, own + 1)))
+    zs = z.select(F.col(f"z{j}").alias(f"_r{j}")).distinct().withColumn("_c", F.floor(F.col(f"_r{j}") / width))
+    return xs.join(zs, "_c").filter(F.abs(F.col(f"x{j}") - F.col(f"_r{j}")) <= width).drop("_c")
 
 
-def _neighbours(x: DataFrame, z: DataFrame, m: int, by: list[str], axes: list[int], width: int) -> DataFrame:
+def _neighbours(x: DataFrame, z: DataFrame, m: int, by: list[str], grid: _Grid, width: int) -> DataFrame:
     """Pairs of x and z vectors within ``width`` of each other, with their distance ``d``.
 
-    An equi-join on grid cells: x visits the cells around its own, z only its own. Width 0 pairs
-    equal vectors on all attributes.
+    An equi-join: x visits the ranks and cells around its own, z only its own. Width 0 pairs equal
+    vectors on all attributes.
     """
     if width == 0:
         zz = z.select(*by, *[F.col(f"z{j}").alias(f"x{j}") for j in range(m)], "cnt", "zid")
         return x.join(zz, [*by, *[f"x{j}" for j in range(m)]]).withColumn("d", F.lit(0).cast("bigint"))
-    for j in axes:
+    ranked, cut = grid.axes(width, by)
+    base, x = x, spread(x, "xid")
+    for j in ranked:
+        # at most RANK_AXIS ranks, each with a handful in reach
+        x = x.join(F.broadcast(_rank_pairs(base, z, j, width)), f"x{j}")
+    z = z.select("*", *[F.col(f"z{j}").alias(f"_r{j}") for j in ranked])
+    for j in cut:
         own = F.floor(F.col(f"x{j}") / width)
         x = x.withColumn(f"c{j}", F.explode(F.array(own - 1, own, own + 1)))
         z = z.withColumn(f"c{j}", F.floor(F.col(f"z{j}") / width))
     gap = [F.abs(F.col(f"x{j}") - F.col(f"z{j}")) for j in range(m)]
     d = F.greatest(*gap) if m > 1 else gap[0]
-    return x.join(z, [*by, *[f"c{j}" for j in axes]]).withColumn("d", d).filter(F.col("d") <= width)
+    keys = [*by, *[f"_r{j}" for j in ranked], *[f"c{j}" for j in cut]]
+    return x.join(z, keys).withColumn("d", d).filter(F.col("d") <= width)
 
 
 def _rank_vectors(orig, mapped, qis, by, rid):
@@ -128,7 +152,7 @@ def closest_records(orig: DataFrame, mapped: DataFrame, qis: list[QI], by: list[
     grid = _Grid(z, m, rows)
     found, matched, waiting, width = [], [], materialise(x), 0
     while True:
-        pairs = _neighbours(waiting, z, m, by, grid.axes(width, by) if width else [], width)
+        pairs = _neighbours(waiting, z, m, by, grid, width)
         near = pairs.groupBy(*by, "xid", "d").agg(F.sum("cnt").alias("n"))
         best = materialise(near.groupBy(*by, "xid").agg(F.min(F.struct("d", "n")).alias("_b")).select(*by, "xid", "_b.*"))
         found.append(best)
@@ -178,7 +202,7 @@ def linked_records(orig: DataFrame, anon: DataFrame, qis: list[QI], by: list[str
     grid = _Grid(z, m, rows)
     linked, width = [], 0
     while True:
-        pairs = _neighbours(waiting, z, m, by, grid.axes(width, by) if width else [], width)
+        pairs = _neighbours(waiting, z, m, by, grid, width)
         hits = pairs.filter(F.col("d") <= F.col("reach")).groupBy(*by, "xid").agg(F.sum("cnt").alias("hits"))
         seen = materialise(waiting.join(hits, [*by, "xid"], "left"))
         linked.append(seen.filter((F.col("reach") <= width) & (F.col("hits") == 1)).select(*by, "xid"))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from veilspark.functions.cells import cell_text
 from veilspark.functions.distance import ancestor_distance, cell_distance, numeric_distance
-from veilspark.runtime import materialise, ordered_positions, positions_within, shuffle_partitions
+from veilspark.runtime import materialise, ordered_positions, positions_within, shuffle_partitions, spread
 from veilspark.sources.tables import fingerprint, load_clusters, save_clusters
 from veilspark.spec import QI, names
 
@@ -156,7 +156,7 @@ def _batched(df, qis, k, rid, n) -> DataFrame:
     attrs = names(qis)
     steps = max(n // k - 1, 0)
     corners = corner_order(m, steps)
-    rows = df.select(rid, *attrs, F.sha2(F.to_json(F.struct(*attrs)), 256).alias("vec"))
+    rows = df.select(rid, *attrs, F.unhex(F.md5(F.to_json(F.struct(*attrs)))).alias("vec"))
     vectors = materialise(
         corner_terms(rows.groupBy("vec", *attrs).agg(F.count(F.lit(1)).alias("left")), qis)
         .select("vec", "left", "terms")
@@ -206,14 +206,13 @@ def _entries(vectors: DataFrame, corners: list[tuple[int, ...]], m: int, extra:
                  F.lit(float(extra[0][i])).alias("cut"), F.lit(extra[1][i]).alias("need"))
         for i, bits in enumerate(corners)
     ])
-    each = vectors.select("vec", "left", "terms", F.explode(table).alias("_c"))
+    each = spread(vectors, "vec").select("vec", "left", "terms", F.explode(table).alias("_c"))
     return each.select("vec", "left", "_c.c", "_c.cut", "_c.need", _corner_distance(F.col("_c.bits"), m).alias("d"))
 
 
-def _cuts(vectors: DataFrame, corners: list[tuple[int, ...]], needs: list[int], m: int) -> list[float]:
+def _cuts(vectors: DataFrame, total: int, corners: list[tuple[int, ...]], needs: list[int], m: int) -> list[float]:
     """A distance per corner that surely covers the vectors it may take; infinity where that is
     not worth a look or the estimate falls short."""
-    total = vectors.count()
     none = [float("inf")] * len(corners)
     if total * len(corners) <= 4 * BATCH_ROWS:
         return none
@@ -240,21 +239,23 @@ def _batch_runs(vectors: DataFrame, batch: list[tuple[int, ...]], k: int, m: int
     corners = list(by_corner)
     needs = [by_corner[c] for c in corners]
     turns = [corners.index(c) for c in batch]
-    near = _entries(vectors, corners, m, [_cuts(vectors, corners, needs, m), needs]).filter(F.col("d") <= F.col("cut"))
+    total = vectors.count()
+    cuts = _cuts(vectors, total, corners, needs, m)
+    near = _entries(vectors, corners, m, [cuts, needs]).filter(F.col("d") <= F.col("cut"))
     # top vectors per corner in two rounds, so a heavily tied corner is not sorted in one task
     slices = shuffle_partitions(vectors.sparkSession)
     near = near.withColumn("_slice", F.pmod(F.xxhash64("vec"), F.lit(slices)))
-    for group in (["c", "_slice"], ["c"]):
+    for group in (["c", "_slice"], ["c"]) if total > 2 * BATCH_ROWS else (["c"],):
         before = F.sum("left").over(
             W.partitionBy(*group).orderBy("d", "vec").rowsBetween(W.unboundedPreceding, -1))
         near = near.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < F.col("need"))
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["c", "d", "vec"], kind="stable")
-        codes, uniques = pd.factorize(pdf["vec"])
+        codes, uniques = pd.factorize(pdf["vec"], sort=True)
         left = np.zeros(len(uniques), dtype=np.int64)
         left[codes] = pdf["left"].to_numpy()
-        corner = pdf["c"].to_numpy()
+        order = np.lexsort((codes, pdf["d"].to_numpy(), pdf["c"].to_numpy()))
+        codes, corner = codes[order], pdf["c"].to_numpy()[order]
         queue = {
             c: codes[np.searchsorted(corner, c):np.searchsorted(corner, c, side="right")] for c in set(turns)
         }
@@ -272,7 +273,7 @@ def _batch_runs(vectors: DataFrame, batch: list[tuple[int, ...]], k: int, m: int
 
     # one task on purpose: at most BATCH_ROWS candidate vectors, see _batch_size
     return near.select("c", "d", "vec", "left").withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(
-        resolve, "vec string, cluster_id bigint, take bigint")
+        resolve, "vec binary, cluster_id bigint, take bigint")
 
 
 def _assign_rows(rows: DataFrame, runs: DataFrame, rid: str, k: int, last: int) -> DataFrame:

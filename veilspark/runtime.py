@@ -50,6 +50,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, for work that multiplies them: a compact input may come
+    in few splits."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+
+
 def inline_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """A small driver-side list as a frame, without a Python worker."""
     cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
