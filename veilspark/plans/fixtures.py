@@ -26,6 +26,9 @@ PRIORITY_LINES = [
     "5-LOW;REST;*",
 ]
 STATUS_LINES = ["F;CLOSED;*", "P;RUNNING;*", "O;RUNNING;*"]
+RETURNFLAG_LINES = ["A;RETURNED;*", "R;RETURNED;*", "N;KEPT;*"]
+LINESTATUS_LINES = ["F;*", "O;*"]
+EVENT_LINES = ["view;PASSIVE;*", "error;PASSIVE;*", "click;ACTIVE;*", "signup;ACTIVE;*", "purchase;ACTIVE;*"]
 FIRST_MONTH, LAST_MONTH = "1995-01-01", "2001-12-01"
 
 TEMPERATURE_RANGE = "35.0_42.0"
@@ -85,6 +88,9 @@ LINES = {
     "order_month": month_lines,
     "segment": lambda spark, sf: lines_from_list(spark, SEGMENT_LINES),
     "priority": lambda spark, sf: lines_from_list(spark, PRIORITY_LINES),
+    "returnflag": lambda spark, sf: lines_from_list(spark, RETURNFLAG_LINES),
+    "linestatus": lambda spark, sf: lines_from_list(spark, LINESTATUS_LINES),
+    "event_type": lambda spark, sf: lines_from_list(spark, EVENT_LINES),
     "status": lambda spark, sf: lines_from_list(spark, STATUS_LINES),
 }
 
@@ -106,6 +112,7 @@ SIZE = QI("size", "number", 1.0, 50.0, 0, integer=True, widths=(10.0,))
 PRICE = QI("retailprice", "number", 900.0, 1000.0, 1, widths=(20.0,))
 QUANTITY = QI("quantity", "number", 1.0, 50.0, 0, integer=True, widths=(10.0,))
 DISCOUNT = QI("discount", "number", 0.0, 0.1, 2, widths=(0.05,))
+VALUE = QI("value", "number", 0.0, 500.0, 2, widths=(50.0,))
 TEMPERATURE = QI("temperature", "mixed", 35.0, 42.0, 1, widths=(1.0,))
 
 
@@ -140,6 +147,24 @@ def part_qis(spark: SparkSession, sf: str) -> list[QI]:
     return [SIZE, PRICE]
 
 
+def lineitem_qi(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"),
+        F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+
+
+def lineitem_qis(spark: SparkSession, sf: str) -> list[QI]:
+    return [category(spark, sf, "returnflag"), category(spark, sf, "linestatus"), QUANTITY, DISCOUNT]
+
+
+def events_qi(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("rid"), "event_type", "value")
+
+
+def events_qis(spark: SparkSession, sf: str) -> list[QI]:
+    return [category(spark, sf, "event_type"), VALUE]
+
+
 def mixed_qi(spark: SparkSession, sf: str) -> DataFrame:
     """Customers with a temperature that is a number or a fixed range."""
     c = F.col("c_custkey")

@@ -10,7 +10,6 @@ from veilspark.plans import sqltext as q
 from veilspark.plans.catalog import query
 from veilspark.plans.queries_release import KANON, SEED, _anonymous, g4
 from veilspark.plans.queries_tables import r6
-from veilspark.spec import QI, names
 
 PENALTIES = ["granularity", "intensity", "discernibility", "entropy", "groupsize", "sse"]
 BAND_SHARE = "CASE WHEN acctbal = '9000.00_10000.00' THEN 100001 ELSE 100000 END / 1100001e0"
@@ -83,29 +82,21 @@ def h5_avg(spark, sf):
 
 def _sse(source: str, by: str = "") -> str:
     group = f"GROUP BY {by.rstrip(', ')}" if by else ""
-    width = "(string_split(r.acctbal, '_')[-1]::DOUBLE - string_split(r.acctbal, '_')[1]::DOUBLE)"
+    end = lambda at: f"TRY_CAST(string_split(r.acctbal, '_')[{at}] AS DOUBLE)"
+    width = f"({end(-1)} - {end(1)})"
     return f"""SELECT {by} sum((CASE WHEN r.segment = '*' THEN 1 ELSE power(st_d.d / st_b.distance, 2) END)
  + (CASE WHEN r.nation = '*' THEN 1 ELSE power(nt_d.d / nt_b.distance, 2) END)
  + (CASE WHEN r.acctbal = '*' THEN 1 WHEN contains(r.acctbal, '_') THEN power({width} / 11000, 2)
-    ELSE power((c.acctbal - r.acctbal::DOUBLE) / 11000, 2) END)) AS sse
+    ELSE power((c.acctbal - TRY_CAST(r.acctbal AS DOUBLE)) / 11000, 2) END)) AS sse
  FROM {source} r JOIN c USING (rid) JOIN st_d ON st_d.a = c.segment AND st_d.b = r.segment
  JOIN nt_d ON nt_d.a = c.nation AND nt_d.b = r.nation, st_b, nt_b {group}"""
 
 
-@query("h6_sse", _anonymous(KANON) + f" SELECT round(sse, 6) AS sse FROM ({_sse('a').replace('TRY_', '')})".replace(
-    "string_split(r.acctbal, '_')[-1]::DOUBLE", "TRY_CAST(string_split(r.acctbal, '_')[-1] AS DOUBLE)").replace(
-    "string_split(r.acctbal, '_')[1]::DOUBLE", "TRY_CAST(string_split(r.acctbal, '_')[1] AS DOUBLE)").replace(
-    "r.acctbal::DOUBLE", "TRY_CAST(r.acctbal AS DOUBLE)"))
+@query("h6_sse", _anonymous(KANON) + f" SELECT round(sse, 6) AS sse FROM ({_sse('a')})")
 def h6(spark, sf):
     return r6(metrics.sse(fx.customer_qi(spark, sf), g4(spark, sf), fx.customer_qis(spark, sf)), "sse")
 
 
-SSE_ROWS = lambda source, by="": _sse(source, by).replace(
-    "string_split(r.acctbal, '_')[-1]::DOUBLE", "TRY_CAST(string_split(r.acctbal, '_')[-1] AS DOUBLE)").replace(
-    "string_split(r.acctbal, '_')[1]::DOUBLE", "TRY_CAST(string_split(r.acctbal, '_')[1] AS DOUBLE)").replace(
-    "r.acctbal::DOUBLE", "TRY_CAST(r.acctbal AS DOUBLE)")
-
-
 @query("h7_scores", H_CTES + " SELECT " + ", ".join(
     f"round(-{H_SQL[m]}, 6) AS {m}_score" for m in list(H_SQL)[:4]) + " FROM ms")
 def h7(spark, sf):
@@ -122,7 +113,7 @@ def h8(spark, sf):
     return r6(metrics.compute_metric("discernibility", g4(spark, sf), fx.customer_qis(spark, sf), KANON), "discernibility")
 
 
-@query("h9_compute_metrics", H_CTES + ", se AS (" + SSE_ROWS("a") + ") " + " UNION ALL ".join(
+@query("h9_compute_metrics", H_CTES + ", se AS (" + _sse("a") + ") " + " UNION ALL ".join(
     [f"SELECT '{m}' AS metric, round({e}, 6) AS score FROM ms" for m, e in H_SQL.items()]
     + ["SELECT 'sse', round(sse, 6) FROM se"]))
 def h9(spark, sf):
@@ -279,7 +270,7 @@ def _scaled(k):
     }
 
 
-S_CTES = q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI, SAMPLE, _metric_ctes("r", BY)) + ", sse AS (" + SSE_ROWS(
+S_CTES = q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI, SAMPLE, _metric_ctes("r", BY)) + ", sse AS (" + _sse(
     "r", BY) + f"), sc AS (SELECT {BY} metric, score, {KSQL} AS k FROM (" + " UNION ALL ".join(
     [f"SELECT {BY} '{m}' AS metric, {e} AS score FROM (SELECT *, {KSQL} AS kk FROM ms)" for m, e in _scaled("kk").items()]
     + [f"SELECT {BY} 'sse', sse FROM sse"]) + "))\n"

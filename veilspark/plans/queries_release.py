@@ -360,3 +360,55 @@ def g8(spark, sf):
 @query("g9_safepub")
 def g9(spark, sf):
     return safepub(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), 1.0, 1e-5, seed=SEED, steps=20)
+
+
+# ---- the larger tables
+
+QUANTITY_BAND = q.band_sql("l_quantity", 1, 49, 10, 0)
+LINE_K = 180  # splits the classes of the sample tables
+
+
+@query("g4_k_anonymise_lineitem", f"""WITH g AS (SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, {QUANTITY_BAND} AS quantity,
+ CAST(l_discount AS DECIMAL(18,2))::VARCHAR AS discount FROM lineitem),
+ k AS (SELECT *, count(*) OVER (PARTITION BY returnflag, linestatus, quantity, discount) < {LINE_K} AS small FROM g)
+ SELECT CASE WHEN small THEN '*' ELSE returnflag END AS returnflag, CASE WHEN small THEN '*' ELSE linestatus END AS linestatus,
+ CASE WHEN small THEN '*' ELSE quantity END AS quantity, CASE WHEN small THEN '*' ELSE discount END AS discount, count(*) AS class_size
+ FROM k GROUP BY ALL""")
+def g4_lineitem(spark, sf):
+    qis = fx.lineitem_qis(spark, sf)
+    return classes.equivalence_classes(
+        classes.k_anonymise(fx.lineitem_qi(spark, sf), qis, [0, 0, 1, 0], LINE_K), qis)
+
+
+ORDER_NODES = f"""lr AS (SELECT ((ls * 3 + lp) * 3 + lm) * 4 + lt AS node, s.node AS status, p.node AS priority, m.node AS order_month,
+   CASE lt WHEN 0 THEN CAST(totalprice AS DECIMAL(18,2))::VARCHAR WHEN 1 THEN {q.PRICE_BAND1} WHEN 2 THEN {q.PRICE_BAND2} ELSE '*' END AS totalprice,
+   sw.n_leaves / 3e0 + pw.n_leaves / 5e0 + mw.n_leaves / 84e0 AS share
+   FROM o, range(0, 3) a(ls), range(0, 3) b(lp), range(0, 3) d(lm), range(0, 4) e(lt), ot_c s, pr_c p, mo_c m, ot_w sw, pr_w pw, mo_w mw
+   WHERE s.leaf = status AND s.level = ls AND p.leaf = priority AND p.level = lp AND m.leaf = order_month AND m.level = lm
+   AND sw.node = s.node AND pw.node = p.node AND mw.node = m.node),
+ c0 AS (SELECT node, status, priority, order_month, totalprice, count(*) AS cnt, any_value(share) AS part FROM lr GROUP BY ALL),
+ cl AS (SELECT *, part + CASE WHEN totalprice = '*' THEN 1e0 WHEN contains(totalprice, '_') THEN
+   (round((TRY_CAST(string_split(totalprice, '_')[2] AS DOUBLE) - TRY_CAST(string_split(totalprice, '_')[1] AS DOUBLE)) * 100) + 1) / 50000001e0
+   ELSE 1 / 50000001e0 END AS share FROM c0),
+ best AS (SELECT node AS best FROM (SELECT node, sum(CASE WHEN cnt < 5 THEN cnt * 4 ELSE cnt * share END) / 16 AS loss FROM cl GROUP BY node)
+   ORDER BY round(loss, 9), node LIMIT 1)"""
+
+
+@query("g7_optimal_k_anonymity_orders", q.with_(q.STATUS_T, q.PRIORITY_T, q.MONTH_T, q.ORDERS_QI, ORDER_NODES) + """SELECT CASE WHEN cnt < 5 THEN '*' ELSE status END AS status, CASE WHEN cnt < 5 THEN '*' ELSE priority END AS priority,
+ CASE WHEN cnt < 5 THEN '*' ELSE order_month END AS order_month, CASE WHEN cnt < 5 THEN '*' ELSE totalprice END AS totalprice,
+ sum(cnt)::BIGINT AS class_size FROM cl, best WHERE node = best GROUP BY 1, 2, 3, 4""")
+def g7_orders(spark, sf):
+    qis = fx.orders_qis(spark, sf)
+    return classes.equivalence_classes(lattice.optimal_k_anonymity(fx.orders_qi(spark, sf), qis, 5)[1], qis)
+
+
+@query("e9_sanitise_events", f"""SELECT event_id AS rid, event_type,
+ {_noisy('value', 'value', 0.5, 0, 0, 500, 2, False, False).replace("'value') || '|' || (rid)", "'value') || '|' || (event_id)")} AS value FROM events""")
+def e9_events(spark, sf):
+    return release.sanitise(fx.events_qi(spark, sf), fx.events_qis(spark, sf), 0.5, K, SEED)
+
+
+@query("e10_microdp_orders")
+def e10_orders(spark, sf):
+    """One release of the orders; its clusters come from one sort of the whole table."""
+    return release.microdp(fx.orders_qi(spark, sf), fx.orders_qis(spark, sf), 1.0, 100, SEED, "ordered")

@@ -95,8 +95,7 @@ def a5(spark, sf):
     return tables.read_releases(spark, root)
 
 
-@query("a7_read_releases", RELEASES_SQL.replace("SELECT 'flat'", "SELECT count(*) AS n, 'flat'").replace(
-    "rid, segment, nation,", "nation,").replace("AS model", "AS model") + " GROUP BY ALL")
+@query("a7_read_releases", f"""SELECT model, param, iteration, nation, acctbal, count(*) AS n FROM ({RELEASES_SQL}) GROUP BY ALL""")
 def a7(spark, sf):
     root = f"{shared_dir(spark)}/releases-a7-{sf.rstrip('/').rsplit('/', 1)[-1]}"
     tables.write_release(grid_releases(spark, sf), root)
@@ -155,7 +154,7 @@ def b5_int(spark, sf):
 @query("b6_covers", q.with_(q.SHARED_T) + """, x AS (SELECT n_name, b.r_name FROM customer JOIN nation ON c_nationkey = n_nationkey
  JOIN region b ON c_custkey % 5 = b.r_regionkey)
  SELECT n_name AS value, r_name AS node, list_contains(anc, r_name) AS covered, count(*) AS n
- FROM x JOIN sh_n ON node = n_name GROUP BY ALL""".replace("\n, x", ", x"))
+ FROM x JOIN sh_n ON node = n_name GROUP BY ALL""")
 def b6(spark, sf):
     c = fx.table(spark, sf, "customer").join(
         F.broadcast(fx.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -198,7 +197,7 @@ def _nation_pairs(spark, sf):
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("b8_semantic_distance", q.with_(q.SHARED_T) + PAIRS[0:] + """
+@query("b8_semantic_distance", q.with_(q.SHARED_T) + PAIRS + """
  SELECT x.a, x.b, n, round(d, 6) AS distance FROM x JOIN sh_d USING (a, b)""")
 def b8(spark, sf):
     return r6(tx.semantic_distance(_nation_pairs(spark, sf), "a", "b", fx.taxonomy(spark, sf, "shared")), "distance")
