@@ -227,7 +227,7 @@ def variance_distance(pairs: DataFrame, df: DataFrame, taxes: dict[str, Taxonomy
         for side in ("a", "b"):
             lookup = margins.select(F.col("value").alias(f"{attr}_{side}"),
                                     F.col("marginality").alias(f"_{attr}_{side}"))
-            out = out.join(tax.hint(lookup), f"{attr}_{side}")
+            out = tax.lookup(out, lookup, f"{attr}_{side}")
         out = out.join(F.broadcast(total))
         local = (F.col(f"_{attr}_a") + F.col(f"_{attr}_b")) / 2
         terms.append(F.try_divide(local, F.col(f"_{attr}_total")))

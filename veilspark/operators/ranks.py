@@ -98,7 +98,10 @@ def _order_keys(counts: DataFrame, qis: list[QI], by: list[str], ties: str) -> D
 
 
 def _relative(df: DataFrame, by: list[str], pos: str, weight) -> DataFrame:
-    """Make running positions start at 1 within each (release, attribute)."""
+    """Make running positions start at 1 within each (release, attribute).
+
+    The bases are one row per release and attribute, a grid the driver laid out itself.
+    """
     base = df.groupBy(*by, "a").agg(F.min(F.col(pos) - weight).alias("_base"))
     return df.join(F.broadcast(base), [*by, "a"]).withColumn(pos, F.col(pos) - F.col("_base")).drop("_base")
 

@@ -53,8 +53,8 @@ def marginality_noise(df: DataFrame, col: str, tax: Taxonomy, level: float, seed
     gap = ends.join(side("bound1"), "bound1").join(side("bound2"), "bound2").select(
         F.abs(F.col("_bound1") - F.col("_bound2")).alias("_gap"))
     u = uniform(seed, "marginality", col, F.col(rid))
-    own = tax.hint(margins.select(F.col("value").alias(col), F.col("marginality").alias("_m")))
-    noisy = df.join(own, col).join(F.broadcast(gap)).withColumn(
+    own = margins.select(F.col("value").alias(col), F.col("marginality").alias("_m"))
+    noisy = tax.lookup(df, own, col).join(F.broadcast(gap)).withColumn(
         "_target", F.col("_m") + laplace(u, F.col("_gap") * F.lit(float(level))))
     return nearest_by_marginality(noisy, "_target", margins, "noisy", tax.facts["rows"]).drop(
         "_m", "_gap", "_target")

@@ -89,7 +89,9 @@ def ordered_positions(
     for part in range(max(totals, default=0) + 1):
         starts.append(running)
         running += totals.get(part, 0)
-    start = F.element_at(F.array(*[F.lit(s) for s in starts]), F.col("_part") + 1)
+    # one folded literal, however many partitions there are
+    offsets = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    start = F.element_at(offsets, F.col("_part") + 1)
     if weight is None:
         local = F.col("_index") + 1
     else:
