@@ -21,7 +21,7 @@ from veilspark.functions.distance import ancestor_distance, semantic_from_sizes,
 from veilspark.operators.taxonomy import (
     Taxonomy, leaf_domain, semantic_distance, similarity_distance,
 )
-from veilspark.runtime import HOT_SHARE, shuffle_partitions
+from veilspark.runtime import HOT_SHARE, materialise, shuffle_partitions
 
 # Marginalities are rounded here before values are compared, so that equal sums tie.
 TIE_DIGITS = 9
@@ -122,8 +122,9 @@ def _add_shared_pairs(sums, placed, goal, by, dist, targets, tax) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
-    """Counted values of a column, the sample form of the marginality."""
-    return df.groupBy(*(by or []), F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    """Counted values of a column, the sample form of the marginality. Written once: the rows are
+    scanned a single time however often the counts are joined."""
+    return materialise(df.groupBy(*(by or []), F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def marginality_domain(tax: Taxonomy) -> DataFrame:
@@ -207,8 +208,9 @@ def marginality_variance(df: DataFrame, col: str, tax: Taxonomy, dist: str = "se
 
 def distance_variance(df: DataFrame, col: str, tax: Taxonomy, targets: str = "leaves") -> DataFrame:
     """Mean squared path distance of the rows to the mean value of the column."""
-    mean = categorical_mean(df, col, tax, dist="similarity", targets=targets)
-    far = similarity_distance(value_counts(df, col).join(F.broadcast(mean)), "value", "mean", tax)
+    counts = value_counts(df, col)
+    mean = least_marginal(marginality(counts, tax, dist="similarity", targets=targets), [])
+    far = similarity_distance(counts.join(F.broadcast(mean)), "value", "mean", tax)
     return far.agg((F.sum(F.col("n") * F.pow("distance", F.lit(2))) / F.sum("n")).alias("variance"))
 
 

@@ -12,7 +12,7 @@ from veilspark.functions.cells import cell_text, grid_leaves
 from veilspark.functions.distance import ancestor_distance, cell_distance, numeric_distance
 from veilspark.operators.classes import all_suppressed, equivalence_classes
 from veilspark.operators.taxonomy import node_facts
-from veilspark.runtime import small
+from veilspark.runtime import materialise, small
 from veilspark.spec import QI, STAR
 
 PENALISED = ("granularity", "intensity", "discernibility", "entropy")
@@ -37,14 +37,15 @@ def scale_of(metric: str, k: Column, n_rows: Column, n_qis: int) -> Column:
     return F.lit(1.0)
 
 
-def cell_counts(df: DataFrame, qis: list[QI], by: list[str]) -> DataFrame:
-    """Rows per (release, attribute, cell value)."""
+def cell_counts(df: DataFrame, qis: list[QI], by: list[str], weight: str | None = None) -> DataFrame:
+    """Rows per (release, attribute, cell value); ``df`` may hold classes with their sizes."""
     cells = F.explode(F.array(*[
         F.struct(F.lit(q.name).alias("attr"), F.col(q.name).cast("string").alias("value")) for q in qis
     ])).alias("_cell")
+    count = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     return (
-        df.select(*by, cells).select(*by, "_cell.attr", "_cell.value")
-        .groupBy(*by, "attr", "value").agg(F.count(F.lit(1)).alias("n"))
+        df.select(*by, cells, count.alias("_n")).select(*by, "_cell.attr", "_cell.value", "_n")
+        .groupBy(*by, "attr", "value").agg(F.sum("_n").alias("n"))
     )
 
 
@@ -70,9 +71,9 @@ def _number_level(value: Column, qi: QI) -> Column:
     return level.when(covered > 1, F.lit(max(len(qi.widths), 1))).otherwise(F.lit(0))
 
 
-def cell_loss(df: DataFrame, qis: list[QI], by: list[str]) -> DataFrame:
+def cell_loss(df: DataFrame, qis: list[QI], by: list[str], weight: str | None = None) -> DataFrame:
     """Counted cells with the share of the domain they cover and their relative level."""
-    counts = cell_counts(df, qis, by)
+    counts = cell_counts(df, qis, by, weight)
     share, level = F.lit(None).cast("double"), F.lit(None).cast("double")
     for q in qis:
         if not q.is_category:
@@ -101,22 +102,24 @@ def plain_sums(df: DataFrame, qis: list[QI], metrics: list[str], by: list[str] |
     k enters a score only through its divisor, so these sums serve any number of ks.
     """
     by = by or []
-    parts = []
-    if {"discernibility", "groupsize"} & set(metrics) or not {"granularity", "intensity", "entropy"} & set(metrics):
-        parts.append(_class_sums(df, qis, metrics, by))
-    if {"granularity", "intensity", "entropy"} & set(metrics):
-        parts.append(_cell_sums(df, qis, metrics, by))
-    out = parts[0]
-    for part in parts[1:]:
-        part = part.drop("n_rows")
-        out = out.join(part, by) if by else out.join(part)
-    return out
-
-
-def _class_sums(df, qis, metrics, by) -> DataFrame:
+    of_cells = bool({"granularity", "intensity", "entropy"} & set(metrics))
+    of_classes = bool({"discernibility", "groupsize"} & set(metrics)) or not of_cells
+    if not of_classes:
+        return _cell_sums(df, qis, metrics, by, None)
+    classes = equivalence_classes(df, qis, by)
+    if not of_cells:
+        return _class_sums(classes, qis, metrics, by)
+    # one scan of the rows: cells are counted from the classes
+    classes = materialise(classes)
+    cells = _cell_sums(classes, qis, metrics, by, "class_size").drop("n_rows")
+    sums = _class_sums(classes, qis, metrics, by)
+    return sums.join(cells, by) if by else sums.join(cells)
+
+
+def _class_sums(classes, qis, metrics, by) -> DataFrame:
     size = F.col("class_size").cast("double")
     gone = all_suppressed(qis)
-    out = equivalence_classes(df, qis, by).groupBy(*by).agg(
+    out = classes.groupBy(*by).agg(
         F.sum("class_size").alias("n_rows"),
         F.sum(F.when(gone, 0.0).otherwise(size * size)).alias("_kept"),
         F.sum(F.when(gone, size).otherwise(0.0)).alias("_gone"),
@@ -130,11 +133,12 @@ def _class_sums(df, qis, metrics, by) -> DataFrame:
     return out.select(*cols)
 
 
-def _cell_sums(df, qis, metrics, by) -> DataFrame:
+def _cell_sums(df, qis, metrics, by, weight) -> DataFrame:
     m = len(qis)
     n = F.col("n").cast("double")
     star = F.col("value") == STAR
-    source = cell_loss(df, qis, by) if {"granularity", "intensity"} & set(metrics) else cell_counts(df, qis, by)
+    counted = cell_loss if {"granularity", "intensity"} & set(metrics) else cell_counts
+    source = counted(df, qis, by, weight)
     aggs = [(F.sum("n") / F.lit(m)).cast("bigint").alias("n_rows")]
     if "granularity" in metrics:
         aggs.append(F.sum(n * F.col("share")).alias("granularity"))
