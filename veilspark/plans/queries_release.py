@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators import classes, lattice, microaggregation as ma, release, semantic_noise as sn
 from veilspark.operators.marginality import marginality_sample
-from veilspark.operators.safepub import class_size_for, safepub
+from veilspark.operators.safepub import safepub
 from veilspark.plans import fixtures as fx
 from veilspark.plans import sqltext as q
 from veilspark.plans.catalog import query
 from veilspark.plans.queries_tables import SAMPLE_MARG, SIM_MEAN, r6
-from veilspark.runtime import shared_dir
 from veilspark.sources import tables
 
 SEED = "fixed-for-tests"
