@@ -34,12 +34,12 @@ from veilspark.llm.common import md5_of, query, table
 
 #: Rows the rotation is learned from; the bound of what the driver sees.
 FIT_ROWS = 4_000
-BITS = 32
-SUBSTRINGS = 4
+BITS = 64
+SUBSTRINGS = 8
 BLOCK_ROWS = 8_192
 #: Codes each block reranks per query: at least this many, and at least this share of the block.
 POOL = 400
-POOL_SHARE = 0.08
+POOL_SHARE = 0.2
 
 
 def usable(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -93,7 +93,9 @@ class BlockIndex:
                 for where in combinations(range(self.width), n):
                     bucket = int(value) ^ sum(1 << w for w in where)
                     found.append(order[starts[bucket]:starts[bucket + 1]])
-        rows = np.unique(np.concatenate(found))
+        seen = np.zeros(len(self.codes), dtype=bool)
+        seen[np.concatenate(found)] = True
+        rows = np.flatnonzero(seen)
         return rows, _ONES[self.codes[rows] ^ code].sum(axis=1)
 
     def pool(self, code: np.ndarray, least: int) -> np.ndarray:

@@ -263,10 +263,10 @@ OP6_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
 n AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM d),
-v AS (SELECT *, list_transform(range(8), i -> CAST('0x' || substr(h, CAST(i * 5 + 1 AS INTEGER), 5) AS BIGINT)) AS g FROM n)
+v AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(i * 5 + 1 AS INTEGER), 5) AS BIGINT)) AS g FROM n)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(g, x -> array_to_string(list_transform([15, 10, 5, 0],
-    s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+  array_to_string(list_transform(g, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM v"""
