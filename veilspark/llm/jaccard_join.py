@@ -41,13 +41,13 @@ from veilspark.runtime import materialise
 
 WORDS = 5
 #: Shingles a task gathers before it sends, and an owner is given on average.
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 #: Groups the shingles are hashed into: the dimensions of the tree.
 GROUPS = 32
 FANOUT = 16
 #: Members of a family, or of one of its size classes, that one task side holds.
 UNIT = 2_000
-TASK_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
 
 _ORD = np.uint64(0xFFFF)
 _MANY = 0xFFFF
