@@ -386,10 +386,10 @@ def _without_id(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near duplicates the document with the smallest id stays."""
-    found = near_duplicates(docs)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """Pipeline stage: of every group of near duplicates the document with the smallest id stays, and so
+    do rows without an id."""
+    gone = near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(materialise(gone), "doc_id", "left_anti")
 
 
 @query("op1_ngram_jaccard")

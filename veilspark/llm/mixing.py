@@ -184,3 +184,14 @@ def op5(spark, sf_dir):
     return plan_mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         F.get("shards", F.lit(0)).alias("first_shard"))
+
+
+def mix_stage(spark, docs, sf_dir: str) -> DataFrame:
+    """Pipeline stage: whole documents, each as often as it is drawn. Rows that repeat id, source and
+    size are told apart by their order."""
+    key = lambda size: F.xxhash64("doc_id", "source", size)
+    number = lambda by: F.row_number().over(W.partitionBy("_k").orderBy(by))
+    plan = plan_mix(docs).select(key(F.col("size")).alias("_k"), "copies").withColumn("_nr", number("copies"))
+    plan = materialise(plan.filter("copies > 0"))
+    rows = docs.withColumn("_k", key(n_words(F.col("text")))).withColumn("_nr", number("text")).join(plan, ["_k", "_nr"])
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).drop("_n")

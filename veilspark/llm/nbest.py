@@ -265,6 +265,11 @@ def encode_documents(docs: DataFrame, keep: list[str], n: int = N_BEST, model: s
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: what stayed, encoded."""
+    return encode_documents(docs, ["doc_id", "source"])
+
+
 @query("op9_piece_nbest")
 def op9(spark, sf_dir):
     """All documents encoded and decoded."""

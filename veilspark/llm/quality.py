@@ -194,9 +194,9 @@ def judge(docs: DataFrame, keep: list[str], bound: float = LEVEL_BOUND, min_grou
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents the rules keep. ``keep`` rows are matched by doc_id."""
-    kept = judge(docs, ["doc_id"]).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Pipeline stage: documents that the rules reject go."""
+    gone = materialise(judge(docs, ["doc_id"]).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 @query("op2_quality_rules")
