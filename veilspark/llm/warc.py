@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.llm.common import query, table
-from veilspark.runtime import shared_dir
+from veilspark.runtime import materialise, shared_dir
 
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
@@ -120,9 +120,12 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     rows = rows.withColumn("sha", F.sha1("payload"))
     ids = rows.select("page_id", "sha", F.length("payload").alias("size"))
     total = ids.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    firsts = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    # written, so that Spark knows whether the repeated payloads are few enough to be sent to all tasks
+    firsts = materialise(firsts.filter("n > 1").drop("n"))
+    again = ids.groupBy("page_id", "sha").count().filter("count > 1").limit(1).count()
     same = W.partitionBy("page_id", "sha").orderBy("url")
-    rows = rows.withColumn("copy", F.row_number().over(same)).join(firsts.drop("n"), "sha", "left")
+    rows = rows.withColumn("copy", F.row_number().over(same) if again else F.lit(1)).join(firsts, "sha", "left")
 
     def build(batches):
         for batch in batches:
