@@ -35,7 +35,7 @@ from veilspark.llm.repeats import runs_of
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 4
 #: Units a task keeps.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 2_000_000
 MARK = "▁"
 #: Stands for a literal mark in a text; no piece holds it.
 _LITERAL = ""
