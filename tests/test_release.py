@@ -4,11 +4,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions.cells import round_clamp
 from veilspark.functions.noise import gumbel, laplace, uniform
 from veilspark.operators import classes, lattice, release, semantic_noise as sn
 from veilspark.operators.safepub import class_size_for, safepub
 from veilspark.operators.taxonomy import Taxonomy
 from veilspark.sources.hierarchy import lines_from_list
+from veilspark.sources.tables import fingerprint
 from veilspark.spec import QI
 
 # Class size required for (eps, delta)
@@ -97,13 +99,37 @@ def test_best_node_is_best(spark, people, city):
     assert lattice.Lattice(qis).node(levels) == lattice.best_node(scores).first()["node"]
 
 
-def test_best_first_search_finds_a_release(spark, people, city, monkeypatch):
-    monkeypatch.setattr(lattice, "EXHAUSTIVE_NODES", 1)
-    levels, out = lattice.optimal_k_anonymity(people, [city, AGE], 5, steps=12)
+def test_best_first_search_finds_a_release(spark, people, city):
+    levels, out = lattice.optimal_k_anonymity(people, [city, AGE], 5, steps=12, search="best_first")
     check_anonymous(out, [city, AGE], 5)
     assert len(levels) == 2
 
 
+def test_rolled_scores_are_the_direct_ones(spark, people, city):
+    uneven = QI("age", "number", 1.0, 40.0, 0, integer=True, widths=(10.0, 25.0))
+    freq = lattice.frequency_set(people, [city, uneven])
+    one, other = (lattice.score_lattice(freq, [city, uneven], 5, rollup_rows=r).drop("levels").orderBy("node").collect()
+                  for r in (10**9, 0))
+    assert len(one) == len(other)
+    assert all(abs(x[c] - y[c]) < 1e-9 for x, y in zip(one, other) for c in x.asDict())
+
+
+def test_private_search_refuses_an_unbounded_score(spark, people, city):
+    with pytest.raises(ValueError):
+        lattice.dp_search(lattice.frequency_set(people, [city, AGE]), [city, AGE], 5, 0.1, 8, "a", model="groupsize")
+
+
+def test_null_number_stays_null(spark):
+    df = spark.createDataFrame([(None,), (5.0,)], "v double")
+    assert [r[0] for r in df.select(round_clamp(df["v"], F.lit(0.0), AGE)).collect()] == [None, 5.0]
+
+
+def test_cluster_key_covers_the_hierarchy(spark, people, city):
+    lines = [f"c{i};g{i % 2};*" for i in range(9)]
+    other = QI("city", "category", tax=Taxonomy.from_lines(lines_from_list(spark, lines), "city"))
+    assert fingerprint(people, [city], 5) != fingerprint(people, [other], 5)
+
+
 def test_private_search_is_seeded(spark, people, city):
     freq = lattice.frequency_set(people, [city, AGE])
     draw = lambda seed: lattice.dp_search(freq, [city, AGE], 5, 0.1, 8, seed)

@@ -68,13 +68,14 @@ def grid_leaves(text: Column, qi: QI) -> Column:
 def round_clamp(value: Column, noise: Column, qi: QI) -> Column:
     """Noisy value on the grid of the attribute, half-even, kept inside the public bounds.
 
-    Integers round value and noise separately before adding.
+    Integers round value and noise separately before adding. NULL stays NULL.
     """
     if qi.integer:
         total = F.bround(noise, 0) + F.bround(value, 0)
     else:
         total = F.bround(value + noise, qi.decimals)
-    return F.least(F.greatest(total, F.lit(float(qi.lo))), F.lit(float(qi.hi)))
+    inside = F.least(F.greatest(total, F.lit(float(qi.lo))), F.lit(float(qi.hi)))
+    return F.when(total.isNotNull(), inside)
 
 
 def normalise(value: Column, lo: Column, hi: Column) -> Column:

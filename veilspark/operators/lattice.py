@@ -20,8 +20,8 @@ from veilspark.operators.taxonomy import value_paths
 from veilspark.runtime import materialise, spread
 from veilspark.spec import QI, STAR, names
 
-# Lattices up to this size are scored as a whole.
-EXHAUSTIVE_NODES = 5_000
+# Searches score lattices up to this size in one job; the scores are the same either way.
+PREFETCH_NODES = 5_000
 # Frequency sets above this size are rolled up along their widest attribute before scoring.
 ROLLUP_ROWS = 100_000
 
@@ -109,7 +109,9 @@ def _rolled_classes(paths: DataFrame, lattice: Lattice, nodes: list[int] | None)
         mine = [i for i in (nodes if nodes is not None else range(lattice.size)) if lattice.levels(i)[wide] == level]
         if level:
             keys = [F.col(f"p{j}")[0]["node"].alias(f"k{j}") for j in range(m) if j != wide]
-            here = F.col(f"p{wide}")[level]["node"].alias("kw")
+            # the whole path that is left: a band need not lie within one band of the level above
+            rest = F.slice(f"p{wide}", level + 1, lattice.radix[wide])
+            here = F.transform(rest, lambda x: x["node"]).alias("kw")
             base = materialise(
                 base.groupBy(*keys, here)
                 .agg(F.sum("n").alias("n"), *[F.first(f"p{j}").alias(f"p{j}") for j in range(m)])
@@ -226,7 +228,7 @@ class _Scores:
         missing = set(nodes) - set(self.known)
         if not missing:
             return
-        if lattice.size <= EXHAUSTIVE_NODES:
+        if lattice.size <= PREFETCH_NODES:
             wanted = None
         else:
             layer = set(missing)
@@ -243,15 +245,18 @@ class _Scores:
 
 def optimal_k_anonymity(
     df: DataFrame, qis: list[QI], k: int = 5, suppression_limit: float = 1.0, model: str = "granularity",
-    steps: int = 300,
+    steps: int = 300, search: str = "exact",
 ) -> tuple[list[int], DataFrame]:
     """Levels of the best k-anonymous node and its release.
 
-    Exact up to EXHAUSTIVE_NODES nodes, best-first within ``steps`` expansions beyond.
+    ``search="exact"`` scores every node. ``"best_first"`` stops after ``steps`` expansions and may
+    miss the optimum.
     """
+    if search not in ("exact", "best_first"):
+        raise ValueError(f"unknown search {search!r}")
     freq = frequency_set(df, qis)
     lattice = Lattice(qis)
-    if lattice.size <= EXHAUSTIVE_NODES:
+    if search == "exact":
         row = best_node(score_lattice(freq, qis, k, [model]), model, suppression_limit).first()
         node = row["node"] if row and row["node"] is not None else lattice.top
     else:
@@ -271,6 +276,8 @@ def dp_search(
     one row changes it by at most 1. A last draw picks the result among the visited nodes. The
     budget is shared equally by all draws. Only node scores reach the driver.
     """
+    if model == "groupsize":
+        raise ValueError("one row can move the mean group size by any amount: not a score for a private search")
     lattice = Lattice(qis)
     steps = min(steps, lattice.size - 1)
     eps_step = eps_search / (steps + 1)

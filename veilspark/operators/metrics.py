@@ -72,7 +72,8 @@ def _number_level(value: Column, qi: QI) -> Column:
 
 
 def cell_loss(df: DataFrame, qis: list[QI], by: list[str], weight: str | None = None) -> DataFrame:
-    """Counted cells with the share of the domain they cover and their relative level."""
+    """Counted cells with the share of the domain they cover and their relative level. A cell that is
+    neither a number nor in the hierarchy counts as fully lost."""
     counts = cell_counts(df, qis, by, weight)
     share, level = F.lit(None).cast("double"), F.lit(None).cast("double")
     for q in qis:
@@ -91,8 +92,8 @@ def cell_loss(df: DataFrame, qis: list[QI], by: list[str], weight: str | None =
     star = F.col("value") == STAR
     return joined.select(
         *by, "attr", "value", "n",
-        F.when(star, F.lit(1.0)).otherwise(F.coalesce(share, found_share)).alias("share"),
-        F.when(star, F.lit(1.0)).otherwise(F.coalesce(level, found_level)).alias("level"),
+        F.when(star, F.lit(1.0)).otherwise(F.coalesce(share, found_share, F.lit(1.0))).alias("share"),
+        F.when(star, F.lit(1.0)).otherwise(F.coalesce(level, found_level, F.lit(1.0))).alias("level"),
     )
 
 

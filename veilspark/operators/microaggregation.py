@@ -20,8 +20,6 @@ from veilspark.spec import QI, names
 
 # Rows handed to one task when a batch of corners is resolved in order.
 BATCH_ROWS = 1_000_000
-# Above this many rows ``auto`` uses the one-sort strategy.
-BATCHED_LIMIT = 10_000_000
 
 
 def corner_order(m: int, count: int) -> list[tuple[int, ...]]:
@@ -117,17 +115,15 @@ def nearest_k(df: DataFrame, qis: list[QI], point: dict, k: int, rid: str = "rid
     return terms.select(rid, d.alias("distance")).orderBy("distance", rid).limit(k)
 
 
-def microaggregate(df: DataFrame, qis: list[QI], k: int, strategy: str = "auto", rid: str = "rid",
+def microaggregate(df: DataFrame, qis: list[QI], k: int, strategy: str = "batched", rid: str = "rid",
                    n: int | None = None) -> DataFrame:
     """Cluster assignment ``(rid, cluster_id)`` with sizes in k..2k-1.
 
     ``batched`` cuts the k nearest remaining records at one corner after the other, exactly as a
     sequential scan would. ``ordered`` sorts once by the distance to the first corner and cuts
-    runs of k. ``auto`` chooses by size.
+    runs of k: looser clusters, so the caller has to ask for it.
     """
     n = df.count() if n is None else n
-    if strategy == "auto":
-        strategy = "batched" if n <= BATCHED_LIMIT else "ordered"
     if strategy == "ordered":
         return _ordered(df, qis, k, rid, n)
     if strategy == "batched":
@@ -297,7 +293,7 @@ def _assign_rows(rows: DataFrame, runs: DataFrame, rid: str, k: int, last: int)
         rid, F.coalesce("cluster_id", F.lit(last)).cast("bigint").alias("cluster_id"))
 
 
-def cached_clusters(df: DataFrame, qis: list[QI], k: int, strategy: str = "auto",
+def cached_clusters(df: DataFrame, qis: list[QI], k: int, strategy: str = "batched",
                     root: str | None = None, rid: str = "rid") -> DataFrame:
     """Cluster assignment from the store, computed and stored on a miss. The key covers the
     content of the table, so changed data never meets old clusters."""

@@ -158,7 +158,7 @@ def total_budget(qis: list[QI], eps: float, budget: str = "per_attribute") -> tu
 
 def microdp_sweep(
     df: DataFrame, qis: list[QI], eps: list[float], k: int, seed: str | None, iterations: int = 1,
-    strategy: str = "auto", budget: str = "per_attribute", sensitivity: str = "per_cluster",
+    strategy: str = "batched", budget: str = "per_attribute", sensitivity: str = "per_cluster",
     clusters: DataFrame | None = None, rid: str = "rid",
 ) -> DataFrame:
     """Releases for every eps and iteration in one job: clusters are built once, centroids and
@@ -178,7 +178,7 @@ def microdp_sweep(
 
 
 def microdp(
-    df: DataFrame, qis: list[QI], eps: float, k: int, seed: str | None = None, strategy: str = "auto",
+    df: DataFrame, qis: list[QI], eps: float, k: int, seed: str | None = None, strategy: str = "batched",
     budget: str = "per_attribute", sensitivity: str = "per_cluster", rid: str = "rid",
 ) -> DataFrame:
     """One differentially private release by microaggregation."""

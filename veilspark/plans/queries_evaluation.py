@@ -430,22 +430,22 @@ def j13(spark, sf):
 @query("j15_sweep_epsilon")
 def j15(spark, sf):
     return sweeps.sweep_epsilon(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), [0.5, 2.0], 25, iterations=2,
-                                seed=SEED, steps=10, strategy="ordered")
+                                seed=SEED, steps=300, strategy="ordered")
 
 
 @query("j16_sweep_k_delta")
 def j16(spark, sf):
     return sweeps.sweep_k_delta(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), [20, 50], [1e-4, 1e-6],
-                                seed=SEED, steps=10, strategy="ordered")
+                                seed=SEED, steps=300, strategy="ordered")
 
 
 @query("j17_sweep_attributes")
 def j17(spark, sf):
     return sweeps.sweep_attributes(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf),
-                                   [["segment", "nation"], ["nation", "acctbal"]], 25, seed=SEED, steps=10, strategy="ordered")
+                                   [["segment", "nation"], ["nation", "acctbal"]], 25, seed=SEED, steps=300, strategy="ordered")
 
 
 @query("j18_sweep_disclosure")
 def j18(spark, sf):
     return sweeps.sweep_disclosure(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), [1.0, 2.0], 25,
-                                   seed=SEED, steps=10, strategy="ordered")
+                                   seed=SEED, steps=300, strategy="ordered")

@@ -355,7 +355,7 @@ def g8(spark, sf):
 
 @query("g9_safepub")
 def g9(spark, sf):
-    return safepub(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), 1.0, 1e-5, seed=SEED, steps=20)
+    return safepub(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), 1.0, 1e-5, seed=SEED, steps=300)
 
 
 # ---- the larger tables

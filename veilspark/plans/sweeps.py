@@ -29,7 +29,7 @@ def _tag(df: DataFrame, model: str, param, iteration) -> DataFrame:
 
 
 def microdp_releases(df: DataFrame, qis: list[QI], eps: list[float], k: int, seed: str, iterations: int,
-                     strategy: str = "auto", clusters: DataFrame | None = None) -> DataFrame:
+                     strategy: str = "batched", clusters: DataFrame | None = None) -> DataFrame:
     rel = microdp_sweep(df, qis, eps, k, seed, iterations, strategy, clusters=clusters)
     return _tag(rel.drop("total_eps"), "MicroDP", F.col("eps"), F.col("iteration").cast("int")).select(
         *KEYS, "rid", *names(qis))
@@ -64,7 +64,7 @@ def _ks(*k_of) -> list[int]:
 
 def sweep_epsilon(df: DataFrame, qis: list[QI], eps: list[float], k: int, delta: float = 1e-5,
                   iterations: int = 1, seed: str | None = None, metrics: list[str] = PENALTIES,
-                  steps: int = 300, strategy: str = "auto") -> DataFrame:
+                  steps: int = 300, strategy: str = "batched") -> DataFrame:
     """All three models over eps: mean and deviation of the normalised metrics."""
     seed = fresh_seed(seed)
     sp_k = {e: class_size_for(e, delta) for e in eps}
@@ -80,7 +80,7 @@ def sweep_epsilon(df: DataFrame, qis: list[QI], eps: list[float], k: int, delta:
 
 def sweep_k_delta(df: DataFrame, qis: list[QI], ks: list[int], deltas: list[float], eps: float = 1.0,
                   iterations: int = 1, seed: str | None = None, metrics: list[str] = PENALTIES,
-                  steps: int = 300, strategy: str = "auto") -> DataFrame:
+                  steps: int = 300, strategy: str = "batched") -> DataFrame:
     """MicroDP over k and SafePub over delta at one eps; ``param`` is k or delta."""
     seed = fresh_seed(seed)
     sp_k = {float(d): class_size_for(eps, d) for d in deltas}
@@ -98,7 +98,7 @@ def sweep_k_delta(df: DataFrame, qis: list[QI], ks: list[int], deltas: list[floa
 
 def sweep_attributes(df: DataFrame, qis: list[QI], subsets: list[list[str]], k: int, eps: float = 1.0,
                      delta: float = 1e-5, iterations: int = 1, seed: str | None = None,
-                     metrics: list[str] = PENALTIES, steps: int = 300, strategy: str = "auto") -> DataFrame:
+                     metrics: list[str] = PENALTIES, steps: int = 300, strategy: str = "batched") -> DataFrame:
     """Both private models over attribute subsets; ``param`` is the number of attributes."""
     seed = fresh_seed(seed)
     sp_k = class_size_for(eps, delta)
@@ -117,7 +117,7 @@ def sweep_attributes(df: DataFrame, qis: list[QI], subsets: list[list[str]], k:
 
 def sweep_disclosure(df: DataFrame, qis: list[QI], eps: list[float], k: int, delta: float = 1e-4,
                      iterations: int = 1, seed: str | None = None, steps: int = 300,
-                     strategy: str = "auto") -> DataFrame:
+                     strategy: str = "batched") -> DataFrame:
     """Squared error and record linkage of every release of all three models."""
     seed = fresh_seed(seed)
     metrics = ["sse", "record_linkage"]
