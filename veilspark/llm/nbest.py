@@ -23,6 +23,8 @@ import hashlib
 import heapq
 import os
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,14 @@ from veilspark.llm.repeats import runs_of
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 4
-#: Units a task keeps.
-CACHE_UNITS = 2_000_000
+#: Units a worker keeps.
+CACHE_UNITS = 500_000
+#: Characters of text whose new units are learned together.
+CHUNK_CHARS = 2_000_000
+#: Units up to this length are learned together, one length at a time.
+SHORT_UNIT = 32
+#: Units of a length learned at once: their arrays stay in the processor's cache.
+GROUP_UNITS = 1024
 MARK = "▁"
 #: Stands for a literal mark in a text; no piece holds it.
 _LITERAL = ""
@@ -62,6 +70,9 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.score[piece] = (i, sp.get_score(i))
                 self.text[i] = piece.replace(MARK, " ")
+        for i, value in self.byte_of.items():
+            if value < 0x80:  # a whole character by itself
+                self.text[i] = chr(value)
         self.longest = max(map(len, self.score))
         # pieces outside the ranking carry one very low score; bytes cost a little more than the rarest ranked piece
         self.fallback = min(s for _, s in self.score.values() if s > -1e8) - 10.0
@@ -69,6 +80,28 @@ class Pieces:
             raise ValueError("a piece crosses into the next word")
         self._reset()
         self.second: dict[tuple[str, int], list] = {}
+        self._build_trie()
+
+    def _build_trie(self):
+        """The pieces as a trie in arrays: sorted keys (node, character class) and the nodes they lead to."""
+        alphabet = sorted({c for p in self.score for c in p})
+        self.classes = np.full(0x110000, -1, np.int32)
+        self.classes[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+        of = {c: i for i, c in enumerate(alphabet)}
+        steps: dict[int, int] = {}
+        ends = {}
+        for piece, (i, score) in self.score.items():
+            node = 0
+            for c in piece:
+                node = steps.setdefault(node * len(alphabet) + of[c], len(steps) + 1)
+            ends[node] = i, score
+        self.fan = len(alphabet)
+        keys, into = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.into = keys[order], into[order]
+        self.node_id, self.node_score = np.zeros(len(steps) + 1, np.int64), np.full(len(steps) + 1, -np.inf)
+        for node, (i, score) in ends.items():
+            self.node_id[node], self.node_score[node] = i, score
 
     def _reset(self):
         """Units met so far: number, best score, loss of the second choice, ids of the best."""
@@ -132,6 +165,55 @@ class Pieces:
             ids.append(piece)
         return one[-1], two[-1], [i for p in reversed(ids) for i in (p if isinstance(p, tuple) else (p,))]
 
+    def two_best_of(self, units: list[str]) -> list[tuple[float, float, list[int]]]:
+        """``two_best`` of units of one length, all at once: places are rows, units are columns."""
+        length, many = len(units[0]), len(units)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(many, length)
+        kinds = self.classes[chars].T.astype(np.int64)
+        ids, weights = [], []  # by piece length: number and score of the piece that starts at each place
+        nodes = np.zeros((length, many), np.int64)
+        for n in range(min(length, self.longest)):
+            nodes, kind = nodes[:length - n], kinds[n:]
+            live = np.flatnonzero((nodes.ravel() >= 0) & (kind.ravel() >= 0))
+            if not len(live):
+                break
+            key = nodes.ravel()[live] * self.fan + kind.ravel()[live]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            after = np.full(nodes.size, -1, np.int64)
+            after[live] = np.where(self.keys[at] == key, self.into[at], -1)
+            nodes = after.reshape(nodes.shape)
+            weights.append(np.where(nodes >= 0, self.node_score[nodes], -np.inf))
+            ids.append(self.node_id[nodes])
+        one, two = np.full((length + 1, many), -np.inf), np.full((length + 1, many), -np.inf)
+        one[0] = 0.0
+        back, came = np.zeros((length + 1, many), np.int64), np.zeros((length + 1, many), np.int64)
+        for end in range(1, length + 1):
+            a, b = one[end], two[end]
+            for start in range(max(0, end - len(weights)), end):
+                w = weights[end - start - 1][start]
+                v = one[start] + w
+                up = v > a
+                b[:] = np.where(up, np.maximum(a, two[start] + w), np.maximum(b, v))
+                a[up], back[end][up], came[end][up] = v[up], start, ids[end - start - 1][start][up]
+            bare = np.ones(many, bool) if not weights else weights[0][end - 1] == -np.inf
+            if bare.any():
+                v = np.where(bare, one[end - 1] + self.fallback, -np.inf)
+                up = v > a
+                b[:] = np.where(up, np.maximum(a, np.where(bare, two[end - 1] + self.fallback, -np.inf)), np.maximum(b, v))
+                a[up], back[end][up], came[end][up] = v[up], end - 1, -1
+        out = []
+        for unit, first, other, froms, pieces_ in zip(units, one[-1].tolist(), two[-1].tolist(), back.T.tolist(), came.T.tolist()):
+            found, at = [], length
+            while at:
+                if pieces_[at] < 0:
+                    raw = unit[at - 1].replace(_LITERAL, MARK).encode("utf-8", "surrogatepass")
+                    found += [self.byte[x] for x in reversed(raw)]
+                else:
+                    found.append(pieces_[at])
+                at = froms[at]
+            out.append((first, other, found[::-1]))
+        return out
+
     def segment(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a unit: backward A* guided by the forward scores."""
         best, into = self.lattice(unit)
@@ -151,19 +233,39 @@ class Pieces:
                 push(agenda, (-(best[start] + behind + w), made, start, behind + w, (piece, tail)))
         return out
 
-    def _add(self, unit: str) -> int:
-        first, other, ids = self.two_best(unit)
-        i = self.units[unit] = len(self.units)
-        if i == len(self.best):
-            for name in ("best", "loss", "start", "size"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.best[i], self.start[i], self.size[i], self.loss[i] = first, self.used, len(ids), first - other
-        self.used += len(ids)
-        return i
+    def learn(self, units: set[str]):
+        """Add the units not met so far."""
+        if len(self.units) > CACHE_UNITS:
+            self._reset()
+        by_length: dict[int, list[str]] = {}
+        for u in units:
+            if u not in self.units:
+                by_length.setdefault(len(u), []).append(u)
+        for length, some in by_length.items():
+            for i in range(0, len(some), GROUP_UNITS):
+                part = some[i:i + GROUP_UNITS]
+                self._add(part, self.two_best_of(part) if length <= SHORT_UNIT else list(map(self.two_best, part)))
+
+    def _add(self, units: list[str], found: list[tuple[float, float, list[int]]]):
+        known = len(self.units)
+        self.units.update(zip(units, range(known, known + len(units))))
+        first, other, ids = zip(*found)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        best, used = np.array(first), self.used + int(size.sum())
+        self._write("best", known, best)
+        self._write("loss", known, best - np.array(other))
+        self._write("size", known, size)
+        self._write("start", known, self.used + np.cumsum(size) - size)
+        self._write("ids", self.used, np.fromiter(chain.from_iterable(ids), np.int32, used - self.used))
+        self.used = used
+
+    def _write(self, name: str, at: int, values: np.ndarray):
+        """Put values into an array that grows by doubling."""
+        old = getattr(self, name)
+        while at + len(values) > len(old):
+            old = np.concatenate([old, np.zeros_like(old)])
+        old[at:at + len(values)] = values
+        setattr(self, name, old)
 
     def choices(self, unit: str, n: int) -> list:
         found = self.second.get((unit, n))
@@ -175,13 +277,20 @@ class Pieces:
 
     def encode(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
         """The ``n`` best segmentations of a whole text, best first."""
-        if not text:
+        return next(self.encode_all([text], n))
+
+    def encode_all(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """``encode`` of each text in turn; units that are new in some of them are learned together."""
+        for some in _chunks(texts, CHUNK_CHARS):
+            parts = [_UNITS.findall(MARK + t.replace(MARK, _LITERAL).replace(" ", MARK)) if t else [] for t in some]
+            self.learn(set().union(*parts))
+            for units in parts:
+                yield self._compose(units, n)
+
+    def _compose(self, units: list[str], n: int) -> list[tuple[float, np.ndarray]]:
+        if not units:
             return [(0.0, np.zeros(0, np.int32))]
-        units = _UNITS.findall(MARK + text.replace(MARK, _LITERAL).replace(" ", MARK))
-        if len(self.units) > CACHE_UNITS:
-            self._reset()
-        get = self.units.get
-        at = np.array([i if (i := get(u)) is not None else self._add(u) for u in units])
+        at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
         base, size = float(self.best[at].sum()), self.size[at]
         ids = self.ids[np.repeat(self.start[at], size) + runs_of(size)]
         loss = self.loss[at]
@@ -207,12 +316,13 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation."""
+        found = list(map(self.text.__getitem__, ids.tolist()))
+        if None not in found:
+            return "".join(found)[1:]
         out, raw = [], bytearray()
-        text, byte_of = self.text, self.byte_of
-        for i in ids.tolist():
-            piece = text[i]
+        for i, piece in zip(ids.tolist(), found):
             if piece is None:
-                raw.append(byte_of[i])
+                raw.append(self.byte_of[i])
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "surrogatepass"))
@@ -223,6 +333,19 @@ class Pieces:
         return "".join(out)[1:]
 
 
+def _chunks(texts: list[str], size: int) -> Iterator[list[str]]:
+    """Runs of texts that hold about ``size`` characters together; a longer text is a run of its own."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t) > size:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -248,12 +371,13 @@ def encode_documents(docs: DataFrame, keep: list[str], n: int = N_BEST, model: s
         vocab = pieces(model)
         for batch in batches:
             rows = []
-            for cell in batch.column(len(keep)):
-                text = cell.as_py()
+            texts = batch.column(len(keep)).to_pylist()
+            answers = vocab.encode_all([t for t in texts if t is not None], n)
+            for text in texts:
                 if text is None:
                     rows.append((None, 0.0, [], None, True, None))
                     continue
-                found = vocab.encode(text, n)
+                found = next(answers)
                 best = found[0][1].astype("<i4")
                 exact = vocab.decode(best) == text
                 rows.append((len(best), found[0][0], [s for s, _ in found], hashlib.sha256(best.tobytes()).hexdigest(),
