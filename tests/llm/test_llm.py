@@ -274,3 +274,18 @@ def test_odd_and_empty_inputs(odd, none):
     assert coded[1]["n_pieces"] is None and coded[2]["n_pieces"] == 0 and all(r["round_trip"] for r in coded.values())
     assert jaccard_join.near_duplicates(none).count() == 0 and secrets.scan(none).count() == 0
     assert suffix_dedup.remove_recurring_bytes(none).count() == 0 and phrase_dedup.remove_repeated_phrases(none).count() == 0
+
+
+def test_units_learned_together_and_forgotten(monkeypatch):
+    rng = np.random.default_rng(11)
+    letters = list("aeinorst") + ["é", "漢", "\ue000", "\n", "▁", "\U0001f600"]
+    texts = [" ".join("".join(rng.choice(letters, int(rng.integers(1, 40)))) for _ in range(60)) for _ in range(30)] + ["", " "]
+    vocab = nbest.Pieces(nbest.MODEL)
+    want = [[(s, x.tolist()) for s, x in f] for f in vocab.encode_all(texts, 3)]
+    for length in {len(u) for u in vocab.units}:
+        same = [u for u in vocab.units if len(u) == length]
+        assert vocab.two_best_of(same) == [vocab.two_best(u) for u in same]
+    monkeypatch.setattr(nbest, "CACHE_UNITS", 50)
+    monkeypatch.setattr(nbest, "CHUNK_CHARS", 500)
+    again = nbest.Pieces(nbest.MODEL)
+    assert [[(s, x.tolist()) for s, x in f] for f in again.encode_all(texts, 3)] == want

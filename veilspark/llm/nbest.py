@@ -36,8 +36,8 @@ from veilspark.llm.repeats import runs_of
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 4
-#: Units a worker keeps.
-CACHE_UNITS = 500_000
+#: Units a worker keeps; beyond, it forgets those that few documents hold.
+CACHE_UNITS = 1_000_000
 #: Characters of text whose new units are learned together.
 CHUNK_CHARS = 2_000_000
 #: Units up to this length are learned together, one length at a time.
@@ -107,7 +107,8 @@ class Pieces:
         """Units met so far: number, best score, loss of the second choice, ids of the best."""
         self.units: dict[str, int] = {}
         self.best, self.loss = np.zeros(1 << 16), np.zeros(1 << 16)
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.seen = np.zeros(1 << 16, np.uint8)  # documents that held it, up to 255
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
     def lattice(self, unit: str) -> tuple[list[float], list[list]]:
@@ -236,7 +237,7 @@ class Pieces:
     def learn(self, units: set[str]):
         """Add the units not met so far."""
         if len(self.units) > CACHE_UNITS:
-            self._reset()
+            self._forget()
         by_length: dict[int, list[str]] = {}
         for u in units:
             if u not in self.units:
@@ -256,9 +257,29 @@ class Pieces:
         self._write("loss", known, best - np.array(other))
         self._write("size", known, size)
         self._write("start", known, self.used + np.cumsum(size) - size)
+        self._write("seen", known, np.zeros(len(units), np.uint8))
         self._write("ids", self.used, np.fromiter(chain.from_iterable(ids), np.int32, used - self.used))
         self.used = used
 
+    def _forget(self):
+        """Keep at most half of what may be kept: the units that most documents held lately."""
+        seen = self.seen[:len(self.units)]
+        fewest = 2
+        while (seen >= fewest).sum() > CACHE_UNITS // 2 and fewest < 255:
+            fewest += 1
+        keep = np.flatnonzero(seen >= fewest)[:CACHE_UNITS // 2]
+        names = list(self.units)
+        units = [names[i] for i in keep.tolist()]
+        best, loss, size = self.best[keep], self.loss[keep], self.size[keep]
+        ids = self.ids[np.repeat(self.start[keep], size) + runs_of(size)]
+        self._reset()
+        self.units.update(zip(units, range(len(units))))
+        for name, values in (("best", best), ("loss", loss), ("size", size), ("start", np.cumsum(size) - size)):
+            self._write(name, 0, values)
+        self._write("ids", 0, ids)
+        self._write("seen", 0, np.zeros(len(units), np.uint8))
+        self.used = len(ids)
+
     def _write(self, name: str, at: int, values: np.ndarray):
         """Put values into an array that grows by doubling."""
         old = getattr(self, name)
@@ -291,6 +312,7 @@ class Pieces:
         if not units:
             return [(0.0, np.zeros(0, np.int32))]
         at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        self.seen[at] = np.minimum(self.seen[at], 254) + 1
         base, size = float(self.best[at].sum()), self.size[at]
         ids = self.ids[np.repeat(self.start[at], size) + runs_of(size)]
         loss = self.loss[at]
