@@ -135,8 +135,12 @@ def _distance():
 
 
 def _half(rows: DataFrame, key: str) -> DataFrame:
-    """Per group the histogram bin of the distances that half of its members do not exceed."""
-    counts = rows.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("n"))
+    """Per group the histogram bin of the distances that half of its members do not exceed.
+
+    The histogram is written first: planned together, counting would be dealt by group alone, to suit
+    the windows, and every task's counts of a large group would meet in one task.
+    """
+    counts = materialise(rows.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("n")))
     upto = F.sum("n").over(W.partitionBy(key).orderBy("bin"))
     total = F.sum("n").over(W.partitionBy(key))
     return (counts.withColumn("_u", upto).withColumn("_t", total).filter(F.col("_u") * 2 >= F.col("_t"))
