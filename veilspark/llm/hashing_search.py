@@ -7,36 +7,40 @@ substring lies within floor(r / substrings), so probing those buckets in every t
 code within r. The radius grows by whole steps until ``pool`` codes of the block are certain to be
 found, and all of them are reranked by the inner product of the original vectors in double precision.
 
-Layout: every row is indexed. Rows are dealt by id into blocks of about ``block_rows``, packed as one
-binary row each; the stated queries are packed the same way and meet every block. A block returns the
-best ``k`` per query, and one window keeps the best of all.
+Layout: every row is indexed. Rows are dealt by a hash of id and place into blocks of about
+``block_rows``, the stated queries into slices of about ``slice_rows``, and a task gets one block with
+one slice: a row is shuffled once per slice and a query once per block, never once per pair. A table
+of a block holds, per value of a substring that is asked for, one bitmap of the rows within the probed
+flips, so probing is a union of ``substrings`` bitmaps. A block returns the best ``k`` per query, and
+one window keeps the best of all.
 
 The sample (``FIT_ROWS`` rows with the smallest seeded hash) only shapes the codes; recall is measured
 against brute force in the tests.
 
 Defined results: vectors that are NULL, zero, of another length than most, or hold NULL or non-finite
 components take no part, as query or as candidate. Rows that repeat an id are the same candidate only
-if they are the query's own id, which is left out. With fewer than k candidates all are returned. An
+if they are the query's own id, which is left out. Queries that repeat an id count once, with the
+smallest of their vectors. With fewer than k candidates all are returned. An
 empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.llm.common import md5_of, query, table
+from veilspark.runtime import materialise, shuffle_partitions
 
 #: Rows the rotation is learned from; the bound of what the driver sees.
 FIT_ROWS = 4_000
 BITS = 64
 SUBSTRINGS = 8
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 16_384
+SLICE_ROWS = 4_096
 #: Codes each block reranks per query: at least this many, and at least this share of the block.
 POOL = 400
 POOL_SHARE = 0.2
@@ -67,108 +71,103 @@ def learn_codes(sample: np.ndarray, bits: int, rounds: int = 30) -> tuple[np.nda
 
 def code_words(x: np.ndarray, mean: np.ndarray, proj: np.ndarray, substrings: int) -> np.ndarray:
     """Codes as an array (rows, substrings) of small integers."""
-    bits = ((x - mean) @ proj > 0).astype(np.int64)
+    bits = ((x - mean) @ proj > 0).astype(np.uint16)
     pad = -bits.shape[1] % substrings
     bits = np.pad(bits, ((0, 0), (0, pad))).reshape(len(x), substrings, -1)
-    return (bits << np.arange(bits.shape[2])).sum(axis=2)
+    return (bits << np.arange(bits.shape[2], dtype=np.uint16)).sum(axis=2, dtype=np.uint16)
 
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
 class BlockIndex:
-    """One table per substring over the codes of a block."""
+    """One table per substring over the codes of a block, for the codes that will be asked."""
 
-    def __init__(self, codes: np.ndarray, width: int):
+    def __init__(self, codes: np.ndarray, asked: np.ndarray, width: int):
         self.codes, self.width = codes, width
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.starts = [np.searchsorted(c[o], np.arange((1 << width) + 1)) for c, o in zip(codes.T, self.order)]
-
-    def within(self, code: np.ndarray, flips: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of every code one of whose substrings is within ``flips`` of the query's;
-        that is every code within radius substrings * (flips + 1) - 1."""
-        found = []
-        for value, order, starts in zip(code, self.order, self.starts):
-            for n in range(flips + 1):
-                for where in combinations(range(self.width), n):
-                    bucket = int(value) ^ sum(1 << w for w in where)
-                    found.append(order[starts[bucket]:starts[bucket + 1]])
-        seen = np.zeros(len(self.codes), dtype=bool)
-        seen[np.concatenate(found)] = True
-        rows = np.flatnonzero(seen)
-        return rows, _ONES[self.codes[rows] ^ code].sum(axis=1)
-
-    def pool(self, code: np.ndarray, least: int) -> np.ndarray:
-        """Every row within the smallest whole-step radius that holds ``least`` rows."""
-        for flips in range(self.width + 1):
-            radius = len(code) * (flips + 1) - 1
-            rows, far = self.within(code, flips)
-            if (far <= radius).sum() >= least or len(rows) == len(self.codes):
-                near = np.sort(far)[min(least, len(far)) - 1]
-                return rows[far <= near]
+        self.values, self.where = zip(*(np.unique(c, return_inverse=True) for c in asked.T))
+        self.tables: dict[int, list[np.ndarray]] = {}
+        self.flips = 0
+
+    def table(self, flips: int) -> list[np.ndarray]:
+        """Per substring a bitmap of rows for each asked value: those at most ``flips`` bits from it."""
+        if flips not in self.tables:
+            self.tables[flips] = [
+                np.packbits(np.stack([_ONES[c ^ v] <= flips for v in values]), axis=1)
+                for c, values in zip(self.codes.T, self.values)]
+        return self.tables[flips]
+
+    def within(self, nr: int, flips: int) -> np.ndarray:
+        """Every row one of whose substrings is within ``flips`` of the asked code number ``nr``; that
+        is every code within radius substrings * (flips + 1) - 1."""
+        hit = np.bitwise_or.reduce([t[w[nr]] for t, w in zip(self.table(flips), self.where)])
+        return np.flatnonzero(np.unpackbits(hit, count=len(self.codes)))
+
+    def pool(self, nr: int, code: np.ndarray, least: int) -> np.ndarray:
+        """Every row within the smallest radius that holds ``least`` rows, or all rows.
+
+        Probing starts at the flips the code before needed: more flips than necessary retrieve more
+        rows, but leave the same ones within the radius."""
+        for flips in range(self.flips, self.width + 1):
+            rows = self.within(nr, flips)
+            far = _ONES[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64)
+            if (far < len(code) * (flips + 1)).sum() >= least or len(rows) == len(self.codes):
+                self.flips = flips
+                least = min(least, len(far))
+                return rows[far <= np.partition(far, least - 1)[least - 1]]
         return np.arange(len(self.codes))
 
 
 def search(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding",
-           bits: int = BITS, substrings: int = SUBSTRINGS, block_rows: int = BLOCK_ROWS, pool: int = POOL,
-           pool_share: float = POOL_SHARE, fit_rows: int = FIT_ROWS) -> DataFrame:
+           bits: int = BITS, substrings: int = SUBSTRINGS, block_rows: int = BLOCK_ROWS,
+           slice_rows: int = SLICE_ROWS, pool: int = POOL, pool_share: float = POOL_SHARE,
+           fit_rows: int = FIT_ROWS) -> DataFrame:
     """The ``k`` nearest rows of ``df`` found for each row of ``queries`` by inner product."""
     spark = df.sparkSession
-    out = "query_id long, vec_id long, score double"
-    rows = usable(df, vec).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    asked = usable(queries, vec).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(df.dtypes)[vec] == "array<float>" else "array<double>"
+    plain = lambda x: usable(x, vec).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vec).cast(kind).alias("v")).filter(F.col("id").isNotNull())
+    # written, so that a row keeps its block when a lost task is run again
+    rows = materialise(plain(df).withColumn("h", F.xxhash64("id", F.monotonically_increasing_id())))
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = (x.filter((F.size("v") == dims["d"]) & F.col("id").isNotNull()) for x in (rows, asked))
-    sample = rows.orderBy(md5_of("fit", F.col("id")), "v").limit(fit_rows).select("v").toPandas()["v"]
-    mean, proj = learn_codes(np.stack(sample.tolist()), bits)
-    proj_b, mean_b, d = proj.tobytes(), mean.tobytes(), dims["d"]
+    d, n_rows = dims["d"], dims["count"]
+    rows = rows.filter(F.size("v") == d)
+    asked = materialise(plain(queries).filter(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v")))
+    sample = rows.select("id", "v").orderBy(md5_of("fit", F.col("id")), "v").limit(fit_rows).toPandas()["v"]
+    mean, proj = learn_codes(np.stack(sample.tolist()).astype(float), bits)
     width = -(-proj.shape[1] // substrings)
 
-    def packed(frame: DataFrame, blocks: int, name: str) -> DataFrame:
-        def pack(key, pdf):
-            import pandas as pd
-
-            pdf = pdf.sort_values("id", kind="stable")
-            return pd.DataFrame({name: [int(key[0])], f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-                                 f"{name}_v": [np.stack(pdf["v"].tolist()).astype(np.float64).tobytes()]})
-
-        keyed = frame.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        return keyed.groupBy("_b").applyInPandas(pack, f"{name} long, {name}_ids binary, {name}_v binary")
-
-    def answer(batches):
-        m, p = np.frombuffer(mean_b).copy(), np.frombuffer(proj_b).reshape(d, -1)
-        last, index, ids, v = None, None, None, None
-        for batch in batches:
-            for c, c_ids, c_v, q_ids, q_v in zip(*(x.to_pylist() for x in batch.columns)):
-                if c != last:
-                    ids, v = np.frombuffer(c_ids, np.int64), np.frombuffer(c_v).reshape(-1, d)
-                    index, last = BlockIndex(code_words(v, m, p, substrings), width), c
-                asked_ids, asked_v = np.frombuffer(q_ids, np.int64), np.frombuffer(q_v).reshape(-1, d)
-                least = max(pool, int(pool_share * len(ids)))
-                res = []
-                for qid, q, code in zip(asked_ids, asked_v, code_words(asked_v, m, p, substrings)):
-                    near = index.pool(code, least)
-                    near = near[ids[near] != qid]
-                    score = v[near] @ q
-                    if len(near) > k:
-                        cut = np.partition(score, len(score) - k)[len(score) - k]
-                        keep = score >= cut
-                        near, score = near[keep], score[keep]
-                    best = np.lexsort((ids[near], -score))[:k]
-                    res.append((np.full(len(best), qid), ids[near][best], score[best]))
-                cols = [np.concatenate(x) for x in zip(*res)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
-                    ["query_id", "vec_id", "score"])
-
-    n_rows, n_asked = rows.count(), asked.count()
-    cand = packed(rows, max(1, -(-n_rows // block_rows)), "c")
-    ask = packed(asked, max(1, -(-n_asked // 256)), "q")
+    def answer(cand: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        res = []
+        if len(cand) and len(ask):
+            ids, v = cand["id"].to_numpy(np.int64), np.stack(cand["v"].tolist()).astype(np.float64)
+            asked_v = np.stack(ask["v"].tolist()).astype(np.float64)
+            codes = code_words(asked_v, mean, proj, substrings)
+            index = BlockIndex(code_words(v, mean, proj, substrings), codes, width)
+            least = max(pool, int(pool_share * len(ids)))
+            for nr, (qid, q, code) in enumerate(zip(ask["id"].to_numpy(np.int64), asked_v, codes)):
+                near = index.pool(nr, code, least)
+                near = near[ids[near] != qid]
+                score = v[near] @ q
+                if len(near) > k:
+                    keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    near, score = near[keep], score[keep]
+                best = np.lexsort((ids[near], -score))[:k]
+                res.append((np.full(len(best), qid), ids[near][best], score[best]))
+        cols = [np.concatenate(x) for x in zip(*res)] if res else [np.empty(0)] * 3
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
+
     # a stated query set against all rows, in blocks
-    pairs = cand.crossJoin(ask).repartition(F.col("c"), F.pmod(F.col("q"), F.lit(8))).sortWithinPartitions("c")
-    found = pairs.select("c", "c_ids", "c_v", "q_ids", "q_v").mapInArrow(answer, out)
+    blocks, slices = max(1, -(-n_rows // block_rows)), max(1, -(-asked.count() // slice_rows))
+    parts = max(shuffle_partitions(spark), blocks * slices)
+    cand = rows.select(F.pmod("h", F.lit(blocks)).cast("int").alias("c"),
+                       F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("q"), "id", "v")
+    ask = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"),
+                       F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("q"), "id", "v")
+    found = cand.repartition(parts, "c", "q").groupBy("c", "q").cogroup(
+        ask.repartition(parts, "c", "q").groupBy("c", "q")).applyInPandas(answer, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
