@@ -106,7 +106,7 @@ def _pack(tokens: np.ndarray, ords: np.ndarray, counts: np.ndarray) -> bytes:
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data) // 12
     tokens = np.cumsum(_unplanes(data[:6 * n], 6, n)) << np.uint64(16)
-    return tokens, _unplanes(data[6 * n:8 * n], 2, n), _unplanes(data[8 * n:], 4, n)
+    return tokens, _unplanes(data[6 * n:8 * n], 2, n).astype(np.uint16), _unplanes(data[8 * n:], 4, n).astype(np.uint32)
 
 
 _SENT = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("ids", pa.binary()),
@@ -171,19 +171,23 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
     if pdf["part"].iloc[0] < 0:
         return pdf[["chunk", "data", "ids", "facts"]]
     blobs = [_unpack(x) for x in pdf["data"]]
+    n_blobs = len(blobs)
+    place = np.repeat(np.arange(n_blobs, dtype=np.int32), [len(b[0]) for b in blobs])
     token, lone, count = (np.concatenate(x) for x in zip(*blobs))
-    place = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
+    # the largest arrays of the operator: each goes as soon as it has been used
+    del blobs
     order = np.argsort(token, kind="stable")
     token = token[order]
-    head = np.ones(len(token), dtype=bool)
-    head[1:] = token[1:] != token[:-1]
-    group = np.cumsum(head) - 1
-    total = np.bincount(group, weights=count[order])[group]
-    keep = total > 1
-    order, token, total = order[keep], token[keep], np.minimum(total[keep], 2**32 - 1).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    total = np.add.reduceat(count[order].astype(np.int64), first)
+    del count
+    times = np.diff(np.append(first, len(token)))
+    keep = np.repeat(total > 1, times)
+    order, token = order[keep], token[keep]
+    total = np.repeat(np.minimum(total, 2**32 - 1).astype(np.uint64)[total > 1], times[total > 1])
     place, lone = place[order], lone[order]
     by = np.argsort(place, kind="stable")
-    cut = np.searchsorted(place[by], np.arange(len(blobs) + 1))
+    cut = np.searchsorted(place[by], np.arange(n_blobs + 1))
     data = [_pack(token[by[a:b]], lone[by[a:b]], total[by[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
     return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "data": data, "ids": None, "facts": None})
 
