@@ -45,7 +45,8 @@ def marginality(
     """Marginality against a counted sample.
 
     ``counts`` has ``by``, ``value`` and ``n``. ``targets`` says which values get a marginality
-    in each group: those of the sample, the ``domain``, all ``leaves``, or all ``nodes``.
+    in each group: those of the sample, the ``domain``, all ``leaves``, or all ``nodes``. NULL and
+    values outside the hierarchy have no distance: they count for nothing and get no marginality.
     """
     by = by or []
     table = tax.nodes

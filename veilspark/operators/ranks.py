@@ -225,7 +225,7 @@ def nearest_numeric(points: DataFrame, column: DataFrame) -> DataFrame:
     up = F.coalesce(F.first(y, True).over(order.rowsBetween(0, W.unboundedFollowing)), carry(above))
     found = parts.withColumn("_lo", down).withColumn("_hi", up).filter("side = 1")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(
-        F.abs(F.col("v") - F.col(c)["y"]).alias("d"), F.col(c)["r"].alias("r"), F.col(c)["y"].alias("y")))
+        F.round(F.abs(F.col("v") - F.col(c)["y"]), TIE_DIGITS).alias("d"), F.col(c)["r"].alias("r"), F.col(c)["y"].alias("y")))
     best = F.array_min(F.array_compact(F.array(option("_lo"), option("_hi"))))
     return found.select(F.col("v").alias("x"), best["y"].alias("nearest"))
 

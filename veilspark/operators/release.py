@@ -11,9 +11,10 @@ from veilspark.functions.cells import is_range, number_text, round_clamp
 from veilspark.functions.noise import fresh_seed, gumbel, laplace, uniform
 from veilspark.operators.marginality import categorical_mean, least_marginal, marginality, value_counts
 from veilspark.operators.microaggregation import microaggregate
+from veilspark.operators.taxonomy import leaf_domain
 from veilspark.runtime import materialise
 from veilspark.sources.tables import attach_grid
-from veilspark.spec import QI, names
+from veilspark.spec import QI, STAR, names
 
 
 def numeric_centroid(df: DataFrame, col: str, by: list[str] = ["cluster_id"]) -> DataFrame:
@@ -59,6 +60,10 @@ def dp_categorical_centroid(
 
 def _dp_centroid(counts, qi, eps, n, k, seed, by, iterations=None) -> DataFrame:
     single = not isinstance(eps, list)
+    # counted zero times, so that a cluster without a known value draws from the whole domain
+    some = leaf_domain(qi.tax).agg(F.min_by("leaf", "leaf_ord").alias("value"))
+    none = counts.select(*by).distinct().join(F.broadcast(some)).withColumn("n", F.lit(0).cast("bigint"))
+    counts = counts.select(*by, "value", "n").unionByName(none)
     margins = marginality(counts, qi.tax, by, targets="domain")
     grid = attach_grid(margins, eps=[float(eps)] if single else eps, iteration=iterations or [1])
     logit = -F.col("eps") * F.col("marginality") / F.lit(2 * (n / k) * qi.span)
@@ -76,7 +81,9 @@ def centroid_table(
     """One row per cluster with the centroid of every attribute; with ``dp``, one per cluster,
     eps and iteration, categories drawn by the exponential mechanism.
 
-    Rows meet their clusters once: categories are reduced to counts per cluster and value there.
+    Rows meet their clusters once: categories are reduced to counts per cluster and value there. A
+    cluster whose values are all NULL or outside the hierarchy gets ``*``; with ``dp`` it draws from
+    the whole domain alike.
     """
     by = ["cluster_id"]
     members = df.select(rid, *names(qis)).join(clusters, rid)
@@ -104,7 +111,8 @@ def centroid_table(
         else:
             one = least_marginal(marginality(mine, q.tax, by), by).withColumnRenamed("mean", "centroid")
         keys = [*by, "eps", "iteration"] if dp else by
-        out = out.join(one.withColumnRenamed("centroid", q.name), keys)
+        out = out.join(one.withColumnRenamed("centroid", q.name), keys, "left").withColumn(
+            q.name, F.coalesce(q.name, F.lit(STAR)))
     lead = [*by, "eps", "iteration"] if dp else by
     return out.select(*lead, *names(qis))
 

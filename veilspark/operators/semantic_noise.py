@@ -11,27 +11,31 @@ from veilspark.operators.marginality import (
 )
 from veilspark.operators.ranks import nearest_numeric
 from veilspark.operators.taxonomy import MATRIX_NODES, Taxonomy, similarity_distance
-from veilspark.runtime import BROADCAST_ROWS, small
+from veilspark.runtime import lookup
+from veilspark.spec import STAR
 
 # Noise below this size leaves a value unchanged.
 SKIP_BELOW = 0.01
+# Up to so many values ride along as one array; more go through a sorted join, with the same result.
+LIST_VALUES = 1_000
 
 
 def nearest_by_marginality(df: DataFrame, target: str, margins: DataFrame, out: str = "nearest",
-                           rows: int = 0) -> DataFrame:
+                           rows: int | None = None) -> DataFrame:
     """The value whose marginality is nearest to the number in ``target``; first in file order on
-    ties. ``margins`` has value, leaf_ord, marginality.
+    ties. ``margins`` has value, leaf_ord, marginality. A NULL target has no nearest value.
 
     A short value list rides along as one array and the rows do not move; a long one goes through
-    the sorted nearest-number join.
+    the sorted nearest-number join. Both compare gaps rounded alike.
     """
     clean = margins.select(F.round("marginality", TIE_DIGITS).alias("m"), "leaf_ord", "value")
-    if rows <= BROADCAST_ROWS // 10:
+    if (clean.count() if rows is None else rows) <= LIST_VALUES:
         options = clean.agg(F.collect_list(F.struct("m", "leaf_ord", "value")).alias("_options"))
         best = F.array_min(F.transform("_options", lambda o: F.struct(
             F.round(F.abs(o["m"] - F.col(target)), TIE_DIGITS).alias("d"),
             o["leaf_ord"].alias("o"), o["value"].alias("v"))))
-        return df.join(F.broadcast(options)).withColumn(out, best["v"]).drop("_options")
+        return df.join(F.broadcast(options)).withColumn(
+            out, F.when(F.col(target).isNotNull(), best["v"])).drop("_options")
     first = clean.groupBy("m").agg(F.min_by("value", "leaf_ord").alias(out))
     near = nearest_numeric(
         df.select(F.col(target).alias("x")),
@@ -43,21 +47,22 @@ def nearest_by_marginality(df: DataFrame, target: str, margins: DataFrame, out:
 def marginality_noise(df: DataFrame, col: str, tax: Taxonomy, level: float, seed: str | None = None,
                       normalise: bool = False, rid: str = "rid") -> DataFrame:
     """Map values to marginalities, add Laplace noise scaled by the marginality gap of the two
-    ends of the column, and map back to the nearest value. Adds column ``noisy``."""
+    ends of the column, and map back to the nearest value. Adds column ``noisy``. NULL and values
+    outside the hierarchy become ``*``."""
     seed = fresh_seed(seed)
     margins = marginality_sample(df, col, tax, targets="leaves")
     if normalise:
         margins = normalised(margins)
     ends = boundary_from_mean(df, col, tax)
     side = lambda c: margins.select(F.col("value").alias(c), F.col("marginality").alias(f"_{c}"))
-    gap = ends.join(side("bound1"), "bound1").join(side("bound2"), "bound2").select(
-        F.abs(F.col("_bound1") - F.col("_bound2")).alias("_gap"))
+    gap = ends.join(side("bound1"), "bound1").join(side("bound2"), "bound2").agg(
+        F.max(F.abs(F.col("_bound1") - F.col("_bound2"))).alias("_gap"))
     u = uniform(seed, "marginality", col, F.col(rid))
     own = margins.select(F.col("value").alias(col), F.col("marginality").alias("_m"))
-    noisy = tax.lookup(df, own, col).join(F.broadcast(gap)).withColumn(
+    noisy = tax.lookup(df, own, col, "left").join(F.broadcast(gap)).withColumn(
         "_target", F.col("_m") + laplace(u, F.col("_gap") * F.lit(float(level))))
-    return nearest_by_marginality(noisy, "_target", margins, "noisy", tax.facts["rows"]).drop(
-        "_m", "_gap", "_target")
+    near = nearest_by_marginality(noisy, "_target", margins, "noisy", tax.facts["rows"])
+    return near.withColumn("noisy", F.coalesce("noisy", F.lit(STAR))).drop("_m", "_gap", "_target")
 
 
 def _value_options(df: DataFrame, col: str, tax: Taxonomy, mean: DataFrame) -> DataFrame:
@@ -86,7 +91,8 @@ def semantic_noise(df: DataFrame, col: str, tax: Taxonomy, level: float, seed: s
     below 0.01 changes nothing; with ``skip='signed'`` every negative e counts as below. The mean
     value moves to the closest candidate. Otherwise e > 0 takes the closest candidate farther from
     the mean than the value, else the farthest candidate; e < 0 the closest candidate nearer to
-    the mean, else the closest candidate. Ties are drawn with the seed.
+    the mean, else the closest candidate. Ties are drawn with the seed. NULL and values outside the
+    hierarchy become ``*``.
     """
     if skip not in ("abs", "signed"):
         raise ValueError("skip must be 'abs' or 'signed'")
@@ -95,7 +101,8 @@ def semantic_noise(df: DataFrame, col: str, tax: Taxonomy, level: float, seed: s
     scale = distance_variance(df, col, tax, targets="nodes")
     options = _value_options(df, col, tax, mean).withColumnRenamed("value", col)
     e = F.col("_e")
-    rows = df.join(small(options, tax.facts["rows"]), col).join(F.broadcast(scale)).withColumn(
+    # every row of options holds all leaves
+    rows = lookup(df, options, [col], tax.facts["rows"] * tax.domain_size, "left").join(F.broadcast(scale)).withColumn(
         "_e", laplace(uniform(seed, "semantic", col, F.col(rid)), F.col("variance") * F.lit(float(level))))
     tie = uniform(seed, "semantic tie", col, F.col(rid))
 
@@ -110,7 +117,8 @@ def semantic_noise(df: DataFrame, col: str, tax: Taxonomy, level: float, seed: s
     closer = F.filter("_near", lambda s: s["dm"] < F.col("_mean_d"))
     unchanged = (F.abs(e) if skip == "abs" else e) < SKIP_BELOW
     noisy = (
-        F.when(F.size("_near") == 0, pick(F.col("_leaves"), False))
+        F.when(F.col("_leaves").isNull(), F.lit(STAR))
+        .when(F.size("_near") == 0, pick(F.col("_leaves"), False))
         .when(unchanged, F.col(col))
         .when(F.col(col) == F.col("mean"), pick(F.col("_near"), True))
         .when(e > 0, F.coalesce(pick(farther, True), pick(F.col("_near"), False)))

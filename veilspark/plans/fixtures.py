@@ -123,6 +123,13 @@ def customer_qi(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_acctbal").alias("acctbal"))
 
 
+def blank_customer_qi(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of whom a quarter has no nation and another quarter one that the hierarchy lacks."""
+    part = F.col("rid") % 4
+    return customer_qi(spark, sf).withColumn(
+        "nation", F.when(part == 1, F.lit("NOWHERE")).when(part != 0, F.col("nation")))
+
+
 def customer_qis(spark: SparkSession, sf: str) -> list[QI]:
     return [category(spark, sf, "segment"), category(spark, sf, "nation"), ACCTBAL]
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators import classes, linkage, metrics, ranks
@@ -10,6 +13,7 @@ from veilspark.plans import sqltext as q
 from veilspark.plans.catalog import query
 from veilspark.plans.queries_release import KANON, SEED, _anonymous, g4
 from veilspark.plans.queries_tables import r6
+from veilspark.sources.tables import attach_grid
 
 PENALTIES = ["granularity", "intensity", "discernibility", "entropy", "groupsize", "sse"]
 BAND_SHARE = "CASE WHEN acctbal = '9000.00_10000.00' THEN 100001 ELSE 100000 END / 1100001e0"
@@ -183,13 +187,16 @@ def i4(spark, sf):
     return ranks.nearest_numeric(points, column)
 
 
-@query("i5_nearest_category", q.with_(q.NATION_T, q.CUSTOMER_QI, MASKED) + """SELECT x, arg_min(y, round(d, 9) * 1e9 + r) AS nearest FROM
- (SELECT DISTINCT nation AS x FROM c), (SELECT nation AS y, min(rid) AS r FROM z WHERE nation < 'NATION_2' GROUP BY 1), nt_d
+@query("i5_nearest_category", q.with_(q.NATION_T, q.CUSTOMER_QI) + """SELECT x, arg_min(y, round(d, 9) * 1e9 + r) AS nearest FROM
+ (SELECT DISTINCT nation AS x FROM c), (SELECT n_name AS y, min(c_custkey) AS r FROM customer JOIN nation ON c_nationkey - c_nationkey % 2 = n_nationkey GROUP BY 1), nt_d
  WHERE a = x AND b = y GROUP BY x""")
 def i5(spark, sf):
     points = fx.customer_qi(spark, sf).select(F.col("nation").alias("x"))
-    column = fx.masked_qi(spark, sf).filter("nation < 'NATION_2'").select(
-        F.col("nation").alias("y"), F.col("rid").alias("first_rid"))
+    # released nations: every second one is merged into the one before it
+    nation = F.broadcast(fx.table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    column = fx.table(spark, sf, "customer").join(
+        nation, F.col("c_nationkey") - F.col("c_nationkey") % 2 == F.col("n_nationkey")).select(
+        F.col("n_name").alias("y"), F.col("c_custkey").alias("first_rid"))
     return ranks.nearest_category(points, column, fx.category(spark, sf, "nation"))
 
 
@@ -379,15 +386,23 @@ def j10(spark, sf):
     return r6(ev.suppressed_records(fx.sample_releases(spark, sf), fx.customer_qis(spark, sf)), "share_suppressed")
 
 
-@query("j11_suppressed_attributes", q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI, SAMPLE) + f"""SELECT {BY} CASE WHEN param = 2 THEN 3 ELSE 1 END AS n_suppressed_attrs
- FROM r GROUP BY ALL""")
+J11_LEVELS = {1.0: [0, 2, 1], 2.0: [2, 2, 1], 3.0: [1, 1, 1], 4.0: [0, 0, 0]}
+J11_VALUES = ", ".join(f"({p}e0, {s}, {n}, {a})" for p, (s, n, a) in J11_LEVELS.items())
+
+
+@query("j11_suppressed_attributes", q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI) + f"""
+, r AS (SELECT p AS param, s.node AS segment, n.node AS nation,
+  CASE la WHEN 0 THEN {q.ACCTBAL_TEXT} ELSE {q.ACCTBAL_BAND} END AS acctbal FROM c, (VALUES {J11_VALUES}) v(p, ls, ln, la), st_c s, nt_c n
+  WHERE s.leaf = c.segment AND s.level = ls AND n.leaf = c.nation AND n.level = ln),
+ k AS (SELECT *, count(*) OVER (PARTITION BY param, segment, nation, acctbal) < {KANON} AS small FROM r)
+ SELECT 'flat' AS model, param, 1 AS iteration, coalesce(max((segment = '*')::INT + (nation = '*')::INT) FILTER (NOT small), 3) AS n_suppressed_attrs
+ FROM k GROUP BY param""")
 def j11(spark, sf):
-    rel, qis = fx.sample_releases(spark, sf), fx.customer_qis(spark, sf)
-    # parameter 1 hides one attribute, parameter 2 hides every row
-    hide = lambda c, when: F.when(when, F.lit("*")).otherwise(F.col(c)).alias(c)
-    two = F.col("param") == 2
-    rel = rel.select("model", "param", "iteration", "rid", hide("segment", two), hide("nation", two), hide("acctbal", F.lit(True)))
-    return ev.suppressed_attributes(rel, qis)
+    """k-anonymous releases at four nodes; the last, without generalisation, leaves no class."""
+    df, qis = fx.customer_qi(spark, sf), fx.customer_qis(spark, sf)
+    parts = [attach_grid(classes.k_anonymise(df, qis, levels, KANON), model=["flat"], param=[p], iteration=[1])
+             for p, levels in J11_LEVELS.items()]
+    return ev.suppressed_attributes(reduce(DataFrame.unionByName, parts), qis)
 
 
 @query("j12_compare", N_CTES + """, x AS (SELECT 'swept' AS model, param, score FROM nm WHERE metric = 'sse'

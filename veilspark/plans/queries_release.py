@@ -97,10 +97,10 @@ def _gumbel(eps, it, attr, cluster, value):
     return f"(-ln(-ln({q.u(SEED, 'centroid', repr(attr), repr(str(eps)), repr(str(it)), cluster, value)})))"
 
 
-def _dp_centroid(n: str, attr: str, eps: float, it: int = 1, name: str | None = None) -> str:
+def _dp_centroid(n: str, attr: str, eps: float, it: int = 1, name: str | None = None, k: int = K) -> str:
     """CTEs of the exponential-mechanism centroid of one attribute per cluster."""
     name = name or f"dp_{attr}"
-    return f"""{name} AS (SELECT cluster_id, arg_max(value, -{eps}e0 * m / (2 * (total / {K}e0) * distance)
+    return f"""{name} AS (SELECT cluster_id, arg_max(value, -{eps}e0 * m / (2 * (total / {k}e0) * distance)
    + {_gumbel(eps, it, attr, 'cluster_id', 'value')}) AS {attr}
  FROM (SELECT cluster_id, leaf AS value, sum(n * d) AS m FROM {n}_dom JOIN {n}_d ON a = leaf
    JOIN (SELECT cluster_id, {attr}, count(*) AS n FROM cl GROUP BY ALL) ON b = {attr} GROUP BY ALL),
@@ -130,10 +130,10 @@ def e8(spark, sf):
     return r6(release.apply_centroids(clusters, release.centroid_table(df, clusters, qis)), "acctbal")
 
 
-def _noisy(value, attr, eps, it, lo, hi, decimals, integer=False, parts=True):
+def _noisy(value, attr, eps, it, lo, hi, decimals, integer=False, parts=True, k=K):
     span = hi - lo
     extra = [repr(str(eps)), repr(str(it))] if parts else []
-    noise = q.laplace(q.u(SEED, "laplace", repr(attr), *extra, "rid"), f"{span}e0 / {eps}e0 / {K}e0")
+    noise = q.laplace(q.u(SEED, "laplace", repr(attr), *extra, "rid"), f"{span}e0 / {eps}e0 / {k}e0")
     total = f"round_even({noise}, 0) + round_even({value}, 0)" if integer else f"round_even({value} + {noise}, {decimals})"
     kind = "BIGINT" if decimals == 0 else f"DECIMAL(18,{decimals})"
     return f"CAST(least(greatest({total}, {lo}), {hi}) AS {kind})::VARCHAR"
@@ -176,16 +176,26 @@ def e10_sweep(spark, sf):
 # ---- semantic noise
 
 
-@query("f1_marginality_noise", q.with_(q.NATION_T, q.CUSTOMER_QI) + SAMPLE_MARG + f""",
+F1_SQL = SAMPLE_MARG + f""",
  gap AS (SELECT abs(x.m - y.m) AS gap FROM b1, b2, lm x, lm y WHERE x.value = bound1 AND y.value = bound2),
  t AS (SELECT rid, nation, m + {q.laplace(q.u(SEED, 'marginality', "'nation'", 'rid'), 'gap * 0.5e0')} AS target
-  FROM c JOIN lm ON value = nation, gap)
- SELECT rid, nation, arg_min(value, round(abs(round(m, 9) - target), 9) * 1e6 + leaf_ord / 1000e0) AS noisy FROM t, lm GROUP BY ALL""")
+  FROM c JOIN lm ON value = nation, gap),
+ f AS (SELECT rid, arg_min(value, round(abs(round(m, 9) - target), 9) * 1e6 + leaf_ord / 1000e0) AS noisy FROM t, lm GROUP BY rid)
+ SELECT c.rid, c.nation, coalesce(noisy, '*') AS noisy FROM c LEFT JOIN f USING (rid)"""
+
+
+@query("f1_marginality_noise", q.with_(q.NATION_T, q.CUSTOMER_QI) + F1_SQL)
 def f1(spark, sf):
     return sn.marginality_noise(fx.customer_qi(spark, sf), "nation", fx.taxonomy(spark, sf, "nation"), 0.5, SEED).select(
         "rid", "nation", "noisy")
 
 
+@query("f1_marginality_noise_blanks", q.with_(q.NATION_T, q.BLANK_QI) + F1_SQL)
+def f1_blanks(spark, sf):
+    return sn.marginality_noise(fx.blank_customer_qi(spark, sf), "nation", fx.taxonomy(spark, sf, "nation"), 0.5, SEED).select(
+        "rid", "nation", "noisy")
+
+
 @query("f2_nearest_by_marginality", q.with_(q.NATION_T, q.CUSTOMER_QI) + SAMPLE_MARG + """
  SELECT rid, arg_min(value, round(abs(round(m, 9) - (800 + acctbal / 100)), 9) * 1e6 + leaf_ord / 1000e0) AS nearest
  FROM c, lm GROUP BY rid""")
@@ -404,7 +414,23 @@ def e9_events(spark, sf):
     return release.sanitise(fx.events_qi(spark, sf), fx.events_qis(spark, sf), 0.5, K, SEED)
 
 
-@query("e10_microdp_orders")
+ORDER_ATTRS = {"status": "ot", "priority": "pr", "order_month": "mo"}
+ORDER_FAR = " + ".join(f"power({t}_d.d / {t}_b.distance, 2)" for t in ORDER_ATTRS.values())
+ORDER_AT = " AND ".join(f"{t}_d.a = {a} AND {t}_d.b = {t}_b.bottom" for a, t in ORDER_ATTRS.items())
+ORDER_CLUSTERS = f"""c AS (SELECT * FROM o),
+ ord AS (SELECT c.*, row_number() OVER (ORDER BY round(sqrt({ORDER_FAR} + power(totalprice / 500000, 2)), 12), rid) - 1 AS pos,
+   count(*) OVER () AS total FROM c, ot_b, pr_b, mo_b, ot_d, pr_d, mo_d WHERE {ORDER_AT}),
+ cl AS (SELECT *, least(pos // 100, total // 100 - 1)::BIGINT AS cluster_id FROM ord)"""
+ORDER_CENTROIDS = [_dp_centroid(t, a, 1.0, k=100) for a, t in ORDER_ATTRS.items()]
+
+
+@query("e10_microdp_orders", q.with_(
+    q.STATUS_T, q.PRIORITY_T, q.MONTH_T, q.ORDERS_QI, ORDER_CLUSTERS, *ORDER_CENTROIDS,
+    "num AS (SELECT cluster_id, avg(totalprice) AS totalprice FROM cl GROUP BY 1)") + f"""
+ SELECT rid, dp_status.status, dp_priority.priority, dp_order_month.order_month,
+ {_noisy('num.totalprice', 'totalprice', 1.0, 1, 0, 500000, 2, k=100)} AS totalprice
+ FROM cl JOIN dp_status USING (cluster_id) JOIN dp_priority USING (cluster_id) JOIN dp_order_month USING (cluster_id)
+ JOIN num USING (cluster_id)""")
 def e10_orders(spark, sf):
     """One release of the orders; its clusters come from one sort of the whole table."""
     return release.microdp(fx.orders_qi(spark, sf), fx.orders_qis(spark, sf), 1.0, 100, SEED, "ordered")

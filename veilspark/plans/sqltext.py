@@ -24,6 +24,8 @@ SEGMENT, PRIORITY, STATUS = _values(SEGMENT_LINES), _values(PRIORITY_LINES), _va
 
 CUSTOMER_QI = """c AS (SELECT c_custkey AS rid, c_mktsegment AS segment, n_name AS nation, c_acctbal AS acctbal
  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+BLANK_QI = """c AS (SELECT c_custkey AS rid, c_mktsegment AS segment, CASE c_custkey % 4 WHEN 0 THEN NULL
+ WHEN 1 THEN 'NOWHERE' ELSE n_name END AS nation, c_acctbal AS acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 ORDERS_QI = """o AS (SELECT o_orderkey AS rid, o_orderstatus AS status, o_orderpriority AS priority,
  strftime(o_orderdate, '%Y-%m') AS order_month, o_totalprice AS totalprice FROM orders)"""
 PART_QI = "p AS (SELECT p_partkey AS rid, p_size AS size, p_retailprice AS retailprice FROM part)"
