@@ -185,6 +185,23 @@ def test_warc_round_trip(spark, tmp_path):
         assert r["payload"] is None if r["record_type"] == "revisit" else bytes(r["payload"] or b"") == want
 
 
+def test_warc_keeps_rows_that_share_a_page_id(spark, tmp_path):
+    long = "long é" * 3000
+    rows = [(None, "u", "a"), (None, "u", "b"), (None, "v", long), (None, "v", "a"), (5, "u", "c"), (5, "u", "d"),
+            (5, "w", long), (5, "w", "c"), (6, "u", "d"), (7, None, None), (7, None, "e")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "w"), segment_bytes=4096)
+    back = warc.read_records(spark, str(tmp_path / "w"))
+    back = back.withColumn("page_id", warc.page_of("record_id")).collect()
+    want = [(p, warc.digest((h or "").encode())) for p, _, h in rows]
+    assert sorted(((r["page_id"], r["payload_digest"]) for r in back), key=str) == sorted(want, key=str)
+    assert len({r["record_id"] for r in back}) == len(rows)
+    held = {r["record_id"]: r["payload_digest"] for r in back if r["record_type"] == "response"}
+    assert all(held[r["refers_to_id"]] == r["payload_digest"] for r in back if r["record_type"] == "revisit")
+    for r in back:
+        assert r["record_type"] == "revisit" or warc.digest(bytes(r["payload"] or b"")) == r["payload_digest"]
+
+
 def test_vector_search_recall(spark):
     got = QUERIES["op8_nearest_vectors"](spark, SF).collect()
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()

@@ -16,8 +16,9 @@ Sizes: archives are dealt out by the hash of the record so that a file holds abo
 payload; a group in the reassembly is one record.
 
 Defined results: NULL html is the empty payload. A NULL page_id is written as such and read back as
-NULL; it never is the smallest id unless all are NULL. Rows that repeat page_id and payload are records
-of their own, all of the type their id decides. An empty table gives empty archives and no rows. Extra
+NULL; it never is the smallest id unless all are NULL. A record's id is made of page_id, payload digest
+and copy, so rows that repeat page_id, NULL included, are records of their own, whatever their payloads;
+those with the same payload are all of the type their id decides. An empty table gives empty archives and no rows. Extra
 columns are ignored. A damaged file fails the job.
 """
 
@@ -130,17 +131,17 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     def build(batches):
         for batch in batches:
             out = []
-            for page, url, payload, copy, first in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                link = f"urn:page:{first}:1" if first is not None and page != first else None
+            for page, url, payload, sha, copy, first in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                link = f"urn:page:{first}:{sha}:1" if first is not None and page != first else None
                 address = " ".join((url or "").split())
-                out += page_records(f"urn:page:{page}:{copy}", address, payload, link, segment_bytes)
+                out += page_records(f"urn:page:{page}:{sha}:{copy}", address, payload, link, segment_bytes)
                 if sum(map(len, out[-64:])) > 8 << 20 or len(out) > 500:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     files = max(1, -(-total // file_bytes))
-    records = rows.select("page_id", "url", "payload", "copy", "first_id").mapInArrow(build, "value binary")
+    records = rows.select("page_id", "url", "payload", "sha", "copy", "first_id").mapInArrow(build, "value binary")
     (records.select(F.col("value").cast("string")).repartition(files, F.xxhash64("value"))
      .write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").text(path))
 
