@@ -1,5 +1,7 @@
 """The pipeline's stages, each judged on its own input."""
 
+import numpy as np
+
 import corpus_pipeline
 from veilspark.llm import jaccard_join, quality, secrets
 from veilspark.runtime import materialise
@@ -22,3 +24,20 @@ def test_stages(spark):
     assert not any(b in r["text"] for r in inputs[3].collect() for b in bad)
     assert set(ids[4]) <= set(ids[3]) and ids[5] == ids[4]
     assert docs.filter("not round_trip").count() == 0
+
+
+def test_stages_decide_by_row(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{'abcdefgh'[i % 8]}{'lmnop'[i % 5]}word{i}" for i in range(300)]
+    text = lambda: " ".join(rng.choice(words, 90))
+    key = '"24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    rows = [(i, text(), "en", "s") for i in range(150)]
+    rows += [(None, text(), "en", "s"), (None, "too short", "en", "s"), (None, None, "en", "s")]
+    rows += [(7, text(), "en", "s"), (7, "short as well", "en", "s"), (8, "no words", None, "s")]
+    rows += [(None, f"{text()} token = {key}", "en", "s"), (9, f"{text()} token = {key}", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = quality.quality_stage(spark, docs, SF)
+    want = [r for r in rows if r[1] is not None and len(r[1].split()) >= quality.MIN_WORDS]
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    redacted = [(r[0], r[1] and r[1].replace(key, f'"{secrets.REDACTED}"'), *r[2:]) for r in rows]
+    assert sorted(map(tuple, secrets.secret_stage(spark, docs, SF).collect()), key=str) == sorted(redacted, key=str)

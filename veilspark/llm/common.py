@@ -37,6 +37,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(*names: str) -> Column:
+    """Digest of a row's columns, NULL told from every value: tells rows apart that share an id or have none."""
+    return F.sha2(F.concat(*[F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("~")) for c in names]), 256)
+
+
 def md5_of(*parts) -> Column:
     """Hex digest of the parts joined by a bar: the same in Spark, DuckDB and Python."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]

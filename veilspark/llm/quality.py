@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilspark.llm.common import BLANKS, query, table
+from veilspark.llm.common import BLANKS, query, row_key, table
 from veilspark.runtime import materialise
 
 MIN_WORDS = 50
@@ -198,9 +198,10 @@ def judge(docs: DataFrame, keep: list[str], bound: float = LEVEL_BOUND, min_grou
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
-    gone = materialise(judge(docs, ["doc_id"]).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Pipeline stage: rows that the rules reject go, each by itself, whatever others share its id."""
+    rows = docs.withColumn("_row", row_key("doc_id", "lang", "source", "text"))
+    gone = materialise(judge(rows, ["_row"]).filter(~F.col("kept")).select("_row").distinct())
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 @query("op2_quality_rules")

@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import md5_of, query, table
+from veilspark.llm.common import md5_of, query, row_key, table
 from veilspark.runtime import materialise
 
 MIN_LENGTH = 16
@@ -45,10 +45,11 @@ FEATURES = ["length", "changes", "distinct", "digits", "upper", "covered", "name
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per candidate: doc_id, its number in the text, the candidate, and what surrounds it."""
-    hits = docs.select("doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))).alias("nr", "hit"))
+    """One row per candidate: its row's key and doc_id, its number in the text, the candidate, and what surrounds it."""
+    key = row_key("doc_id", "text").alias("row_key")
+    hits = docs.select(key, "doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))).alias("nr", "hit"))
     part = lambda i: F.regexp_extract("hit", PARTS, i)
-    rows = hits.select("doc_id", "source", "nr", part(1).alias("name"), part(2).alias("sign"), part(3).alias("quote"),
+    rows = hits.select("row_key", "doc_id", "source", "nr", part(1).alias("name"), part(2).alias("sign"), part(3).alias("quote"),
                        part(4).alias("candidate"), part(5).alias("close"))
     mixed = F.col("candidate").rlike("[0-9]") | (F.col("candidate").rlike("[a-z][A-Z]") & F.col("candidate").rlike("[A-Z]{2}"))
     return rows.filter(mixed)
@@ -70,7 +71,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     n = F.length("candidate").cast("double")
     return found.join(cover, "candidate", "left").select(
-        "doc_id", "nr", "candidate", n.alias("length"),
+        "row_key", "doc_id", "nr", "candidate", n.alias("length"),
         (F.regexp_count(c, F.lit(CHANGES)) / n).alias("changes"),
         (F.size(F.array_distinct(F.split(c, ""))) / n).cast("double").alias("distinct"),
         (F.regexp_count(c, F.lit("[0-9]")) / n).alias("digits"),
@@ -103,16 +104,17 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=3)
     model = forest.fit(pack.transform(train))
     scored = model.transform(pack.transform(rows)).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select("doc_id", "nr", "candidate", *FEATURES, "probability", (F.col("probability") >= 0.5).alias("secret"))
+    return scored.select("row_key", "doc_id", "nr", "candidate", *FEATURES, "probability", (F.col("probability") >= 0.5).alias("secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """``docs`` with every confirmed secret of a document replaced in its whole text, longest first."""
-    per = findings.filter("secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("_s"))
-    per = materialise(per.select("doc_id", F.reverse(F.sort_array(F.transform(
+    """``docs`` with every confirmed secret of a row replaced in its whole text, longest first. Findings meet
+    their row by its key, so rows without an id are redacted too."""
+    per = findings.filter("secret").groupBy("row_key").agg(F.collect_set("candidate").alias("_s"))
+    per = materialise(per.select("row_key", F.reverse(F.sort_array(F.transform(
         "_s", lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))).alias("_secrets")))
     text = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s["s"], F.lit(REDACTED)))
-    changed = docs.join(per, "doc_id", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(text))
+    changed = docs.withColumn("row_key", row_key("doc_id", "text")).join(per, "row_key", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(
             F.length("text").cast("long")))
@@ -127,4 +129,4 @@ def secret_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3(spark, sf_dir):
     """Every candidate of all documents with the forest's verdict; the candidate itself as a digest."""
-    return scan(table(spark, sf_dir, "documents")).withColumn("candidate", F.sha2("candidate", 256))
+    return scan(table(spark, sf_dir, "documents")).drop("row_key").withColumn("candidate", F.sha2("candidate", 256))
