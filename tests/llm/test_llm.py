@@ -272,6 +272,23 @@ def test_crf_labels_switched_text_and_held_out_documents(spark):
     assert np.allclose(prob.sum(axis=1), 1)
 
 
+def test_crf_reads_text_without_blanks_to_its_end(spark):
+    rng = np.random.default_rng(6)
+    letters = {"aa": list("上下左右大小東西"), "bb": list("あいうえおかきく")}
+    draw = lambda lang, n: "".join(rng.choice(letters[lang], n))
+    texts = [(lang, draw(lang, 300)) for lang in ("aa", "bb") for _ in range(30)]
+    model = language_crf.train([t for _, t in texts], [lang for lang, _ in texts])
+    rows = [(1, draw("bb", 64) + draw("aa", 600)), (2, draw("aa", 64) + draw("bb", 600)), (3, "7" * 64 + draw("bb", 80)),
+            (4, "7" * 64 + draw("aa", 80)), (5, "7" * 200), (6, "-" * 100)]
+    got = language_crf.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "aa", 2: "bb", 3: "bb", 4: "aa", 5: "und", 6: "und"}
+    for n in (1, 63, 64, 65, 66, 126, 127, 128, 500):
+        word = draw("aa", n)
+        pieces = language_crf.positions(word)
+        grams = {word[i:i + 3] for i in range(max(1, n - 2))}
+        assert max(map(len, pieces)) <= language_crf.RUN and grams == {p[i:i + 3] for p in pieces for i in range(max(1, len(p) - 2))}
+
+
 def test_secrets_found_and_redacted(odd):
     found = secrets.scan(odd).filter("secret").collect()
     assert [r["doc_id"] for r in found] == [13]

@@ -3,7 +3,9 @@
 Every word gets affix, character n-gram and lexicon (whole-word) features, hashed into a table of
 weights; learned transitions tie neighbours together. Forward-backward gives each word's language
 probabilities, so code-switched text is labelled word by word. A document's language is the one with
-the largest mean probability over its words that hold a letter, and that mean is the score.
+the largest mean probability over its words that hold a letter, and that mean is the score. A word of more
+than ``RUN`` characters, as in text without blanks, is several positions of at most ``RUN`` characters, each
+of which counts as a word; they overlap by two, so that no n-gram is lost.
 
 Training: a bounded sample, at most ``SAMPLE_DOCS`` documents a language and of at most
 ``SAMPLE_CHARS`` characters each, chosen by hash from the documents with a crc32 of
@@ -19,6 +21,7 @@ rows get equal answers. Ties go to the language first in order. An empty table g
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +40,32 @@ STEPS = 25
 SEQUENCES, SEQ_WORDS = 1_500, 60
 #: Words of a forward-backward batch.
 BATCH_WORDS = 400_000
+#: Characters of a word that are one position.
+RUN = 64
+#: New words whose features are held at once.
+NEW_WORDS = 1 << 14
 
 _STRIP = BLANKS + ".,;:!?\"'()[]{}|*#$%&<>-"
 
 
+def positions(text: str) -> list[str]:
+    """Words of a whole text, those longer than ``RUN`` in overlapping pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= RUN:
+        return words
+    out = []
+    for word in words:
+        if len(word) > RUN:
+            word = word.strip(_STRIP)
+        out += [word[i:i + RUN] for i in range(0, max(1, len(word) - 2), RUN - 2)]
+    return out
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a word: affixes, inner n-grams, and the word itself as lexicon entry."""
     w = word.strip(_STRIP).lower()
     if not any(map(str.isalpha, w)):
         return []
-    w = w[:64]
     names = ["=" + w]
     names += ["<" + w[:i] for i in (1, 2, 3) if len(w) >= i] + [">" + w[-i:] for i in (1, 2, 3) if len(w) >= i]
     names += ["*" + w[i:i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
@@ -54,16 +73,18 @@ def features(word: str) -> list[int]:
 
 
 def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = [features(w) for w in words]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    return np.array([i for x in lists for i in x], dtype=np.int64), owner, np.maximum(sizes, 1)
+    index, sizes = array("q"), np.zeros(len(words), dtype=np.int64)
+    for n, word in enumerate(words):
+        found = features(word)
+        index.extend(found)
+        sizes[n] = len(found)
+    return np.array(index, dtype=np.int64), np.repeat(np.arange(len(words)), sizes), np.maximum(sizes, 1)
 
 
 def _emissions(flat, weights: np.ndarray) -> np.ndarray:
     index, owner, sizes = flat
-    rows = weights[index]
-    out = np.stack([np.bincount(owner, rows[:, k], minlength=len(sizes)) for k in range(weights.shape[1])], axis=1)
+    # one language at a time: the features of all languages at once would not fit for text without blanks
+    out = np.stack([np.bincount(owner, w[index], minlength=len(sizes)) for w in np.ascontiguousarray(weights.T)], axis=1)
     return out / np.sqrt(sizes)[:, None]
 
 
@@ -74,7 +95,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> dict:
     number: dict[str, int] = {}
     pools = [[] for _ in names]
     for text, lab in sorted(zip(texts, labels)):
-        pools[names.index(lab)] += [number.setdefault(w, len(number)) for w in text.split()]
+        pools[names.index(lab)] += [number.setdefault(w, len(number)) for w in positions(text)]
     pools = [np.array(p, dtype=np.int64) for p in pools]
     k = len(names)
     ids = np.zeros((SEQUENCES, SEQ_WORDS), dtype=np.int64)
@@ -145,7 +166,7 @@ class Labeller:
         out = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int64, len(d)) for d in docs]
         if len(number) > known:
             new = list(number)[known:]
-            score = _emissions(_flat(new), self.weights)
+            score = np.concatenate([_emissions(_flat(new[i:i + NEW_WORDS]), self.weights) for i in range(0, len(new), NEW_WORDS)])
             self.psi = np.concatenate([self.psi, np.exp(np.clip(score, -30, 30))])
             self.letters = np.concatenate([self.letters, [any(map(str.isalpha, w)) for w in new]]).astype(bool)
         return out
@@ -247,7 +268,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
             answers: list = [("und", 0.0)] * len(order)
             group, words, size = [], [], 0
             for n, i in enumerate(order.tolist()):
-                mine = (batch.column(1)[i].as_py() or "").split()
+                mine = positions(batch.column(1)[i].as_py() or "")
                 group.append(i)
                 words.append(mine)
                 size += len(mine)
