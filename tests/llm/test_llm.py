@@ -296,6 +296,22 @@ def test_secrets_found_and_redacted(odd):
     assert secrets.REDACTED in texts[13] and "04dbebab" not in texts[13] and texts[1] is None
 
 
+def test_secrets_of_every_form(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda n: "a7" + "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n - 2))
+    forms = ["API_KEY={}", "export AWS_SECRET_ACCESS_KEY={}", '{{"api_key": "{}"}}', '{{\\"api_key\\": \\"{}\\"}}', 'x-api-key: "{}"',
+             "Authorization: Bearer {}", "-H 'authorization: token {}'", "curl bearer {} x", "token = '{}'", 'secret2 := "{}"']
+    keys = [(i, f, draw(40)) for i, f in enumerate(forms * 3)]
+    keys += [(100, "key {} here", "AKIA" + "Q7RT" * 4), (101, "see {}", "ghp_" + draw(36)), (102, "x {}", "glpat-" + draw(20))]
+    rows = [(i, f"some words {f.format(k)} and more", "s") for i, f, k in keys]
+    rows += [(1000 + i, f"call {int(rng.integers(10 ** 15, 10 ** 16))} in this_long_name_of_words_{i} today", "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for some in (df, df.filter("doc_id < 1000"), df.filter("doc_id = 3")):
+        found = secrets.scan(some).filter("secret").collect()
+        ids = {r["doc_id"] for r in some.select("doc_id").collect()}
+        assert {(r["doc_id"], r["candidate"]) for r in found} == {(i, k) for i, _, k in keys if i in ids}
+
+
 def test_odd_and_empty_inputs(odd, none):
     n = len(odd_rows())
     assert quality.judge(odd, ["doc_id"]).count() == n and quality.judge(none, ["doc_id"]).count() == 0

@@ -6,15 +6,20 @@ of characters, its distinct characters, how much of it dictionary words cover, w
 words name a credential or assign to it, and whether the document's path (its source) names a test or an
 example. The dictionary is counted over all documents: their ``DICTIONARY`` most frequent words.
 
-Labelled findings may be given as a table (doc_id, candidate, label). The tables here hold none, so the
-query labels a bounded sample (``SAMPLE`` candidates with the smallest hash) by context: assigned to a
-credential's name is a finding, anything else is not; the forest then has to agree on shape as well.
+Labelled findings may be given as a table (doc_id, candidate, label); the forest then sees all features.
+The tables here hold none, so the query labels by evidence that the forest does not see: a known key format
+(``KNOWN``), or a credential's name that assigns to the candidate (quoted or not, JSON, hyphenated), or a
+bearer scheme before it. The forest learns from shape, dictionary and path (``SHAPE``) what such candidates
+look like. A known format is a secret; a named candidate is one unless its shape is clearly that of the
+others (``NAMED_LEAST``); any other candidate is one if its shape is clearly a secret's (``BARE_LEAST``).
+The sample is bounded per label (``SAMPLE`` candidates with the smallest hash in all, half for each label).
 
 Only DataFrame functions and Spark's own forest are used; training sees the bounded sample, scoring every
 candidate. Words are counted with map-side aggregation, and only candidates are shuffled.
 
-Defined results: NULL and empty texts have no candidates. Repeated rows give repeated findings. If the
-sample holds one label only, every candidate gets it. An empty table gives an empty result.
+Defined results: NULL and empty texts have no candidates. Repeated rows give repeated findings. If there
+is one label only, nothing can be learned, and each candidate's own evidence decides. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +40,23 @@ TREES, DEPTH = 20, 6
 REDACTED = "[secret]"
 
 _RUN = r"[A-Za-z0-9+/_=-]"
-_NAMED = r"(?:[A-Za-z_]{2,40}[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?)?"
+_QUOTE = r"\\?[\"']"
+#: Name, closing quote of a JSON name, assignment; opening quote; scheme of a header.
+_LEAD = (rf"(?:([A-Za-z_][A-Za-z0-9_-]{{1,59}})(?:{_QUOTE})?[\x20\t]{{0,3}}(:=|=>|[=:])[\x20\t]{{0,3}})?"
+         rf"({_QUOTE})?(?:((?i:bearer|basic|token))[\x20\t]{{1,3}})?")
 #: Name and assignment before a run, if any, the run, and a closing quote.
-FOUND = rf"(?<![A-Za-z0-9+/_=-]){_NAMED}{_RUN}{{{MIN_LENGTH},}}[\"']?"
-PARTS = rf"^(?:([A-Za-z_]{{2,40}})[\x20\t]{{0,3}}([=:])[\x20\t]{{0,3}}([\"']?))?({_RUN}{{{MIN_LENGTH},}})([\"']?)$"
+FOUND = rf"(?<![A-Za-z0-9+/_=-]){_LEAD}{_RUN}{{{MIN_LENGTH},}}(?:{_QUOTE})?"
+PARTS = rf"^{_LEAD}({_RUN}{{{MIN_LENGTH},}})({_QUOTE})?$"
 CHANGES = r"(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])|(?<=[^A-Za-z0-9])(?=[A-Za-z])"
-CREDENTIAL = r"(?i)(token|secret|passw|pwd|api_?key|auth|credential|bearer|access_?key)"
+CREDENTIAL = r"(?i)(token|secret|passw|pwd|api[_-]?key|auth(?!or(s|ed|ing)?$)|credential|bearer|(access|private)[_-]?key)"
+#: Formats that providers give their keys.
+KNOWN = (r"(?:^|[^A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{36,}"
+         r"|glpat-[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[rs]k_(?:live|test)_[0-9A-Za-z]{16,}"
+         r"|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{32,}|eyJ[A-Za-z0-9_-]{13,})(?:$|[^A-Za-z0-9])")
 FEATURES = ["length", "changes", "distinct", "digits", "upper", "covered", "named", "assigned", "quoted", "test_path"]
+#: What the forest sees where labels come from name and format.
+SHAPE = [x for x in FEATURES if x not in ("named", "assigned", "quoted")]
+NAMED_LEAST, BARE_LEAST = 0.2, 0.95
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -50,7 +65,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     hits = docs.select(key, "doc_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))).alias("nr", "hit"))
     part = lambda i: F.regexp_extract("hit", PARTS, i)
     rows = hits.select("row_key", "doc_id", "source", "nr", part(1).alias("name"), part(2).alias("sign"), part(3).alias("quote"),
-                       part(4).alias("candidate"), part(5).alias("close"))
+                       part(4).alias("scheme"), part(5).alias("candidate"), part(6).alias("close"))
     mixed = F.col("candidate").rlike("[0-9]") | (F.col("candidate").rlike("[a-z][A-Z]") & F.col("candidate").rlike("[A-Z]{2}"))
     return rows.filter(mixed)
 
@@ -70,6 +85,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     cover = runs.join(F.broadcast(words), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("_cover"))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     n = F.length("candidate").cast("double")
+    assigned = F.col("name").rlike(CREDENTIAL) & (F.col("sign") != "")
     return found.join(cover, "candidate", "left").select(
         "row_key", "doc_id", "nr", "candidate", n.alias("length"),
         (F.regexp_count(c, F.lit(CHANGES)) / n).alias("changes"),
@@ -79,7 +95,9 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         (F.coalesce(F.col("_cover"), F.lit(0)) / n).alias("covered"),
         flag(F.col("name").rlike(CREDENTIAL)).alias("named"), flag(F.col("sign") != "").alias("assigned"),
         flag((F.col("quote") != "") & (F.col("close") == F.col("quote"))).alias("quoted"),
-        flag(F.col("source").rlike("(?i)test|example|sample|fixture|docs?/")).alias("test_path"))
+        flag(F.col("source").rlike("(?i)test|example|sample|fixture|docs?/")).alias("test_path"),
+        flag(c.rlike(KNOWN)).cast("boolean").alias("_known"),
+        flag(assigned | (F.lower("scheme") == "bearer")).cast("boolean").alias("_context"))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE, trees: int = TREES,
@@ -88,23 +106,32 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPL
     docs = docs.select("doc_id", "source", "text")
     found = materialise(candidates(docs))
     rows = materialise(features(found, materialise(dictionary(docs))))
+    evidence = F.col("_known") | F.col("_context")
+    seen = SHAPE if labelled is None else FEATURES
     if labelled is None:
-        truth = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
-        train = rows.withColumn("label", truth.cast("double"))
+        train = rows.withColumn("label", evidence.cast("double"))
     else:
         train = rows.join(labelled.select("doc_id", "candidate", F.col("label").cast("double").alias("label")), ["doc_id", "candidate"])
-    # one sorted partition, so that the forest is the same in every run
-    train = train.orderBy(md5_of("forest", F.col("candidate"), F.col("doc_id")), "nr").limit(sample)
-    train = materialise(train.select("label", *FEATURES).repartition(1).sortWithinPartitions("label", *FEATURES))
-    kinds = sorted(r["label"] for r in train.select("label").distinct().collect())
-    if len(kinds) < 2:
-        only = float(kinds[0]) if kinds else 0.0
-        return rows.withColumn("probability", F.lit(only)).withColumn("secret", F.lit(only >= 0.5))
-    pack = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=3)
+    counts = {r["label"]: r["n"] for r in train.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shown = ["row_key", "doc_id", "nr", "candidate", *FEATURES, "probability", "secret"]
+    if len(counts) < 2:
+        return rows.withColumn("probability", evidence.cast("double")).withColumn("secret", evidence).select(*shown)
+    half = sample // 2
+    # the smallest hashes of each label; sorted in one partition, so that the forest is the same in every run
+    order = [md5_of("forest", F.col("candidate"), F.col("doc_id")), F.col("nr")]
+    parts = [train.filter(F.col("label") == k).orderBy(*order).limit(half).withColumn(
+        "_weight", F.lit((half if labelled is None else n) / min(n, half))) for k, n in sorted(counts.items())]
+    train = parts[0]
+    for x in parts[1:]:
+        train = train.unionByName(x)
+    train = materialise(train.select("label", "_weight", *seen).repartition(1).sortWithinPartitions("label", *seen))
+    pack = VectorAssembler(inputCols=seen, outputCol="_features")
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", numTrees=trees,
+                                    maxDepth=depth, seed=3)
     model = forest.fit(pack.transform(train))
     scored = model.transform(pack.transform(rows)).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select("row_key", "doc_id", "nr", "candidate", *FEATURES, "probability", (F.col("probability") >= 0.5).alias("secret"))
+    least = F.when(F.col("_context"), NAMED_LEAST).otherwise(BARE_LEAST) if labelled is None else F.lit(0.5)
+    return scored.withColumn("secret", F.col("_known") | (F.col("probability") >= least)).select(*shown)
 
 
 def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
