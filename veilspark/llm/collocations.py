@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.llm.common import query, table
-from veilspark.runtime import lookup, materialise, ordered_positions
+from veilspark.runtime import materialise, ordered_positions
 
 MIN_COUNT = 10
 TOP = 2_000
 #: A candidate goes when a longer one has at least this percentage of its count.
 COVER = 50
 #: Words of a shard.
-WORDS = 1_000_000
+WORDS = 400_000
+#: Slices of a language whose best phrases are found side by side.
+SLICES = 64
 #: Characters tokenised at a time.
 SLICE = 1 << 20
 #: Ids are below 2^31, so a pair of words is one 64-bit number.
@@ -91,25 +93,24 @@ class WordIndex:
 
     def __init__(self, ids: np.ndarray, depth: int):
         # the sequence is a ring of separated pieces: a suffix ends at its separator
-        values, x = np.unique(np.concatenate([[0], ids]), return_inverse=True)
-        n, width = len(x), len(values)
-        key, ended = x.astype(np.int64), x == 0
-        order = np.argsort(key, kind="stable")
-        rank = key
+        values, x = np.unique(np.concatenate([np.zeros(1, ids.dtype), ids]), return_inverse=True)
+        x, width, ended = x.astype(np.int32), len(values), x == 0
+        rank = x.astype(np.int64)
         for d in range(1, depth):
-            follow = np.where(ended, 0, x[(np.arange(n) + d) % n])
-            ended = ended | (follow == 0)
-            pair = rank * width + follow
-            order = np.argsort(pair, kind="stable")
-            new = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
+            follow = np.roll(x, -d)
+            follow[ended] = 0
+            ended |= follow == 0
+            rank *= width
+            rank += follow
+            if d + 1 < depth:
+                rank = np.unique(rank, return_inverse=True)[1]
+        order = np.argsort(rank, kind="stable").astype(np.int32)
+        del rank, ended
         self.values, self.sa, self.depth = values, order, depth
         self.bwt = x[order - 1]
         #: rows of the transform in the order of their suffixes extended to the left
-        self.last_to_first = np.argsort(self.bwt, kind="stable")
-        self.first = np.searchsorted(x[order], np.arange(width + 1))
-        self.x = x
+        self.last_to_first = np.argsort(self.bwt, kind="stable").astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=width))])
 
     def occ(self, word: int, row: int) -> int:
         """How often ``word`` stands before the suffixes of the first ``row`` rows."""
@@ -128,8 +129,7 @@ class WordIndex:
 
     def words(self) -> np.ndarray:
         """Interval number of every row at depth 1; -1 for separators."""
-        number = np.repeat(np.arange(len(self.values)), np.diff(self.first)) - 1
-        return number
+        return np.repeat(np.arange(-1, len(self.values) - 1, dtype=np.int32), np.diff(self.first))
 
     def extend(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All phrases one word longer, from the interval numbers of the rows at a depth.
@@ -141,7 +141,7 @@ class WordIndex:
         word, old = self.bwt[rows], number[rows]
         inside = (word > 0) & (old >= 0)
         start = inside & np.concatenate([[True], (np.diff(word) != 0) | (np.diff(old) != 0)])
-        new = np.where(inside, np.cumsum(start) - 1, -1)
+        new = np.where(inside, np.cumsum(start, dtype=np.int32) - 1, np.int32(-1))
         at = np.flatnonzero(start)
         size = np.bincount(new[inside], minlength=len(at)) if len(at) else np.zeros(0, np.int64)
         return new, at, size, old[at], word[at]
@@ -256,16 +256,16 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
                  words: int = WORDS) -> DataFrame:
     """Each language's ``top`` phrases of two and three words."""
     found = phrase_counts(docs, min_count, words)
-    known, n_known = found["words"], found["words"].count()
-    pairs, n_pairs = found["pairs"], found["pairs"].count()
-    high, low = lambda c: F.shiftright(c, ID_BITS).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
+    known, pairs = found["words"], found["pairs"]
+    high = lambda c: F.shiftright(c, ID_BITS).cast("int")
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
 
+    # one row per key on the right; a word that many phrases share is a skewed key, which Spark splits
     def of(df, key, name, *more):
-        cols = [F.col("id").alias(key), F.col("f").alias(name), *more]
-        return lookup(df, known.select(*cols), [key], n_known)
+        return df.join(known.select(F.col("id").alias(key), F.col("f").alias(name), *more), key)
 
     def pair(df, key, name):
-        return lookup(df, pairs.select(F.col("key").alias(key), F.col("f").alias(name)), [key], n_pairs)
+        return df.join(pairs.select(F.col("key").alias(key), F.col("f").alias(name)), key)
 
     two = pairs.select("key", F.col("f").alias("a"), high("key").alias("x"), low("key").alias("y"))
     two = of(of(two, "x", "l", "lang"), "y", "r").select("lang", "x", "y", F.lit(0).alias("z"), "a", "l", "r", "key")
@@ -283,13 +283,15 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     three = three.select(
         "lang", "x", "y", "z", "a", F.when(first, F.col("fx")).otherwise(F.col("fxy")).alias("l"),
         F.when(first, F.col("fyz")).otherwise(F.col("fz")).alias("r"), F.least("s1", "s2").alias("score"))
-    # ties of the last place stay until their words are known
+    # ties of the last place stay until their words are known; a large language is cut down in slices first
     order = [F.desc("score"), F.desc("a")]
-    best = two.unionByName(three).withColumn("_r", F.rank().over(W.partitionBy("lang").orderBy(*order)))
-    best = materialise(best.filter(F.col("_r") <= top).drop("_r"))
+    best = two.unionByName(three).withColumn("_s", F.pmod(F.xxhash64("x", "y", "z"), F.lit(SLICES)))
+    for by in (("lang", "_s"), ("lang",)):
+        best = best.withColumn("_r", F.rank().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= top)
+    best = materialise(best.drop("_r", "_s"))
     word = known.select("id", "word")
     for c in "xyz":
-        best = lookup(best, word.select(F.col("id").alias(c), F.col("word").alias(f"w{c}")), [c], n_known, "left")
+        best = best.join(word.select(F.col("id").alias(c), F.col("word").alias(f"w{c}")), c, "left")
     best = best.withColumn("phrase", F.concat_ws(" ", "wx", "wy", "wz"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(*order, "phrase"))
     return best.withColumn("rank", place).filter(F.col("rank") <= top).join(F.broadcast(found["total"]), "lang").select(
