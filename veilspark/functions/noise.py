@@ -16,10 +16,11 @@ def fresh_seed(seed: str | int | None) -> str:
     return secrets.token_hex(16) if seed is None else str(seed)
 
 
-def uniform(seed: str, purpose: str, *parts: Column | str) -> Column:
+def uniform(seed: Column | str, purpose: str, *parts: Column | str) -> Column:
     """A number in (0, 1) from the hash of seed, purpose and the parts."""
+    given = seed if isinstance(seed, Column) else F.lit(str(seed))
     keys = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *keys))
+    digest = F.md5(F.concat_ws("|", given, F.lit(purpose), *keys))
     bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(1 << 52))
 

@@ -53,8 +53,8 @@ def equivalence_classes(df: DataFrame, qis: list[QI], by: list[str] | None = Non
     return df.groupBy(*(by or []), *names(qis)).agg(F.count(F.lit(1)).alias("class_size"))
 
 
-def suppress_small(df: DataFrame, qis: list[QI], k: int, by: list[str] | None = None) -> DataFrame:
-    """Rows of classes smaller than ``k`` become all ``*``.
+def suppress_small(df: DataFrame, qis: list[QI], k: int | Column, by: list[str] | None = None) -> DataFrame:
+    """Rows of classes smaller than ``k`` become all ``*``; ``k`` is a number or made of columns in ``by``.
 
     The classes are written once and counted. When those below k are few they are broadcast and
     the rows never move. Otherwise the classes holding more than a fixed share of all rows, which
@@ -70,7 +70,7 @@ def suppress_small(df: DataFrame, qis: list[QI], k: int, by: list[str] | None =
     if facts["small"] <= BROADCAST_ROWS:
         flagged = null_safe_join(df, F.broadcast(below), keys, "left")
     else:
-        limit = max(facts["rows"] // HOT_SHARE, k - 1)
+        limit = F.greatest(F.lit(facts["rows"] // HOT_SHARE), (F.lit(k) if isinstance(k, int) else k) - 1)
         hot = F.broadcast(classes.filter(F.col("class_size") > limit).select(*keys))
         safe = null_safe_join(df, hot, keys, "left_semi").withColumn("_small", F.lit(None).cast("boolean"))
         rest = null_safe_join(df, hot, keys, "left_anti")

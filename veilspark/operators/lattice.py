@@ -7,9 +7,11 @@ A node is a number in mixed radix, one digit per attribute, so the nodes of a wh
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
+from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,12 @@ PREFETCH_NODES = 5_000
 # Frequency sets above this size are rolled up along their widest attribute before scoring.
 ROLLUP_ROWS = 100_000
 
+# Corners of boxes of the lattice that a job of the exact search scores, where so many are left.
+BOXES = 8
+
 MODELS = ("granularity", "intensity", "discernibility", "entropy", "groupsize")
+#: Column that tells the frequency sets of a family apart.
+SET = "_set"
 
 
 class Lattice:
@@ -50,19 +57,29 @@ class Lattice:
     def level(self, node: Column, j: int) -> Column:
         return F.pmod(F.floor(node / F.lit(self.strides[j])), F.lit(self.radix[j])).cast("int")
 
+    def nests(self, j: int, fine: int, coarse: int) -> bool:
+        """Every cell of attribute j at level ``fine`` lies within one at level ``coarse``."""
+        q = self.qis[j]
+        if q.is_category or fine in (0, coarse) or coarse == q.top_level:
+            return fine <= coarse
+        a, b = (round(q.widths[level - 1] * 10**q.decimals) for level in (fine, coarse))
+        # the last band takes what is left over, so counts of bands have to agree as well
+        last = [max(1, round(q.grid_units / w)) - 1 for w in (a, b)]
+        return fine < coarse and b % a == 0 and last[1] * b // a <= last[0]
+
     def finer(self, node: int) -> list[int]:
         """Direct specialisations: one attribute one level down."""
         return [node - s for s, level in zip(self.strides, self.levels(node)) if level > 0]
 
 
-def frequency_set(df: DataFrame, qis: list[QI]) -> DataFrame:
+def frequency_set(df: DataFrame, qis: list[QI], by: list[str] = []) -> DataFrame:
     """Distinct attribute combinations of the raw rows with their counts, written once."""
-    return materialise(df.groupBy(*names(qis)).agg(F.count(F.lit(1)).alias("n")))
+    return materialise(df.groupBy(*by, *names(qis)).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _with_paths(freq: DataFrame, qis: list[QI]) -> DataFrame:
-    """Per attribute an array over levels of (generalised value, share of the domain)."""
-    out = freq
+def with_paths(df: DataFrame, qis: list[QI]) -> DataFrame:
+    """Adds per attribute an array ``p0, p1, ..`` over levels of (generalised value, share of the domain)."""
+    out = df
     for j, q in enumerate(qis):
         name = f"p{j}"
         if q.is_category:
@@ -78,50 +95,189 @@ def _with_paths(freq: DataFrame, qis: list[QI]) -> DataFrame:
                 F.struct(c.alias("node"), (grid_leaves(c, q) / F.lit(q.domain_size)).alias("share"))
                 for c in cells
             ]))
-    return out.select("n", *[f"p{j}" for j in range(len(qis))])
+    return out
 
 
-def _classes(paths: DataFrame, lattice: Lattice, nodes: list[int] | None) -> DataFrame:
-    """(node, g0.., cnt, share): equivalence classes of every node."""
-    m = len(lattice.qis)
-    if nodes is None:
-        ids = F.sequence(F.lit(0), F.lit(lattice.size - 1))
-    else:
-        ids = F.array(*[F.lit(i) for i in nodes])
-    each = paths.select("*", F.explode(ids).alias("node"))
-    cells = [F.element_at(f"p{j}", lattice.level(F.col("node"), j) + 1) for j in range(m)]
-    share = sum((c["share"] for c in cells), F.lit(0.0))
-    return (
-        each.select("node", "n", *[c["node"].alias(f"g{j}") for j, c in enumerate(cells)], share.alias("share"))
-        .groupBy("node", *[f"g{j}" for j in range(m)])
-        .agg(F.sum("n").alias("cnt"), F.first("share").alias("share"))
-    )
-
-
-def _rolled_classes(paths: DataFrame, lattice: Lattice, nodes: list[int] | None) -> DataFrame:
-    """As ``_classes``, but the widest attribute is generalised step by step, and each node is
-    computed from the smallest such table that still contains it."""
-    m = len(lattice.qis)
-    widths = paths.agg(*[F.approx_count_distinct(F.col(f"p{j}")[0]["node"]).alias(f"w{j}") for j in range(m)]).first()
-    wide = max(range(m), key=lambda j: widths[j])
-    parts, base = [], paths
-    for level in range(lattice.radix[wide]):
-        mine = [i for i in (nodes if nodes is not None else range(lattice.size)) if lattice.levels(i)[wide] == level]
-        if level:
-            keys = [F.col(f"p{j}")[0]["node"].alias(f"k{j}") for j in range(m) if j != wide]
+@dataclass(frozen=True)
+class Facts:
+    """What a lattice node costs, in sums that do not depend on the scale of a score."""
+
+    score: float
+    cost: float
+    gone: int
+    gone_share: float
+    floor_squares: float
+
+
+class Scorer:
+    """Scores lattice nodes of one frequency set, or of a family of them told apart by ``SET``.
+
+    The sets are generalised once, to paths of cells; the widest attribute is rolled up level by level,
+    so a node is computed from the smallest table that still holds it. A job scores any number of
+    nodes of all sets. ``k`` is one class size and ``model`` one loss, or one per set.
+    """
+
+    def __init__(self, freq: DataFrame, qis: list[QI], k: int | dict[str, int],
+                 model: str | dict[str, str] = "granularity", rollup_rows: int = ROLLUP_ROWS):
+        self.qis, self.lattice, self.model, self.m = qis, Lattice(qis), model, len(qis)
+        self.known: dict[tuple[str, int], Facts] = {}
+        if SET not in freq.columns:
+            freq = freq.withColumn(SET, F.lit(""))
+        paths = with_paths(spread(freq, SET, *names(qis)), qis).select(SET, "n", *[f"p{j}" for j in range(self.m)])
+        self.tables = [materialise(paths)]
+        levels = [(j, level) for j in range(self.m) for level in range(self.lattice.radix[j])]
+        share = lambda j, level: F.sum(F.col("n") * F.get(f"p{j}", F.lit(level))["share"])
+        facts = self.tables[0].groupBy(SET).agg(
+            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("combos"),
+            F.array(*[share(j, level) for j, level in levels]).alias("shares"),
+            F.array(*[F.approx_count_distinct(F.get(f"p{j}", F.lit(0))["node"]) for j in range(self.m)]).alias("widths")).collect()
+        self.rows = {r[SET]: r["rows"] for r in facts}
+        #: per set, attribute and level: the share sum of all rows, nothing suppressed
+        self.shares = {r[SET]: {jl: x for jl, x in zip(levels, r["shares"])} for r in facts}
+        self.k = k if isinstance(k, dict) else {s: k for s in self.rows} or {"": k}
+        self.wide = None
+        if sum(r["combos"] for r in facts) > rollup_rows:
+            self.wide = max(range(self.m), key=lambda j: max(r["widths"][j] for r in facts))
+
+    def _table(self, level: int) -> DataFrame:
+        """The sets with the widest attribute generalised to ``level``."""
+        w = self.wide
+        while len(self.tables) <= level:
+            at, base = len(self.tables), self.tables[-1]
             # the whole path that is left: a band need not lie within one band of the level above
-            rest = F.slice(f"p{wide}", level + 1, lattice.radix[wide])
-            here = F.transform(rest, lambda x: x["node"]).alias("kw")
-            base = materialise(
-                base.groupBy(*keys, here)
-                .agg(F.sum("n").alias("n"), *[F.first(f"p{j}").alias(f"p{j}") for j in range(m)])
-                .select("n", *[f"p{j}" for j in range(m)]))
-        if mine:
-            parts.append(_classes(base, lattice, mine))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            rest = F.slice(f"p{w}", at + 1, self.lattice.radix[w]).alias(f"p{w}")
+            paths = [rest if j == w else F.col(f"p{j}") for j in range(self.m)]
+            merged = base.groupBy(SET, *paths).agg(F.sum("n").alias("n"))
+            lowest = F.array_repeat(F.get(f"p{w}", F.lit(0)), at)
+            self.tables.append(materialise(merged.withColumn(f"p{w}", F.concat(lowest, f"p{w}"))))
+        return self.tables[level]
+
+    def _classes_of(self, paths: DataFrame, ids: Column) -> DataFrame:
+        """(set, node, g0.., cnt, share): equivalence classes of the nodes."""
+        m = self.m
+        each = paths.select("*", F.explode(ids).alias("node"))
+        cells = [F.element_at(f"p{j}", self.lattice.level(F.col("node"), j) + 1) for j in range(m)]
+        share = sum((c["share"] for c in cells), F.lit(0.0))
+        return (
+            each.select(SET, "node", "n", *[c["node"].alias(f"g{j}") for j, c in enumerate(cells)], share.alias("share"))
+            .groupBy(SET, "node", *[f"g{j}" for j in range(m)])
+            .agg(F.sum("n").alias("cnt"), F.first("share").alias("share")))
+
+    def classes(self, nodes: list[int] | None) -> DataFrame:
+        """Classes of the nodes, or of all nodes, in every set."""
+        lattice, w = self.lattice, self.wide
+        listed = lambda mine: F.array(*[F.lit(i).cast("bigint") for i in mine])
+        if w is None:
+            every = F.sequence(F.lit(0).cast("bigint"), F.lit(lattice.size - 1).cast("bigint"))
+            return self._classes_of(self._table(0), every if nodes is None else listed(nodes))
+        stride, radix = lattice.strides[w], lattice.radix[w]
+        out = None
+        for level in range(radix):
+            if nodes is None:
+                # numbers of the other attributes' levels, with this attribute's level put between
+                others = F.sequence(F.lit(0).cast("bigint"), F.lit(lattice.size // radix - 1).cast("bigint"))
+                ids = F.transform(others, lambda c: F.floor(c / stride) * (stride * radix) + level * stride + F.pmod(c, F.lit(stride)))
+            else:
+                mine = [i for i in nodes if lattice.levels(i)[w] == level]
+                if not mine:
+                    continue
+                ids = listed(mine)
+            part = self._classes_of(self._table(level), ids)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def scores(self, models: list[str], nodes: list[int] | None = None) -> DataFrame:
+        """One row per set and node: quality after suppressing classes below k (lower is better), the
+        suppressed share, levels, and the sums the exact search bounds with."""
+        classes, lattice, m = self.classes(nodes), self.lattice, self.m
+        if len(self.rows) <= 1:
+            (k, n), = [(self.k[s], n) for s, n in self.rows.items()] or [(next(iter(self.k.values())), 0)]
+            classes = classes.withColumn("_k", F.lit(k)).withColumn("_rows", F.lit(float(n)))
+        else:
+            sets = self.tables[0].sparkSession.createDataFrame(
+                [(s, self.k[s], float(n)) for s, n in self.rows.items()], f"{SET} string, _k int, _rows double")
+            # one row per set
+            classes = classes.join(F.broadcast(sets), SET)
+        kept, size = F.col("cnt") >= F.col("_k"), F.col("cnt").cast("double")
+        facts = classes.groupBy(SET, "node").agg(
+            F.first("_k").alias("_k"), F.first("_rows").alias("_rows"),
+            F.sum(F.when(kept, 0.0).otherwise(size)).alias("_gone"),
+            F.sum(F.when(kept, size * F.col("share")).otherwise(0.0)).alias("_loss"),
+            F.sum(F.when(kept, 0.0).otherwise(size * F.col("share"))).alias("_gone_share"),
+            F.sum(F.when(kept, size * size).otherwise(0.0)).alias("_squares"),
+            F.sum(size * F.greatest(size, F.col("_k"))).alias("_floor_squares"),
+            F.count_if(kept).alias("_kept_classes"))
+        if "entropy" in models:
+            cells = F.explode(F.array(*[
+                F.struct(F.lit(j).alias("j"), F.col(f"g{j}").alias("g")) for j in range(m)])).alias("_c")
+            per_value = classes.filter(kept).select(SET, "node", "cnt", "_rows", cells).groupBy(SET, "node", "_c.j", "_c.g").agg(
+                F.sum("cnt").cast("double").alias("c"), F.first("_rows").alias("_rows"))
+            star = F.col("g") == STAR
+            per_node = per_value.groupBy(SET, "node").agg(
+                F.sum(F.when(star, F.col("c") * F.col("_rows")).otherwise(F.col("c") * F.col("c"))).alias("_entropy"))
+            facts = facts.join(per_node, [SET, "node"], "left")
+        rows = F.col("_rows")
+        levels = [lattice.level(F.col("node"), j) for j in range(m)]
+        height = sum((lv / F.lit(q.top_level) for lv, q in zip(levels, self.qis)), F.lit(0.0))
+        sums = {
+            "granularity": F.col("_loss") + F.col("_gone") * m,
+            "intensity": height * (rows - F.col("_gone")) + F.col("_gone") * m,
+            "discernibility": F.col("_squares") + F.col("_gone") * rows,
+        }
+        if "entropy" in models:
+            sums["entropy"] = F.coalesce("_entropy", F.lit(0.0)) + F.col("_gone") * rows * m
+        cols = {x: sums[x] / scale_of(x, F.col("_k"), rows, m) for x in models if x in PENALISED}
+        if "groupsize" in models:
+            groups = F.col("_kept_classes") + F.when(F.col("_gone") > 0, 1).otherwise(0)
+            sums["groupsize"] = cols["groupsize"] = rows / groups
+        return facts.select(
+            SET, "node", *[cols[x].alias(x) for x in models],
+            F.try_divide(F.col("_gone"), rows).alias("suppressed_share"), F.array(*levels).alias("levels"),
+            sums[models[0]].alias("_cost"), "_gone", "_gone_share", "_floor_squares")
+
+    def fetch(self, wanted: dict[str, set[int]] | None) -> None:
+        """Facts of the nodes wanted in any set, one job; of all nodes when None."""
+        nodes = None if wanted is None else sorted({
+            i for s, mine in wanted.items() for i in mine if (s, i) not in self.known})
+        if nodes == []:
+            return
+        model_of = self.model if isinstance(self.model, dict) else {s: self.model for s in self.rows}
+        for r in self.scores(sorted({model_of[s] for s in self.rows}), nodes).collect():
+            self.known[r[SET], r["node"]] = Facts(
+                r[model_of[r[SET]]], r["_cost"], int(r["_gone"]), r["_gone_share"], r["_floor_squares"])
+
+    def value(self, node: int, name: str = "") -> float:
+        """Score of a fetched node, larger is better."""
+        return -self.known[name, node].score
+
+    def suppressed(self, node: int, name: str = "") -> float:
+        return self.known[name, node].gone / self.rows[name]
+
+    def bound(self, low: list[int], high: list[int], name: str = "") -> tuple[float, float]:
+        """(score, suppressed share) that no node between two corners, ``high`` fetched, can go below.
+
+        Suppressed rows stay suppressed when cells get finer, as long as cells nest; and a kept row of a
+        node costs at least its share there, its class at least k rows.
+        """
+        f, rows, k, m = self.known[name, self.lattice.node(high)], self.rows[name], self.k[name], self.m
+        tops = [q.top_level for q in self.qis]
+        nested = all(self.lattice.nests(j, level, high[j]) for j in range(m) for level in range(low[j], high[j]))
+        gone, gone_share = (f.gone, f.gone_share) if nested else (0, 0.0)
+        if self.model == "granularity":
+            base = sum(min(self.shares[name][j, level] for level in range(low[j], high[j] + 1)) for j in range(m))
+            cost = base + gone * m - gone_share
+        elif self.model == "intensity":
+            cost = rows * sum(x / t for x, t in zip(low, tops)) + gone * (m - sum(x / t for x, t in zip(high, tops)))
+        elif self.model == "discernibility":
+            under = self.known.get((name, self.lattice.node(low)))
+            finer = under and all(self.lattice.nests(j, low[j], level) for j in range(m) for level in range(low[j], high[j] + 1))
+            cost = (under.floor_squares if finer else rows * min(k, rows)) + gone * max(rows - k, 0)
+        elif self.model == "entropy":
+            cost = m * (rows * min(k, rows) + gone * max(rows - k, 0))
+        else:
+            cost = rows / ((rows - gone) / max(k, 1) + 1)
+        scale = f.cost / f.score if f.score else 1.0
+        return cost / scale, gone / rows
 
 
 def score_lattice(
@@ -136,48 +292,8 @@ def score_lattice(
     models = list(models or MODELS)
     if set(models) - set(MODELS):
         raise ValueError(f"unknown models {sorted(set(models) - set(MODELS))}")
-    lattice = Lattice(qis)
-    m = len(qis)
-    facts = freq.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("combos")).first()
-    total = facts["rows"] or 0
-    paths = _with_paths(spread(freq, *names(qis)), qis)
-    rolled = facts["combos"] > rollup_rows
-    classes = (_rolled_classes if rolled else _classes)(paths, lattice, nodes)
-
-    kept = F.col("cnt") >= k
-    size = F.col("cnt").cast("double")
-    facts_of = classes.groupBy("node").agg(
-        F.sum(F.when(kept, 0.0).otherwise(size)).alias("_gone"),
-        F.sum(F.when(kept, size * F.col("share")).otherwise(0.0)).alias("_loss"),
-        F.sum(F.when(kept, size * size).otherwise(0.0)).alias("_squares"),
-        F.count_if(kept).alias("_kept_classes"),
-    )
-    if "entropy" in models:
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(j).alias("j"), F.col(f"g{j}").alias("g")) for j in range(m)])).alias("_c")
-        per_value = classes.filter(kept).select("node", "cnt", cells).groupBy("node", "_c.j", "_c.g").agg(
-            F.sum("cnt").cast("double").alias("c"))
-        star = F.col("g") == STAR
-        per_node = per_value.groupBy("node").agg(
-            F.sum(F.when(star, F.col("c") * total).otherwise(F.col("c") * F.col("c"))).alias("_entropy"))
-        facts_of = facts_of.join(per_node, "node", "left")
-    rows = F.lit(float(total))
-    levels = [lattice.level(F.col("node"), j) for j in range(m)]
-    height = sum((lv / F.lit(q.top_level) for lv, q in zip(levels, qis)), F.lit(0.0))
-    sums = {
-        "granularity": F.col("_loss") + F.col("_gone") * m,
-        "intensity": height * (rows - F.col("_gone")) + F.col("_gone") * m,
-        "discernibility": F.col("_squares") + F.col("_gone") * rows,
-    }
-    if "entropy" in models:
-        sums["entropy"] = F.coalesce("_entropy", F.lit(0.0)) + F.col("_gone") * rows * m
-    cols = {x: sums[x] / scale_of(x, F.lit(k), rows, m) for x in models if x in PENALISED}
-    if "groupsize" in models:
-        groups = F.col("_kept_classes") + F.when(F.col("_gone") > 0, 1).otherwise(0)
-        cols["groupsize"] = rows / groups
-    return facts_of.select(
-        "node", *[cols[x].alias(x) for x in models],
-        F.try_divide(F.col("_gone"), rows).alias("suppressed_share"), F.array(*levels).alias("levels"))
+    scores = Scorer(freq, qis, k, models[0], rollup_rows).scores(models, nodes)
+    return scores.select("node", *models, "suppressed_share", "levels")
 
 
 def within_limit(scores: DataFrame, suppression_limit: float) -> DataFrame:
@@ -192,20 +308,19 @@ def best_node(scores: DataFrame, model: str = "granularity", suppression_limit:
                  F.struct(F.round(model, 9), "node")).alias("_b")).select("_b.*")
 
 
-def _best_first(freq: DataFrame, qis: list[QI], k: int, model: str, limit: float, steps: int) -> int:
+def _best_first(scorer: Scorer, limit: float, steps: int) -> int:
     """Search from the top: expand the best node seen, a batch of specialisations per job."""
-    lattice = Lattice(qis)
-    scores = _Scores(freq, qis, k, model)
+    lattice = scorer.lattice
     open_nodes, seen = {lattice.top}, {lattice.top}
     best, best_score = lattice.top, -math.inf
     for _ in range(steps):
         if not open_nodes:
             break
-        scores.fetch(open_nodes, lattice)
-        pivot = max(open_nodes, key=lambda i: (scores[i][0], -i))
+        look_ahead(scorer, {"": open_nodes})
+        pivot = max(open_nodes, key=lambda i: (scorer.value(i), -i))
         open_nodes.remove(pivot)
-        value, share = scores[pivot]
-        if share <= limit and value > best_score:
+        value = scorer.value(pivot)
+        if scorer.suppressed(pivot) <= limit and value > best_score:
             best, best_score = pivot, value
         fresh = set(lattice.finer(pivot)) - seen
         seen |= fresh
@@ -213,34 +328,91 @@ def _best_first(freq: DataFrame, qis: list[QI], k: int, model: str, limit: float
     return best
 
 
-class _Scores:
-    """Scores of visited nodes; asks Spark for many nodes at a time."""
+def look_ahead(scorer: Scorer, wanted: dict[str, set[int]], depth: int = 2) -> None:
+    """Score missing nodes together with the specialisations a search will want next."""
+    lattice = scorer.lattice
+    missing = {s: {i for i in mine if (s, i) not in scorer.known} for s, mine in wanted.items()}
+    if not any(missing.values()):
+        return
+    if lattice.size <= PREFETCH_NODES:
+        return scorer.fetch(None)
+    layer = missing
+    for _ in range(depth):
+        layer = {s: {f for node in mine for f in lattice.finer(node)} for s, mine in layer.items()}
+        if len(set().union(*missing.values(), *layer.values())) > 500:
+            break
+        missing = {s: mine | layer[s] for s, mine in missing.items()}
+    scorer.fetch(missing)
 
-    def __init__(self, freq, qis, k, model):
-        self.freq, self.qis, self.k, self.model = freq, qis, k, model
-        self.known: dict[int, tuple[float, float]] = {}
 
-    def __getitem__(self, node: int) -> tuple[float, float]:
-        return self.known[node]
+def exact_node(scorer: Scorer, limit: float = 1.0, boxes: int = BOXES) -> int:
+    """The allowed node of least loss, ties to the smaller number, by branch and bound.
 
-    def fetch(self, nodes, lattice: Lattice, depth: int = 2) -> None:
-        """Score missing nodes together with the specialisations a search will want next."""
-        missing = set(nodes) - set(self.known)
-        if not missing:
-            return
-        if lattice.size <= PREFETCH_NODES:
-            wanted = None
-        else:
-            layer = set(missing)
-            for _ in range(depth):
-                layer = {f for node in layer for f in lattice.finer(node)}
-                if len(missing) + len(layer) > 500:
-                    break
-                missing |= layer
-            wanted = sorted(missing - set(self.known))
-        found = score_lattice(self.freq, self.qis, self.k, [self.model], wanted)
-        for row in found.select("node", self.model, "suppressed_share").collect():
-            self.known[row["node"]] = (-row[self.model], row["suppressed_share"])
+    The lattice is cut into boxes between two corners. A box's coarsest corner is scored; what is
+    suppressed there is suppressed in the whole box, and the finest corner bounds what generalising
+    costs, so ``Scorer.bound`` says what no node of the box can beat. Boxes that cannot win are dropped
+    unscored, the others are halved along the attribute that lifts the bound most, the most promising
+    first and at least ``boxes`` corners in one job. The driver holds open boxes, never the lattice.
+    """
+    lattice = scorer.lattice
+    if not scorer.rows:
+        return lattice.top
+    both = scorer.model == "discernibility"  # its bound needs the finest corner as well
+    best, shares = (math.inf, lattice.top), scorer.shares[""]
+
+    def look(corners: list[list[int]]) -> None:
+        nonlocal best
+        nodes = {lattice.node(c) for c in corners}
+        scorer.fetch({"": nodes})
+        for i in nodes:
+            if scorer.suppressed(i) <= limit:
+                best = min(best, (round(-scorer.value(i), 9), i))
+
+    def cut(low: list[int], high: list[int]) -> int:
+        wide = [j for j in range(len(low)) if low[j] < high[j]]
+        loose = [j for j in wide if not all(lattice.nests(j, level, high[j]) for level in range(low[j], high[j]))]
+
+        def lift(j: int) -> tuple[float, int]:
+            least = lambda lo, hi: min(shares[j, level] for level in range(lo, hi + 1))
+            return least((low[j] + high[j]) // 2 + 1, high[j]) - least(low[j], high[j]), high[j] - low[j]
+
+        return max(loose or wide, key=lift)
+
+    heap: list[tuple[float, list[int], list[int]]] = []
+
+    def push(low: list[int], high: list[int]) -> None:
+        score, share = scorer.bound(low, high)
+        if low != high and share <= limit and round(score, 9) - 2e-9 <= best[0]:
+            heapq.heappush(heap, (score, low, high))
+
+    def halve(pieces: list) -> list:
+        out = []
+        for low, high in pieces:
+            if low == high:
+                out.append((low, high))
+                continue
+            j = cut(low, high)
+            middle = (low[j] + high[j]) // 2
+            out += [(low, [*high[:j], middle, *high[j + 1:]]), ([*low[:j], middle + 1, *low[j + 1:]], high)]
+        return out
+
+    work = [([0] * len(lattice.radix), [r - 1 for r in lattice.radix])]
+    while work:
+        # halved until a job has enough to score: jobs cost more than the few nodes too many
+        corners = lambda: [c for box in work for c in (box if both else box[1:]) if ("", lattice.node(c)) not in scorer.known]
+        work = halve(work)
+        while len(corners()) < boxes and any(low != high for low, high in work):
+            work = halve(work)
+        look(corners())
+        for box in work:
+            push(*box)
+        work = []
+        while heap and len(work) < boxes:
+            score, low, high = heapq.heappop(heap)
+            if round(score, 9) - 2e-9 > best[0]:
+                break
+            work.append((low, high))
+    return best[1]
 
 
 def optimal_k_anonymity(
@@ -249,55 +421,94 @@ def optimal_k_anonymity(
 ) -> tuple[list[int], DataFrame]:
     """Levels of the best k-anonymous node and its release.
 
-    ``search="exact"`` scores every node. ``"best_first"`` stops after ``steps`` expansions and may
-    miss the optimum.
+    ``search="exact"`` finds the optimum without scoring nodes that cannot be it. ``"best_first"`` stops
+    after ``steps`` expansions and may miss the optimum.
     """
     if search not in ("exact", "best_first"):
         raise ValueError(f"unknown search {search!r}")
-    freq = frequency_set(df, qis)
-    lattice = Lattice(qis)
-    if search == "exact":
-        row = best_node(score_lattice(freq, qis, k, [model]), model, suppression_limit).first()
-        node = row["node"] if row and row["node"] is not None else lattice.top
+    scorer = Scorer(frequency_set(df, qis), qis, k, model)
+    if not scorer.rows:
+        node = scorer.lattice.top
+    elif search == "exact":
+        node = exact_node(scorer, suppression_limit)
     else:
-        node = _best_first(freq, qis, k, model, suppression_limit, steps)
-    levels = lattice.levels(node)
+        node = _best_first(scorer, suppression_limit, steps)
+    levels = scorer.lattice.levels(node)
     return levels, suppress_small(generalise_all(df, qis, levels), qis, k)
 
 
-def dp_search(
-    freq: DataFrame, qis: list[QI], k: int, eps_search: float, steps: int, seed: str,
-    model: str = "granularity",
-) -> list[int]:
-    """Levels found by a differentially private search from the top node.
+def search_noise(seed: str, step: int, node: int) -> float:
+    """Gumbel noise of one node in one draw, from the same hash as the noise on cells."""
+    digest = hashlib.md5(f"{seed}|search|{step}|{node}".encode()).hexdigest()
+    return -math.log(-math.log((int(digest[:13], 16) + 0.5) / (1 << 52)))
+
+
+@dataclass(frozen=True)
+class Search:
+    """One private search: its budget, how many nodes it expands, and its seed."""
+
+    eps: float
+    steps: int
+    seed: str
+
+
+def dp_searches(scorer: Scorer, searches: dict[str, Search]) -> dict[str, list[int]]:
+    """Levels found by a differentially private search in every set, all searches side by side.
 
     Every step expands the current node into its direct specialisations and draws the next one
     among all unexpanded nodes by the exponential mechanism on the score, which is scaled so that
     one row changes it by at most 1. A last draw picks the result among the visited nodes. The
-    budget is shared equally by all draws. Only node scores reach the driver.
+    budget is shared equally by all draws. Only node scores reach the driver, and a step of all
+    searches is one job, or none when the nodes are known.
     """
-    if model == "groupsize":
+    if "groupsize" in (scorer.model.values() if isinstance(scorer.model, dict) else [scorer.model]):
         raise ValueError("one row can move the mean group size by any amount: not a score for a private search")
-    lattice = Lattice(qis)
-    steps = min(steps, lattice.size - 1)
-    eps_step = eps_search / (steps + 1)
-    rng = np.random.default_rng(list(seed.encode()))
-    scores = _Scores(freq, qis, k, model)
-
-    def draw(nodes: list[int]) -> int:
-        scores.fetch(nodes, lattice)
-        logits = np.array([scores[i][0] for i in nodes]) * eps_step / 2
-        return nodes[int(np.argmax(logits + rng.gumbel(size=len(nodes))))]
-
-    pivot, visited, seen = lattice.top, [lattice.top], {lattice.top}
-    open_nodes: list[int] = []
-    for _ in range(steps):
-        fresh = [i for i in lattice.finer(pivot) if i not in seen]
-        seen.update(fresh)
-        open_nodes = sorted(set(open_nodes) | set(fresh))
-        if not open_nodes:
-            break
-        pivot = draw(open_nodes)
-        open_nodes.remove(pivot)
-        visited.append(pivot)
-    return lattice.levels(draw(sorted(visited)))
+    lattice = scorer.lattice
+    steps = {s: min(x.steps, lattice.size - 1) for s, x in searches.items()}
+    pivot = {s: lattice.top for s in searches}
+    visited, seen = {s: [lattice.top] for s in searches}, {s: {lattice.top} for s in searches}
+    open_nodes: dict[str, list[int]] = {s: [] for s in searches}
+
+    def draw(s: str, step: int, nodes: list[int]) -> int:
+        # a set without rows has no scores: every node is as good
+        unit = searches[s].eps / (steps[s] + 1) / 2
+        weight = lambda i: (scorer.value(i, s) * unit if s in scorer.rows else 0.0) + search_noise(searches[s].seed, step, i)
+        return max(nodes, key=lambda i: (weight(i), -i))
+
+    known = lambda names: {s: set(open_nodes[s]) for s in names if s in scorer.rows}
+    for step in range(max(steps.values(), default=0)):
+        active = [s for s in searches if step < steps[s] and pivot[s] is not None]
+        for s in active:
+            fresh = [i for i in lattice.finer(pivot[s]) if i not in seen[s]]
+            seen[s].update(fresh)
+            open_nodes[s] = sorted(set(open_nodes[s]) | set(fresh))
+        look_ahead(scorer, known(active))
+        for s in active:
+            pivot[s] = draw(s, step, open_nodes[s]) if open_nodes[s] else None
+            if pivot[s] is not None:
+                open_nodes[s].remove(pivot[s])
+                visited[s].append(pivot[s])
+    look_ahead(scorer, {s: set(visited[s]) for s in searches if s in scorer.rows})
+    return {s: lattice.levels(draw(s, steps[s], sorted(visited[s]))) for s in searches}
+
+
+def dp_search(
+    freq: DataFrame, qis: list[QI], k: int, eps_search: float, steps: int, seed: str,
+    model: str = "granularity",
+) -> list[int]:
+    """``dp_searches`` for one set."""
+    return dp_searches(Scorer(freq, qis, k, model), {"": Search(eps_search, steps, seed)})[""]
+
+
+def cells_at(qis: list[QI], levels: str) -> list[Column]:
+    """Cells of rows from ``with_paths``, generalised to the array column ``levels`` as ``generalise`` does."""
+    out = []
+    for j, q in enumerate(qis):
+        level = F.get(levels, F.lit(j))
+        cell = F.get(f"p{j}", level)["node"]
+        if q.is_category:
+            raw = F.col(q.name).cast("string")
+            # a hierarchy's values stay themselves at its lowest level, and NULL stays NULL below the top
+            cell = F.when(level >= q.top_level, F.lit(STAR)).when((level == 0) | raw.isNull(), raw).otherwise(cell)
+        out.append(cell.alias(q.name))
+    return out

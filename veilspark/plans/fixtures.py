@@ -25,6 +25,8 @@ PRIORITY_LINES = [
     "4-NOT SPECIFIED;REST;*",
     "5-LOW;REST;*",
 ]
+TYPE_LINES = ["SMALL;SIZED;*", "MEDIUM;SIZED;*", "LARGE;SIZED;*", "ECONOMY;RANGE;*", "STANDARD;RANGE;*", "PROMO;RANGE;*"]
+BRAND_LINES = [f"Brand#{i};B{i // 10};*" for i in range(1, 26)]
 STATUS_LINES = ["F;CLOSED;*", "P;RUNNING;*", "O;RUNNING;*"]
 RETURNFLAG_LINES = ["A;RETURNED;*", "R;RETURNED;*", "N;KEPT;*"]
 LINESTATUS_LINES = ["F;*", "O;*"]
@@ -92,6 +94,8 @@ LINES = {
     "linestatus": lambda spark, sf: lines_from_list(spark, LINESTATUS_LINES),
     "event_type": lambda spark, sf: lines_from_list(spark, EVENT_LINES),
     "status": lambda spark, sf: lines_from_list(spark, STATUS_LINES),
+    "type": lambda spark, sf: lines_from_list(spark, TYPE_LINES),
+    "brand": lambda spark, sf: lines_from_list(spark, BRAND_LINES),
 }
 
 
@@ -110,6 +114,10 @@ ACCTBAL = QI("acctbal", "number", -1000.0, 10000.0, 2, widths=(1000.0,))
 TOTALPRICE = QI("totalprice", "number", 0.0, 500000.0, 2, widths=(50000.0, 250000.0))
 SIZE = QI("size", "number", 1.0, 50.0, 0, integer=True, widths=(10.0,))
 PRICE = QI("retailprice", "number", 900.0, 1000.0, 1, widths=(20.0,))
+#: Many bands per attribute, some of which do not lie within one band of the level above.
+WIDE_SIZE = QI("size", "number", 1.0, 50.0, 0, integer=True, widths=(2.0, 4.0, 8.0, 16.0, 32.0))
+WIDE_PRICE = QI("retailprice", "number", 900.0, 1000.0, 1, widths=(0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0))
+WIDE_NUMBER = QI("number", "number", 0.0, 100_000.0, 0, integer=True, widths=(10.0, 50.0, 100.0, 500.0, 1000.0, 5000.0, 10_000.0))
 QUANTITY = QI("quantity", "number", 1.0, 50.0, 0, integer=True, widths=(10.0,))
 DISCOUNT = QI("discount", "number", 0.0, 0.1, 2, widths=(0.05,))
 VALUE = QI("value", "number", 0.0, 500.0, 2, widths=(50.0,))
@@ -154,6 +162,17 @@ def part_qis(spark: SparkSession, sf: str) -> list[QI]:
     return [SIZE, PRICE]
 
 
+def wide_part_qi(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("rid"), F.col("p_partkey").alias("number"), F.col("p_size").alias("size"),
+        F.col("p_retailprice").alias("retailprice"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
+
+
+def wide_part_qis(spark: SparkSession, sf: str) -> list[QI]:
+    """A lattice of 5,670 nodes."""
+    return [WIDE_NUMBER, WIDE_SIZE, WIDE_PRICE, category(spark, sf, "type"), category(spark, sf, "brand")]
+
+
 def lineitem_qi(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import classes, lattice, microaggregation as ma, release, semantic_noise as sn
 from veilspark.operators.marginality import marginality_sample
-from veilspark.operators.safepub import safepub
+from veilspark.operators.safepub import Release, safepub
 from veilspark.plans import fixtures as fx
 from veilspark.plans import sqltext as q
 from veilspark.plans.catalog import query
@@ -355,15 +355,72 @@ def g7_none(spark, sf):
     return lattice.optimal_k_anonymity(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), 5, 0.0)[1]
 
 
-@query("g8_dp_search")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def private_ctes(searches: list[tuple], n: str = "") -> str:
+    """Private searches over the customer lattice, replayed node by node. A search is (name, param,
+    iteration, optimised metric, k, share sampled, eps of the search, steps, seed); CTEs ``fin{n}`` with
+    the node drawn by each, and ``out{n}`` with the released rows."""
+    rows = ", ".join(
+        f"('{name}', {param}e0, {i}, '{metric}', {k}, {beta!r}::DOUBLE, {eps!r}::DOUBLE / {min(steps, 26) + 1} / 2, {min(steps, 26)}, '{seed}')"
+        for name, param, i, metric, k, beta, eps, steps, seed in searches)
+    noise = lambda step: f"ln(-ln((('0x' || substr(md5(seed || '|search|' || {step} || '|' || x), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0))"
+    pick = lambda nodes, step: (f"-(list_max(list_transform({nodes}, lambda x: "
+                                f"{{'w': -mp[x] * unit - {noise(step)}, 'n': -x}}))).n")
+    finer = "list_filter([CASE WHEN {v} // 9 > 0 THEN {v} - 9 END, CASE WHEN {v} // 3 % 3 > 0 THEN {v} - 3 END, CASE WHEN {v} % 3 > 0 THEN {v} - 1 END], lambda x: x IS NOT NULL AND NOT list_contains({seen}, x))"
+    fresh = finer.format(v="here", seen="seen")
+    sens = "(k * k / (k - 1e0) + 1)"
+    return f"""
+ rel{n} AS (SELECT * FROM (VALUES {rows}) v(rel, param, iteration, metric, k, beta, unit, steps, seed)),
+ cs{n} AS (SELECT rel{n}.*, c.*, {q.u("", "sample", "rid").replace("'|sample'", "seed || '|sample'")} < beta AS keep FROM c, rel{n}),
+ ls{n} AS (SELECT rel, k, metric, rid, ls, ln, la, ((ls * 3 + ln) * 3 + la)::BIGINT AS node, s.node AS segment, n.node AS nation,
+   CASE la WHEN 0 THEN {q.ACCTBAL_TEXT} WHEN 1 THEN {q.ACCTBAL_BAND} ELSE '*' END AS acctbal,
+   sw.n_leaves / 5e0 + nw.n_leaves / 25e0 + CASE la WHEN 0 THEN 1 / 1100001e0
+     WHEN 1 THEN CASE WHEN acctbal >= 9000 THEN 100001 ELSE 100000 END / 1100001e0 ELSE 1 END AS share
+   FROM cs{n} c, range(0, 3) a(ls), range(0, 3) b(ln), range(0, 3) d(la), st_c s, nt_c n, st_w sw, nt_w nw
+   WHERE keep AND s.leaf = segment AND s.level = ls AND n.leaf = nation AND n.level = ln AND sw.node = s.node AND nw.node = n.node),
+ lt{n} AS (SELECT *, count(*) OVER (PARTITION BY rel, node, segment, nation, acctbal) AS cnt, count(*) OVER (PARTITION BY rel, node) AS total FROM ls{n}),
+ sn{n} AS (SELECT rel, node, CASE any_value(metric)
+   WHEN 'granularity' THEN sum(CASE WHEN cnt < k THEN 3 ELSE share END) / (3 * (any_value(k) - 1))
+   WHEN 'intensity' THEN sum(CASE WHEN cnt < k THEN 3 ELSE (ls + ln + la) / 2e0 END) / (3 * (any_value(k) - 1))
+   ELSE sum(CASE WHEN cnt < k THEN total ELSE cnt END) / ({sens.replace("k", "any_value(k)")} * any_value(total)) END AS loss
+   FROM lt{n} GROUP BY rel, node),
+ mp{n} AS (SELECT rel, any_value(unit) AS unit, any_value(seed) AS seed, any_value(steps) AS steps, map(list(node), list(loss)) AS mp
+   FROM sn{n} JOIN rel{n} USING (rel) GROUP BY rel),
+ se{n} AS (SELECT rel, 0 AS step, 26::BIGINT AS here, []::BIGINT[] AS todo, [26]::BIGINT[] AS seen, [26]::BIGINT[] AS visited FROM rel{n}
+  UNION ALL SELECT rel, step + 1, nxt, list_filter(todo, lambda x: x <> nxt), seen, list_append(visited, nxt) FROM (
+   SELECT *, {pick("todo", "step")} AS nxt FROM (
+    SELECT rel, step, todo || {fresh} AS todo, seen || {fresh} AS seen, visited, mp, unit, seed FROM se{n} JOIN mp{n} USING (rel) WHERE step < steps))),
+ fin{n} AS (SELECT rel, {pick("visited", "steps")} AS best FROM se{n} JOIN mp{n} USING (rel) WHERE step = steps),
+ out{n} AS (SELECT cs{n}.rel, param, cs{n}.iteration, cs{n}.metric AS optimised, cs{n}.rid, CASE WHEN lt.cnt >= cs{n}.k THEN lt.segment ELSE '*' END AS segment,
+   CASE WHEN lt.cnt >= cs{n}.k THEN lt.nation ELSE '*' END AS nation, CASE WHEN lt.cnt >= cs{n}.k THEN lt.acctbal ELSE '*' END AS acctbal
+   FROM cs{n} LEFT JOIN (SELECT lt{n}.* FROM lt{n} JOIN fin{n} ON fin{n}.rel = lt{n}.rel AND best = node) lt
+   ON lt.rel = cs{n}.rel AND lt.rid = cs{n}.rid AND cs{n}.keep)"""
+
+
+def release_search(r: Release, param: float, iteration: int, steps: int) -> tuple:
+    """A release of the library as a search of ``private_ctes``."""
+    return r.name, param, iteration, r.model, r.k, r.beta, r.search, steps, r.seed
+
+
+G8_K, G8_STEPS = 20, 30
+G8_SQL = recursive(q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI, private_ctes(
+    [("", 0, 1, "granularity", G8_K, 1.0, 0.1, G8_STEPS, SEED)])))
+G9_SQL = recursive(q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI, private_ctes(
+    [release_search(Release("", 1.0, 1e-5, SEED), 0, 1, 300)])))
+
+
+@query("g8_dp_search", G8_SQL + " SELECT segment, nation, acctbal, count(*) AS class_size FROM lt JOIN fin ON best = node GROUP BY ALL")
 def g8(spark, sf):
     """Classes of the node drawn by the private search, 30 expansions."""
     df, qis = fx.customer_qi(spark, sf), fx.customer_qis(spark, sf)
-    levels = lattice.dp_search(lattice.frequency_set(df, qis), qis, 20, 0.1, 30, SEED)
+    levels = lattice.dp_search(lattice.frequency_set(df, qis), qis, G8_K, 0.1, G8_STEPS, SEED)
     return classes.equivalence_classes(classes.generalise_all(df, qis, levels), qis)
 
 
-@query("g9_safepub")
+@query("g9_safepub", G9_SQL + " SELECT rid, segment, nation, acctbal FROM out")
 def g9(spark, sf):
     return safepub(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), 1.0, 1e-5, seed=SEED, steps=300)
 
@@ -408,6 +465,62 @@ def g7_orders(spark, sf):
     return classes.equivalence_classes(lattice.optimal_k_anonymity(fx.orders_qi(spark, sf), qis, 5)[1], qis)
 
 
+def _wide_levels(n: str, qi, value: str) -> str:
+    """CTE ``n``: cell number and covered share of a numeric attribute at every level, brute force."""
+    units, scale = qi.grid_units, 10**qi.decimals
+    at = f"(round(({value} - {qi.lo}) * {scale}))::BIGINT"
+    parts = [f"SELECT p_partkey AS rid, 0 AS level, {at} AS cell, 1e0 / {qi.domain_size} AS share FROM part"]
+    for level, w in enumerate(qi.widths, 1):
+        w = round(w * scale)
+        last = max(1, round(units / w)) - 1
+        cell = f"least(greatest({at} // {w}, 0), {last})"
+        parts.append(f"""SELECT p_partkey, {level}, {cell}, CASE WHEN {cell} = {last} THEN {units - last * w + 1} ELSE {w} END / {qi.domain_size}e0 FROM part""")
+    parts.append(f"SELECT p_partkey, {qi.top_level}, 0, 1e0 FROM part")
+    return f"{n} AS (" + " UNION ALL ".join(parts) + ")"
+
+
+WIDE_K = 5
+WIDE_SQL = q.with_(
+    _wide_levels("a0", fx.WIDE_NUMBER, "p_partkey"), _wide_levels("a1", fx.WIDE_SIZE, "p_size"),
+    _wide_levels("a2", fx.WIDE_PRICE, "p_retailprice"),
+    """ty AS (SELECT *, CASE WHEN p_type IN ('SMALL', 'MEDIUM', 'LARGE') THEN 1 ELSE 2 END AS up, dense_rank() OVER (ORDER BY p_type) AS own FROM part),
+ a3 AS (SELECT p_partkey AS rid, l AS level, CASE l WHEN 0 THEN own WHEN 1 THEN up ELSE 0 END AS cell,
+   CASE l WHEN 0 THEN 1 / 6e0 WHEN 1 THEN 0.5e0 ELSE 1 END AS share FROM ty, range(3) r(l))""",
+    """br AS (SELECT *, p_brand[7:]::INT AS own FROM part),
+ a4 AS (SELECT p_partkey AS rid, l AS level, CASE l WHEN 0 THEN own WHEN 1 THEN own // 10 ELSE 0 END AS cell,
+   CASE l WHEN 0 THEN 1 / 25e0 WHEN 1 THEN CASE own // 10 WHEN 0 THEN 9 WHEN 1 THEN 10 ELSE 6 END / 25e0 ELSE 1 END AS share FROM br, range(3) r(l))""",
+    f"""cl AS (SELECT a0.level AS l0, a1.level AS l1, a2.level AS l2, a3.level AS l3, a4.level AS l4, count(*) AS cnt,
+   any_value(a0.share + a1.share + a2.share + a3.share + a4.share) AS share
+   FROM a0 JOIN a1 USING (rid) JOIN a2 USING (rid) JOIN a3 USING (rid) JOIN a4 USING (rid)
+   GROUP BY l0, l1, l2, l3, l4, a0.cell, a1.cell, a2.cell, a3.cell, a4.cell),
+ sc AS (SELECT l0, l1, l2, l3, l4, (((l0 * 7 + l1) * 10 + l2) * 3 + l3) * 3 + l4 AS node,
+   sum(CASE WHEN cnt < {WIDE_K} THEN cnt * 5 ELSE cnt * share END) / (5 * {WIDE_K - 1}) AS loss,
+   coalesce(sum(cnt) FILTER (cnt < {WIDE_K}), 0) / sum(cnt)::DOUBLE AS gone FROM cl GROUP BY ALL)""") + """
+ SELECT node::BIGINT AS node, concat_ws(',', l0, l1, l2, l3, l4) AS levels, round(loss, 6) AS granularity,
+ round(gone, 6) AS suppressed_share FROM sc WHERE gone <= {limit} ORDER BY round(loss, 9), node LIMIT 1"""
+
+
+def _wide(spark, sf, limit):
+    qis = fx.wide_part_qis(spark, sf)
+    scorer = lattice.Scorer(lattice.frequency_set(fx.wide_part_qi(spark, sf), qis), qis, WIDE_K)
+    node = lattice.exact_node(scorer, limit)
+    scores = scorer.scores(["granularity"], [node]).select(
+        "node", F.array_join(F.transform("levels", lambda x: x.cast("string")), ",").alias("levels"), "granularity", "suppressed_share")
+    return r6(scores, "granularity", "suppressed_share")
+
+
+@query("g7_optimal_node_wide", WIDE_SQL.replace("{limit}", "1"))
+def g7_wide(spark, sf):
+    """Best of 5,670 nodes over five attributes of the parts."""
+    return _wide(spark, sf, 1.0)
+
+
+@query("g7_optimal_node_wide_suppression", WIDE_SQL.replace("{limit}", "0.01"))
+def g7_wide_limit(spark, sf):
+    """The same with at most a hundredth of the rows suppressed."""
+    return _wide(spark, sf, 0.01)
+
+
 @query("e9_sanitise_events", f"""SELECT event_id AS rid, event_type,
  {_noisy('value', 'value', 0.5, 0, 0, 500, 2, False, False).replace("'value') || '|' || (rid)", "'value') || '|' || (event_id)")} AS value FROM events""")
 def e9_events(spark, sf):
