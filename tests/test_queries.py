@@ -1,4 +1,4 @@
-"""Every named query with SQL gives the SQL's rows; the others give rows of a stable schema."""
+"""Every named query with SQL gives the SQL's rows; what the others give is tested beside their operators."""
 
 import harness
 import pytest
@@ -19,7 +19,7 @@ def test_matches_sql(spark, con, name):
     assert harness.compare(queries()[name](spark, SF), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", ["g8_dp_search", "g9_safepub", "j18_sweep_disclosure"])
+@pytest.mark.parametrize("name", ["j17_sweep_attributes", "j18_sweep_disclosure"])
 def test_runs(spark, name):
     assert queries()[name](spark, SF).count() > 0
 

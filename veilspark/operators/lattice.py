@@ -92,7 +92,8 @@ def with_paths(df: DataFrame, qis: list[QI]) -> DataFrame:
             value = F.col(q.name).cast("double")
             cells = [band(value, q, level) for level in range(q.top_level + 1)]
             out = out.withColumn(name, F.array(*[
-                F.struct(c.alias("node"), (grid_leaves(c, q) / F.lit(q.domain_size)).alias("share"))
+                # a NULL counts as lost, as it does in the metrics
+                F.struct(c.alias("node"), F.coalesce(grid_leaves(c, q) / F.lit(q.domain_size), F.lit(1.0)).alias("share"))
                 for c in cells
             ]))
     return out
@@ -360,14 +361,15 @@ def exact_node(scorer: Scorer, limit: float = 1.0, boxes: int = BOXES) -> int:
     both = scorer.model == "discernibility"  # its bound needs the finest corner as well
     best, shares = (math.inf, lattice.top), scorer.shares[""]
 
-    def look(corners: list[list[int]]) -> None:
+    def look(nodes: set[int]) -> None:
         nonlocal best
-        nodes = {lattice.node(c) for c in corners}
         scorer.fetch({"": nodes})
         for i in nodes:
             if scorer.suppressed(i) <= limit:
                 best = min(best, (round(-scorer.value(i), 9), i))
 
+    look({i for _, i in scorer.known})  # what an earlier search has scored
+
     def cut(low: list[int], high: list[int]) -> int:
         wide = [j for j in range(len(low)) if low[j] < high[j]]
         loose = [j for j in wide if not all(lattice.nests(j, level, high[j]) for level in range(low[j], high[j]))]
@@ -403,7 +405,7 @@ def exact_node(scorer: Scorer, limit: float = 1.0, boxes: int = BOXES) -> int:
         work = halve(work)
         while len(corners()) < boxes and any(low != high for low, high in work):
             work = halve(work)
-        look(corners())
+        look({lattice.node(c) for c in corners()})
         for box in work:
             push(*box)
         work = []
@@ -505,7 +507,9 @@ def cells_at(qis: list[QI], levels: str) -> list[Column]:
     out = []
     for j, q in enumerate(qis):
         level = F.get(levels, F.lit(j))
-        cell = F.get(f"p{j}", level)["node"]
+        # taken from a transform: a field taken straight from the path is read below the outer join that
+        # filled it in, where the fill for unknown values is lost
+        cell = F.get(F.transform(f"p{j}", lambda x: x["node"]), level)
         if q.is_category:
             raw = F.col(q.name).cast("string")
             # a hierarchy's values stay themselves at its lowest level, and NULL stays NULL below the top

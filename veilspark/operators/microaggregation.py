@@ -6,6 +6,8 @@ the partition depends on the data only through distances to public points.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,13 +133,31 @@ def microaggregate(df: DataFrame, qis: list[QI], k: int, strategy: str = "batche
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def _ordered(df, qis, k, rid, n) -> DataFrame:
+def microaggregate_each(df: DataFrame, qis: list[QI], ks: list[int], strategy: str = "batched", rid: str = "rid",
+                        n: int | None = None) -> DataFrame:
+    """``microaggregate`` for every k: ``(k, rid, cluster_id)``. One sort serves all of ``ordered``."""
+    n = df.count() if n is None else n
+    if strategy == "ordered":
+        order = _positions(df, qis, rid)
+        sizes = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+        last = F.greatest(F.floor(F.lit(n) / F.col("k")), F.lit(1)) - 1
+        run = F.least(F.floor((F.col("_pos") - 1) / F.col("k")), last).cast("bigint")
+        return order.select("_pos", rid, sizes).select("k", rid, run.alias("cluster_id"))
+    parts = [microaggregate(df, qis, k, strategy, rid, n).select(F.lit(k).alias("k"), rid, "cluster_id") for k in ks]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _positions(df, qis, rid) -> DataFrame:
     corner = F.array(*[F.lit(b) for b in corner_order(len(qis), 1)[0]])
     d = _corner_distance(corner, len(qis))
     keyed = corner_terms(df.select(rid, *names(qis)), qis).select(d.alias("_d"), rid)
+    return ordered_positions(keyed, ["_d", rid], "_pos")
+
+
+def _ordered(df, qis, k, rid, n) -> DataFrame:
     last = max(n // k, 1) - 1
     run = F.least(F.floor((F.col("_pos") - 1) / k), F.lit(last)).cast("bigint")
-    return ordered_positions(keyed, ["_d", rid], "_pos").select(rid, run.alias("cluster_id"))
+    return _positions(df, qis, rid).select(rid, run.alias("cluster_id"))
 
 
 def _batched(df, qis, k, rid, n) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.cells import is_range, number_text, round_clamp
 from veilspark.functions.noise import fresh_seed, gumbel, laplace, uniform
 from veilspark.operators.marginality import categorical_mean, least_marginal, marginality, value_counts
-from veilspark.operators.microaggregation import microaggregate
+from veilspark.operators.microaggregation import microaggregate, microaggregate_each
 from veilspark.operators.taxonomy import leaf_domain
 from veilspark.runtime import materialise
 from veilspark.sources.tables import attach_grid
@@ -58,6 +58,10 @@ def dp_categorical_centroid(
     return _dp_centroid(value_counts(df, qi.name, by), qi, eps, n, k, seed, by, iterations)
 
 
+def _number(k: Column | int | float) -> Column:
+    return k if isinstance(k, Column) else F.lit(k)
+
+
 def _dp_centroid(counts, qi, eps, n, k, seed, by, iterations=None) -> DataFrame:
     single = not isinstance(eps, list)
     # counted zero times, so that a cluster without a known value draws from the whole domain
@@ -66,7 +70,7 @@ def _dp_centroid(counts, qi, eps, n, k, seed, by, iterations=None) -> DataFrame:
     counts = counts.select(*by, "value", "n").unionByName(none)
     margins = marginality(counts, qi.tax, by, targets="domain")
     grid = attach_grid(margins, eps=[float(eps)] if single else eps, iteration=iterations or [1])
-    logit = -F.col("eps") * F.col("marginality") / F.lit(2 * (n / k) * qi.span)
+    logit = -F.col("eps") * F.col("marginality") / (2 * (F.lit(float(n)) / _number(k)) * qi.span)
     u = uniform(seed, "centroid", qi.name, F.col("eps"), F.col("iteration"),
                 *[F.col(b) for b in by], F.col("value"))
     out = grid.groupBy(*by, "eps", "iteration").agg(F.max_by("value", logit + gumbel(u)).alias("centroid"))
@@ -75,8 +79,8 @@ def _dp_centroid(counts, qi, eps, n, k, seed, by, iterations=None) -> DataFrame:
 
 def centroid_table(
     df: DataFrame, clusters: DataFrame, qis: list[QI], dp: bool = False, eps: list[float] | None = None,
-    n: int | None = None, k: int | None = None, seed: str = "", iterations: list[int] | None = None,
-    rid: str = "rid",
+    n: int | None = None, k: Column | int | None = None, seed: str = "", iterations: list[int] | None = None,
+    rid: str = "rid", by: list[str] = ["cluster_id"],
 ) -> DataFrame:
     """One row per cluster with the centroid of every attribute; with ``dp``, one per cluster,
     eps and iteration, categories drawn by the exponential mechanism.
@@ -85,7 +89,6 @@ def centroid_table(
     cluster whose values are all NULL or outside the hierarchy gets ``*``; with ``dp`` it draws from
     the whole domain alike.
     """
-    by = ["cluster_id"]
     members = df.select(rid, *names(qis)).join(clusters, rid)
     categories = [q for q in qis if q.is_category]
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -117,26 +120,29 @@ def centroid_table(
     return out.select(*lead, *names(qis))
 
 
-def apply_centroids(clusters: DataFrame, centroids: DataFrame, rid: str = "rid") -> DataFrame:
+def apply_centroids(clusters: DataFrame, centroids: DataFrame, rid: str = "rid",
+                    by: list[str] = ["cluster_id"]) -> DataFrame:
     """Replace every row by the centroid of its cluster. Clusters have fewer than 2k rows, so no
     key is hot; Spark broadcasts the centroids when they are small."""
-    return clusters.select(rid, "cluster_id").join(centroids, "cluster_id").drop("cluster_id")
+    return clusters.select(rid, *by).join(centroids, by).drop("cluster_id")
 
 
-def noise_scale(qi: QI, eps: Column | float, k: int, n: int | None = None, sensitivity: str = "per_cluster"):
+def noise_scale(qi: QI, eps: Column | float, k: Column | int, n: int | None = None, sensitivity: str = "per_cluster"):
     """Laplace scale of one numeric attribute.
 
     ``per_cluster``: range / (eps k). ``all_clusters``: times n / k, for the sum of the
     sensitivities of all centroids.
     """
-    factor = {"per_cluster": 1.0, "all_clusters": (n or k) / k}
-    if sensitivity not in factor:
+    if sensitivity not in ("per_cluster", "all_clusters"):
         raise ValueError(f"unknown sensitivity {sensitivity!r}")
-    return F.lit(float(qi.hi - qi.lo) * factor[sensitivity]) / (F.lit(eps) if isinstance(eps, float) else eps) / F.lit(k)
+    width = F.lit(float(qi.hi - qi.lo))
+    if sensitivity == "all_clusters" and n:
+        width = width * (F.lit(float(n)) / _number(k))
+    return width / (F.lit(eps) if isinstance(eps, float) else eps) / _number(k)
 
 
 def sanitise(
-    df: DataFrame, qis: list[QI], eps: Column | float, k: int, seed: str, rid: str = "rid",
+    df: DataFrame, qis: list[QI], eps: Column | float, k: Column | int, seed: str, rid: str = "rid",
     parts: list[str] | None = None, n: int | None = None, sensitivity: str = "per_cluster",
 ) -> DataFrame:
     """Laplace noise on every numeric attribute, rounded and clamped to the public bounds, as
@@ -165,24 +171,32 @@ def total_budget(qis: list[QI], eps: float, budget: str = "per_attribute") -> tu
 
 
 def microdp_sweep(
-    df: DataFrame, qis: list[QI], eps: list[float], k: int, seed: str | None, iterations: int = 1,
+    df: DataFrame, qis: list[QI], eps: list[float], k: int | list[int], seed: str | None, iterations: int = 1,
     strategy: str = "batched", budget: str = "per_attribute", sensitivity: str = "per_cluster",
     clusters: DataFrame | None = None, rid: str = "rid",
 ) -> DataFrame:
     """Releases for every eps and iteration in one job: clusters are built once, centroids and
-    noise run over the grid. Columns ``eps``, ``iteration``, ``total_eps``, ``rid`` and the cells."""
+    noise run over the grid. Columns ``eps``, ``iteration``, ``total_eps``, ``rid`` and the cells.
+
+    With a list of ``k`` the releases of every k come from the same jobs, with a column ``k``.
+    """
     seed = fresh_seed(seed)
     n = df.count()
-    clusters = materialise(microaggregate(df, qis, k, strategy, rid, n)) if clusters is None else clusters
+    many = isinstance(k, list)
+    if clusters is None:
+        clusters = materialise(microaggregate_each(df, qis, k, strategy, rid, n) if many
+                               else microaggregate(df, qis, k, strategy, rid, n))
+    lead = ["k"] if many else []
+    size, by = F.col("k") if many else k, [*lead, "cluster_id"]
     spend = {e: total_budget(qis, e, budget) for e in eps}
     rounds = list(range(1, iterations + 1))
     centroids = centroid_table(
-        df, clusters, qis, True, [spend[e][0] for e in eps], n, k, seed, rounds, rid)
-    rows = apply_centroids(clusters, centroids, rid)
-    noisy = sanitise(rows, qis, F.col("eps"), k, seed, rid, ["eps", "iteration"], n, sensitivity)
+        df, clusters, qis, True, [spend[e][0] for e in eps], n, size, seed, rounds, rid, by)
+    rows = apply_centroids(clusters, centroids, rid, by)
+    noisy = sanitise(rows, qis, F.col("eps"), size, seed, rid, ["eps", "iteration", *lead], n, sensitivity)
     given = reduce(lambda c, e: F.when(F.col("eps") == spend[e][0], F.lit(e)).otherwise(c), eps, F.lit(None).cast("double"))
     total = F.col("eps") * len(qis)
-    return noisy.select(given.alias("eps"), "iteration", total.alias("total_eps"), rid, *names(qis))
+    return noisy.select(*lead, given.alias("eps"), "iteration", total.alias("total_eps"), rid, *names(qis))
 
 
 def microdp(

@@ -18,8 +18,10 @@ from veilspark.spec import QI, STAR, names
 KEYS = ["model", "param", "iteration"]
 
 
-def k_column(k_of: int | dict[float, int], by: str = "param") -> Column:
-    """k of a release: one number, or a number per parameter value."""
+def k_column(k_of: int | dict[float, int] | Column, by: str = "param") -> Column:
+    """k of a release: one number, a number per parameter value, or a column over the release keys."""
+    if isinstance(k_of, Column):
+        return k_of
     if isinstance(k_of, int):
         return F.lit(k_of)
     out = F.lit(None).cast("int")
@@ -29,7 +31,7 @@ def k_column(k_of: int | dict[float, int], by: str = "param") -> Column:
 
 
 def score_releases(releases: DataFrame, raw: DataFrame, qis: list[QI], metrics: list[str],
-                   k_of: int | dict[float, int] = 1, by: list[str] = KEYS) -> DataFrame:
+                   k_of: int | dict[float, int] | Column = 1, by: list[str] = KEYS) -> DataFrame:
     """Every metric of every release, with its ``k``."""
     k = k_column(k_of)
     return compute_metrics(metrics, releases, qis, k, raw, by).withColumn("k", k)

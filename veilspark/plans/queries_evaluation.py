@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators import classes, linkage, metrics, ranks
+from veilspark.operators.safepub import class_size_for
 from veilspark.plans import evaluation as ev, fixtures as fx, sweeps
 from veilspark.plans import sqltext as q
 from veilspark.plans.catalog import query
-from veilspark.plans.queries_release import KANON, SEED, _anonymous, g4
+from veilspark.plans.queries_release import (
+    KANON, LATTICE, SEED, _anonymous, _dp_centroid, _noisy, _ordered_ctes, g4, private_ctes, recursive, release_search)
 from veilspark.plans.queries_tables import r6
 from veilspark.sources.tables import attach_grid
 
@@ -28,8 +30,8 @@ def _metric_ctes(source: str, by: str = "") -> str:
     part = f"PARTITION BY {by.rstrip(', ')}" if by else ""
     return f"""
  mr AS (SELECT r.*, count(*) OVER ({part}) AS total, segment = '*' AND nation = '*' AND acctbal = '*' AS gone,
-   sw.n_leaves / 5e0 + nw.n_leaves / 25e0 + CASE WHEN acctbal = '*' THEN 1e0 ELSE {BAND_SHARE} END AS share,
-   sn.level / 2e0 + nn.level / 2e0 + CASE WHEN acctbal = '*' THEN 1e0 ELSE 0.5e0 END AS lvl
+   sw.n_leaves / 5e0 + nw.n_leaves / 25e0 + CASE WHEN acctbal = '*' THEN 1e0 WHEN contains(acctbal, '_') THEN {BAND_SHARE} ELSE 1 / 1100001e0 END AS share,
+   sn.level / 2e0 + nn.level / 2e0 + CASE WHEN acctbal = '*' THEN 1e0 WHEN contains(acctbal, '_') THEN 0.5e0 ELSE 0 END AS lvl
    FROM {source} r JOIN st_w sw ON sw.node = segment JOIN nt_w nw ON nw.node = nation
    JOIN st_n sn ON sn.node = segment JOIN nt_n nn ON nn.node = nation),
  mc AS (SELECT {by} gone, count(*)::DOUBLE AS size, any_value(total) AS total FROM mr GROUP BY {by} gone, segment, nation, acctbal),
@@ -442,16 +444,98 @@ def j13(spark, sf):
     return r6(ev.risk_utility(scores, norm), "record_linkage", "information_loss")
 
 
-@query("j15_sweep_epsilon")
+# ---- whole sweeps: every release replayed in SQL, then scored
+
+BASE = q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI)
+KA_CTES = LATTICE[len(BASE):].lstrip(", \n") + """, bs AS (SELECT node AS best FROM sl ORDER BY round(granularity, 9), node LIMIT 1),
+ ka AS (SELECT rid, CASE WHEN cnt < 5 THEN '*' ELSE segment END AS segment, CASE WHEN cnt < 5 THEN '*' ELSE nation END AS nation,
+ CASE WHEN cnt < 5 THEN '*' ELSE acctbal END AS acctbal FROM lk, bs WHERE node = best)"""
+
+
+def _microdp_ctes(n: str, k: int, grid: list[tuple[float, int]], with_k: bool) -> str:
+    """CTE ``n`` (eps, iteration, rid and cells): releases of the one-sort clusters of size k. ``with_k``:
+    k is part of every draw, as in a sweep over k."""
+    ctes = [_ordered_ctes(k).replace("ord AS", f"{n}_o AS").replace("cl AS", f"{n}_c AS").replace("FROM ord)", f"FROM {n}_o)"),
+            f"{n}_m AS (SELECT cluster_id, avg(acctbal) AS acctbal FROM {n}_c GROUP BY 1)"]
+    parts = []
+    for e, i in grid:
+        tag = f"{n}_{str(e).replace('.', '_')}_{i}"
+        for t, attr in (("st", "segment"), ("nt", "nation")):
+            one = _dp_centroid(t, attr, e, i, f"{tag}_{t}", k).replace("FROM cl GROUP", f"FROM {n}_c GROUP")
+            ctes.append(one.replace(" (cluster_id)::VARCHAR", f" '{k}|' || (cluster_id)::VARCHAR") if with_k else one)
+        cell = _noisy("m.acctbal", "acctbal", e, i, -1000, 10000, 2, k=k)
+        if with_k:
+            cell = cell.replace("(rid)::VARCHAR", f"'{k}|' || (rid)::VARCHAR")
+        parts.append(f"""SELECT {e}e0 AS eps, {i} AS iteration, rid, a.segment, b.nation, {cell} AS acctbal
+ FROM {n}_c JOIN {tag}_st a USING (cluster_id) JOIN {tag}_nt b USING (cluster_id) JOIN {n}_m m USING (cluster_id)""")
+    return ",\n".join(ctes) + f",\n {n} AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _searches(settings, iterations, models=("granularity",), steps=300):
+    out = []
+    for r in sweeps.safepub_settings(settings, SEED, iterations, list(models)):
+        param, i, _ = r.name.split("|")
+        out.append(release_search(r, float(param), int(i), steps))
+    return out
+
+
+def _sweep_sql(ctes: list[str], releases: str, k_sql: str, ks: list[int]) -> str:
+    """Mean and deviation of the normalised metrics of ``releases`` (a union over the CTEs)."""
+    score = " UNION ALL ".join(
+        [f"SELECT {BY} '{m}' AS metric, {e} AS score FROM (SELECT *, {k_sql} AS kk FROM ms)" for m, e in _scaled("kk").items()]
+        + [f"SELECT {BY} 'sse', sse FROM sse"])
+    return recursive(BASE) + ", " + ",\n".join([
+        *ctes, f"r AS ({releases})", _metric_ctes("r", BY), "sse AS (" + _sse("r", BY) + ")",
+        f"sw AS (SELECT {BY} metric, score, {k_sql} AS k FROM ({score}))", RAW_TEXT, _reference(ks),
+        f"""nm AS (SELECT {BY} sw.metric, (sw.score - o.score) / nullif(s.score - o.score, 0) AS score
+ FROM sw JOIN ref o ON o.metric = sw.metric AND o.k = sw.k AND o.reference = 'original'
+ JOIN ref s ON s.metric = sw.metric AND s.k = sw.k AND s.reference = 'suppressed')"""]) + """
+ SELECT model, param, metric, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM nm GROUP BY ALL"""
+
+
+def _case(values: dict[float, int]) -> str:
+    return "CASE param " + " ".join(f"WHEN {p!r}::DOUBLE THEN {k}" for p, k in values.items()) + " END"
+
+
+MD = "SELECT 'MicroDP' AS model, {param} AS param, iteration, rid, segment, nation, acctbal FROM {n}"
+SP = " UNION ALL SELECT 'SafePub', param::DOUBLE, iteration, rid, segment, nation, acctbal FROM out"
+J15_EPS, J15_DELTA = [0.5, 2.0], 1e-5
+J15_K = {e: class_size_for(e, J15_DELTA) for e in J15_EPS}
+
+
+@query("j15_sweep_epsilon", _sweep_sql(
+    [private_ctes(_searches([(e, e, J15_DELTA) for e in J15_EPS], 2)), KA_CTES,
+     _microdp_ctes("md", 25, [(e, i) for e in J15_EPS for i in (1, 2)], False)],
+    MD.format(param="eps", n="md") + SP + " UNION ALL SELECT 'k-anonymisation', 5e0, 1, rid, segment, nation, acctbal FROM ka",
+    f"CASE model WHEN 'MicroDP' THEN 25 WHEN 'k-anonymisation' THEN 5 ELSE {_case(J15_K)} END", sorted({25, 5, *J15_K.values()})))
 def j15(spark, sf):
-    return sweeps.sweep_epsilon(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), [0.5, 2.0], 25, iterations=2,
-                                seed=SEED, steps=300, strategy="ordered")
+    return r6(sweeps.sweep_epsilon(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), J15_EPS, 25, J15_DELTA, iterations=2,
+                                   seed=SEED, steps=300, strategy="ordered"), "mean", "std")
+
+
+J15_MODELS = ["granularity", "intensity", "discernibility"]
+
+
+@query("j15_sweep_optimised", _sweep_sql(
+    [private_ctes(_searches([(e, e, J15_DELTA) for e in J15_EPS], 2, J15_MODELS))],
+    "SELECT optimised AS model, param::DOUBLE AS param, iteration, rid, segment, nation, acctbal FROM out",
+    _case(J15_K), sorted(set(J15_K.values()))))
+def j15_optimised(spark, sf):
+    """SafePub for three optimised metrics."""
+    return r6(sweeps.sweep_optimised(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), J15_EPS, J15_MODELS, J15_DELTA,
+                                     iterations=2, seed=SEED, steps=300), "mean", "std")
+
+
+J16_KS, J16_K = [20, 50], {d: class_size_for(1.0, d) for d in (1e-4, 1e-6)}
 
 
-@query("j16_sweep_k_delta")
+@query("j16_sweep_k_delta", _sweep_sql(
+    [private_ctes(_searches([(d, 1.0, d) for d in J16_K], 1)), *[_microdp_ctes(f"md{k}", k, [(1.0, 1)], True) for k in J16_KS]],
+    " UNION ALL ".join(MD.format(param=f"{k}e0", n=f"md{k}") for k in J16_KS) + SP,
+    f"CASE model WHEN 'MicroDP' THEN param::INT ELSE {_case(J16_K)} END", sorted({*J16_KS, *J16_K.values()})))
 def j16(spark, sf):
-    return sweeps.sweep_k_delta(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), [20, 50], [1e-4, 1e-6],
-                                seed=SEED, steps=300, strategy="ordered")
+    return r6(sweeps.sweep_k_delta(fx.customer_qi(spark, sf), fx.customer_qis(spark, sf), J16_KS, list(J16_K),
+                                   seed=SEED, steps=300, strategy="ordered"), "mean", "std")
 
 
 @query("j17_sweep_attributes")

@@ -364,7 +364,7 @@ def private_ctes(searches: list[tuple], n: str = "") -> str:
     iteration, optimised metric, k, share sampled, eps of the search, steps, seed); CTEs ``fin{n}`` with
     the node drawn by each, and ``out{n}`` with the released rows."""
     rows = ", ".join(
-        f"('{name}', {param}e0, {i}, '{metric}', {k}, {beta!r}::DOUBLE, {eps!r}::DOUBLE / {min(steps, 26) + 1} / 2, {min(steps, 26)}, '{seed}')"
+        f"('{name}', {float(param)!r}::DOUBLE, {i}, '{metric}', {k}, {beta!r}::DOUBLE, {eps!r}::DOUBLE / {min(steps, 26) + 1} / 2, {min(steps, 26)}, '{seed}')"
         for name, param, i, metric, k, beta, eps, steps, seed in searches)
     noise = lambda step: f"ln(-ln((('0x' || substr(md5(seed || '|search|' || {step} || '|' || x), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0))"
     pick = lambda nodes, step: (f"-(list_max(list_transform({nodes}, lambda x: "

@@ -1,19 +1,25 @@
-"""Parameter sweeps: releases of every model over a grid, scored and normalised."""
+"""Parameter sweeps: releases of every model over a grid, scored and normalised.
+
+A sweep is one family of jobs, however many releases it has: parameters, iterations and the optimised
+metric are columns. Clusters come from one sort, samples of all private releases from one scan, their
+searches advance side by side, and all releases are scored together. Only attribute subsets are run one
+after the other, because each has a table of its own.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.noise import fresh_seed
-from veilspark.operators.lattice import optimal_k_anonymity
+from veilspark.operators.lattice import SET, optimal_k_anonymity
 from veilspark.operators.microaggregation import microaggregate
 from veilspark.operators.release import microdp_sweep
-from veilspark.operators.safepub import class_size_for, safepub
+from veilspark.operators.safepub import Release, class_size_for, safepub_family
 from veilspark.plans.evaluation import (
-    KEYS, mean_std, normalise_scores, reference_scores, reference_scores_by_subset, score_releases,
+    KEYS, k_column, mean_std, normalise_scores, reference_scores, reference_scores_by_subset, score_releases,
 )
 from veilspark.runtime import materialise
 from veilspark.sources.tables import attribute_subset, subset_name
@@ -22,43 +28,63 @@ from veilspark.spec import QI, names
 PENALTIES = ["granularity", "intensity", "discernibility", "entropy", "groupsize", "sse"]
 
 
-def _tag(df: DataFrame, model: str, param, iteration) -> DataFrame:
-    lit = lambda v, kind: v if not isinstance(v, (int, float)) else F.lit(v).cast(kind)
-    return df.select(F.lit(model).alias("model"), lit(param, "double").alias("param"),
-                     lit(iteration, "int").alias("iteration"), *[c for c in df.columns if c not in KEYS])
+def _tag(df: DataFrame, qis: list[QI], model: str | Column, param: Column, iteration: Column) -> DataFrame:
+    return df.select((F.lit(model) if isinstance(model, str) else model).alias("model"), param.cast("double").alias("param"),
+                     iteration.cast("int").alias("iteration"), "rid", *names(qis))
 
 
-def microdp_releases(df: DataFrame, qis: list[QI], eps: list[float], k: int, seed: str, iterations: int,
+def microdp_releases(df: DataFrame, qis: list[QI], eps: list[float], k: int | list[int], seed: str, iterations: int,
                      strategy: str = "batched", clusters: DataFrame | None = None) -> DataFrame:
+    """Releases over eps, or over ``k`` when it is a list; ``param`` is the one that is swept."""
     rel = microdp_sweep(df, qis, eps, k, seed, iterations, strategy, clusters=clusters)
-    return _tag(rel.drop("total_eps"), "MicroDP", F.col("eps"), F.col("iteration").cast("int")).select(
-        *KEYS, "rid", *names(qis))
+    return _tag(rel, qis, "MicroDP", F.col("k" if isinstance(k, list) else "eps"), F.col("iteration"))
+
+
+def safepub_settings(settings: list[tuple[float, float, float]], seed: str, iterations: int,
+                     models: list[str] = ["granularity"]) -> list[Release]:
+    """Releases for (param, eps, delta) settings, iterations and optimised metrics. A name holds the
+    three, and so does the seed, but for the default metric."""
+    return [
+        Release(f"{param}|{i}|{model}", eps, delta, "|".join([seed, str(param), str(i), *([model] if model != "granularity" else [])]), model)
+        for param, eps, delta in settings for i in range(1, iterations + 1) for model in models]
 
 
 def safepub_releases(df: DataFrame, qis: list[QI], settings: list[tuple[float, float, float]], seed: str,
                      iterations: int, model: str = "granularity", steps: int = 300) -> DataFrame:
-    """Releases for (param, eps, delta) settings. Each one searches its own sample, so each is its
-    own chain of jobs; their results are one table."""
-    parts = []
-    for param, eps, delta in settings:
-        for i in range(1, iterations + 1):
-            rel = safepub(df, qis, eps, delta, model, steps, f"{seed}|{param}|{i}")
-            parts.append(_tag(rel, "SafePub", float(param), i).select(*KEYS, "rid", *names(qis)))
-    return reduce(DataFrame.unionByName, parts)
+    """Releases for (param, eps, delta) settings."""
+    rel = safepub_family(df, qis, safepub_settings(settings, seed, iterations, [model]), steps)
+    part = F.split(SET, r"\|")
+    return _tag(rel, qis, "SafePub", part[0], part[1])
+
+
+def optimised_releases(df: DataFrame, qis: list[QI], settings: list[tuple[float, float, float]], seed: str,
+                       iterations: int, models: list[str], steps: int = 300) -> DataFrame:
+    """As ``safepub_releases`` for several optimised metrics; ``model`` names the metric."""
+    rel = safepub_family(df, qis, safepub_settings(settings, seed, iterations, models), steps)
+    part = F.split(SET, r"\|")
+    return _tag(rel, qis, part[2], part[0], part[1])
 
 
 def kanon_release(df: DataFrame, qis: list[QI], k: int = 5, limit: float = 1.0) -> DataFrame:
     _, rel = optimal_k_anonymity(df.select("rid", *names(qis)), qis, k, limit)
-    return _tag(rel, "k-anonymisation", float(k), 1).select(*KEYS, "rid", *names(qis))
+    return _tag(rel, qis, "k-anonymisation", F.lit(float(k)), F.lit(1))
+
+
+def _k_of(per_model: dict[str, int | dict[float, int]]):
+    """k of a release by its model and parameter."""
+    out = F.lit(None).cast("int")
+    for model, k in per_model.items():
+        out = F.when(F.col("model") == model, k_column(k)).otherwise(out)
+    return out
 
 
-def _scored(releases: DataFrame, df: DataFrame, qis: list[QI], metrics: list[str], k_of, reference) -> DataFrame:
-    scores = score_releases(releases, df, qis, metrics, k_of)
+def _scored(releases: DataFrame, df: DataFrame, qis: list[QI], metrics: list[str], per_model, reference) -> DataFrame:
+    scores = score_releases(materialise(releases), df, qis, metrics, _k_of(per_model))
     return mean_std(normalise_scores(scores, reference))
 
 
-def _ks(*k_of) -> list[int]:
-    flat = [k for ks in k_of for k in (ks.values() if isinstance(ks, dict) else [ks])]
+def _ks(per_model) -> list[int]:
+    flat = [k for ks in per_model.values() for k in (ks.values() if isinstance(ks, dict) else [ks])]
     return sorted(set(flat))
 
 
@@ -67,15 +93,26 @@ def sweep_epsilon(df: DataFrame, qis: list[QI], eps: list[float], k: int, delta:
                   steps: int = 300, strategy: str = "batched") -> DataFrame:
     """All three models over eps: mean and deviation of the normalised metrics."""
     seed = fresh_seed(seed)
-    sp_k = {e: class_size_for(e, delta) for e in eps}
-    reference = materialise(reference_scores(df, qis, metrics, _ks(k, sp_k, 5)))
-    md = materialise(microdp_releases(df, qis, eps, k, seed, iterations, strategy))
-    sp = materialise(safepub_releases(df, qis, [(e, e, delta) for e in eps], seed, iterations, steps=steps))
-    ka = kanon_release(df, qis)
-    return (
-        _scored(md, df, qis, metrics, k, reference)
-        .unionByName(_scored(sp, df, qis, metrics, sp_k, reference))
-        .unionByName(_scored(ka, df, qis, metrics, 5, reference)))
+    per_model = {"MicroDP": k, "SafePub": {e: class_size_for(e, delta) for e in eps}, "k-anonymisation": 5}
+    reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
+    releases = (
+        microdp_releases(df, qis, eps, k, seed, iterations, strategy)
+        .unionByName(safepub_releases(df, qis, [(e, e, delta) for e in eps], seed, iterations, steps=steps))
+        .unionByName(kanon_release(df, qis)))
+    return _scored(releases, df, qis, metrics, per_model, reference)
+
+
+def sweep_optimised(df: DataFrame, qis: list[QI], eps: list[float], models: list[str], delta: float = 1e-5,
+                    iterations: int = 1, seed: str | None = None, metrics: list[str] = PENALTIES,
+                    steps: int = 300) -> DataFrame:
+    """SafePub over eps for every optimised metric; ``model`` is the metric. The mean group size cannot
+    be optimised privately (see ``dp_searches``)."""
+    seed = fresh_seed(seed)
+    k = {e: class_size_for(e, delta) for e in eps}
+    per_model = {model: k for model in models}
+    reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
+    releases = optimised_releases(df, qis, [(e, e, delta) for e in eps], seed, iterations, models, steps)
+    return _scored(releases, df, qis, metrics, per_model, reference)
 
 
 def sweep_k_delta(df: DataFrame, qis: list[QI], ks: list[int], deltas: list[float], eps: float = 1.0,
@@ -83,17 +120,11 @@ def sweep_k_delta(df: DataFrame, qis: list[QI], ks: list[int], deltas: list[floa
                   steps: int = 300, strategy: str = "batched") -> DataFrame:
     """MicroDP over k and SafePub over delta at one eps; ``param`` is k or delta."""
     seed = fresh_seed(seed)
-    sp_k = {float(d): class_size_for(eps, d) for d in deltas}
-    md_k = {float(k): k for k in ks}
-    reference = materialise(reference_scores(df, qis, metrics, _ks(md_k, sp_k)))
-    parts = []
-    for k in ks:
-        rel = microdp_releases(df, qis, [eps], k, seed, iterations, strategy)
-        parts.append(rel.withColumn("param", F.lit(float(k))))
-    md = materialise(reduce(DataFrame.unionByName, parts))
-    sp = materialise(safepub_releases(df, qis, [(d, eps, d) for d in deltas], seed, iterations, steps=steps))
-    return _scored(md, df, qis, metrics, md_k, reference).unionByName(
-        _scored(sp, df, qis, metrics, sp_k, reference))
+    per_model = {"MicroDP": {float(k): k for k in ks}, "SafePub": {float(d): class_size_for(eps, d) for d in deltas}}
+    reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
+    releases = microdp_releases(df, qis, [eps], ks, seed, iterations, strategy).unionByName(
+        safepub_releases(df, qis, [(d, eps, d) for d in deltas], seed, iterations, steps=steps))
+    return _scored(releases, df, qis, metrics, per_model, reference)
 
 
 def sweep_attributes(df: DataFrame, qis: list[QI], subsets: list[list[str]], k: int, eps: float = 1.0,
@@ -101,17 +132,16 @@ def sweep_attributes(df: DataFrame, qis: list[QI], subsets: list[list[str]], k:
                      metrics: list[str] = PENALTIES, steps: int = 300, strategy: str = "batched") -> DataFrame:
     """Both private models over attribute subsets; ``param`` is the number of attributes."""
     seed = fresh_seed(seed)
-    sp_k = class_size_for(eps, delta)
-    reference = materialise(reference_scores_by_subset(df, qis, metrics, _ks(k, sp_k), subsets))
+    per_model = {"MicroDP": k, "SafePub": class_size_for(eps, delta)}
+    reference = materialise(reference_scores_by_subset(df, qis, metrics, _ks(per_model), subsets))
     parts = []
     for attrs in subsets:
         sub, chosen = attribute_subset(df, qis, attrs)
         mine = reference.filter(F.col("subset") == subset_name(attrs)).drop("subset")
-        md = microdp_releases(sub, chosen, [eps], k, seed, iterations, strategy)
-        sp = safepub_releases(sub, chosen, [(eps, eps, delta)], seed, iterations, steps=steps)
-        for rel, kk in ((md, k), (sp, sp_k)):
-            rel = rel.withColumn("param", F.lit(float(len(attrs))))
-            parts.append(_scored(rel, sub, chosen, metrics, kk, mine).withColumn("subset", F.lit(subset_name(attrs))))
+        releases = microdp_releases(sub, chosen, [eps], k, seed, iterations, strategy).unionByName(
+            safepub_releases(sub, chosen, [(eps, eps, delta)], seed, iterations, steps=steps))
+        releases = releases.withColumn("param", F.lit(float(len(attrs))))
+        parts.append(_scored(releases, sub, chosen, metrics, per_model, mine).withColumn("subset", F.lit(subset_name(attrs))))
     return reduce(DataFrame.unionByName, parts)
 
 
