@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilspark.llm.common import query, table
+from veilspark.llm.common import query, quoted, table
 from veilspark.llm.components import Forest, components
 from veilspark.llm.repeats import mix
 from veilspark.runtime import materialise
@@ -47,6 +47,8 @@ GROUPS = 32
 FANOUT = 16
 #: Members of a family, or of one of its size classes, that one task side holds.
 UNIT = 2_000
+#: Bytes of their sets, likewise.
+UNIT_BYTES = 32 << 20
 TASK_BYTES = 2 << 20
 
 _ORD = np.uint64(0xFFFF)
@@ -56,7 +58,7 @@ _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -312,14 +314,15 @@ def _link_tasks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tasks(members: DataFrame) -> DataFrame:
-    """Members (doc_id, n, common, family) dealt to tasks. A family of at most ``UNIT`` members is one
-    task. A larger one is cut into units by size class and hash, and units that may link are paired."""
+    """Members (doc_id, n, common, family) dealt to tasks. A family of at most ``UNIT`` members and
+    ``UNIT_BYTES`` is one task. A larger one is cut into units by size class and hash, and units that may
+    link are paired."""
     cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     members = members.withColumn("cls", cls)
-    sizes = members.groupBy("family", "cls").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.withColumn("_all", F.sum("m").over(W.partitionBy("family")))
-    large = materialise(sizes.filter(F.col("_all") > UNIT).select(
-        "family", "cls", F.ceil(F.col("m") / UNIT).cast("int").alias("units")))
+    sizes = members.groupBy("family", "cls").agg(
+        F.greatest(F.count(F.lit(1)) / UNIT, F.sum(F.length("common")) / UNIT_BYTES).alias("u"))
+    sizes = sizes.withColumn("_all", F.sum("u").over(W.partitionBy("family")))
+    large = materialise(sizes.filter(F.col("_all") > 1).select("family", "cls", F.ceil("u").cast("int").alias("units")))
     small = members.join(large.select("family").distinct(), "family", "left_anti").select(
         F.xxhash64("family").alias("task"), F.lit(0).alias("side"), "doc_id", "n", "common")
     near = large.select("family", (F.col("cls") - 1).alias("cls"), F.col("units").alias("units_up"))
@@ -390,10 +393,23 @@ def _without_id(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near duplicates the document with the smallest id stays, and so
-    do rows without an id."""
-    gone = near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(materialise(gone), "doc_id", "left_anti")
+    """Pipeline stage: of every group of near duplicates one row stays, that with the smallest id (a NULL
+    id is last), and of equal ids the first in the table. Rows are judged by themselves, so different texts
+    that share an id stay and copies go, with a repeated id or none. They travel as one column, so no name
+    of theirs can clash."""
+    # written, so that a row keeps its number
+    rows = materialise(docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"),
+                                   F.monotonically_increasing_id().alias("nr")))
+    found = near_duplicates(rows.select(F.col("nr").alias("doc_id"), F.col("row.text").alias("text")))
+    found = materialise(found.select(F.col("doc_id").alias("nr"), F.col("component_id").alias("group")))
+    several = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    order = F.struct(F.col("id").isNull(), "id", "nr")
+    members = found.join(several, "group").join(rows.select("nr", F.col("row.doc_id").alias("id")), "nr")
+    members = materialise(members.select("group", order.alias("place")))
+    first = members.groupBy("group").agg(F.min("place").alias("first"))
+    gone = members.join(first, "group").filter(F.col("place") != F.col("first")).select("place.nr")
+    kept = rows.join(materialise(gone), "nr", "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 @query("op1_ngram_jaccard")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilspark.llm.common import BLANKS, query, row_key, table
+from veilspark.llm.common import BLANKS, query, quoted, row_key, table
 from veilspark.runtime import materialise
 
 MIN_WORDS = 50
@@ -198,10 +198,13 @@ def judge(docs: DataFrame, keep: list[str], bound: float = LEVEL_BOUND, min_grou
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows that the rules reject go, each by itself, whatever others share its id."""
-    rows = docs.withColumn("_row", row_key("doc_id", "lang", "source", "text"))
-    gone = materialise(judge(rows, ["_row"]).filter(~F.col("kept")).select("_row").distinct())
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """Pipeline stage: rows that the rules reject go, each by itself, whatever others share its id. Rows
+    travel as one column, so no name of theirs can clash."""
+    whole = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row"), "lang", "source", "text",
+                        row_key("doc_id", "lang", "source", "text").alias("_key"))
+    gone = materialise(judge(whole, ["_key"]).filter(~F.col("kept")).select("_key").distinct())
+    kept = whole.select("_row", "_key").join(gone, "_key", "left_anti")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 @query("op2_quality_rules")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilspark.llm.common import query, table
+from veilspark.llm.common import query, quoted, table
 from veilspark.runtime import materialise
 
 SHARDS = 40
@@ -111,16 +111,12 @@ def matrix_rows(pieces: DataFrame, shards: int, seed: str) -> DataFrame:
     return materialise(grouped.join(shares, "g").groupBy("g").applyInPandas(inner, "piece long, upto array<bigint>"))
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: str = SEED, piece_rows: int = PIECE,
                         shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Rows of ``df`` with their ``shard`` (int) and gapless ``slot`` (long) in it."""
     bits = piece_rows.bit_length() - 1
     names = [c for c in df.columns if c not in (shard, slot)]
-    row = F.struct(*[df[_quoted(c)] for c in names]) if names else F.struct(F.lit(0).alias("_"))
+    row = F.struct(*[df[quoted(c)] for c in names]) if names else F.struct(F.lit(0).alias("_"))
     at = F.monotonically_increasing_id()
     placed = df.select(row.alias("row"), at.alias("at")).select(
         "row", "at", F.shiftright("at", bits).alias("piece"), F.xxhash64(F.lit(f"{seed}|local"), "at").alias("key"))
