@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.functions.cells import cell_text, is_range, range_hi, range_lo
+from veilspark.functions.distance import semantic_from_sizes
 from veilspark.operators.marginality import TIE_DIGITS, marginality
-from veilspark.operators.taxonomy import distance_matrix
+from veilspark.operators.taxonomy import Taxonomy, odd_nodes
 from veilspark.runtime import BROADCAST_ROWS, materialise, ordered_positions, ranged
 from veilspark.spec import QI, STAR
 
@@ -230,15 +231,75 @@ def nearest_numeric(points: DataFrame, column: DataFrame) -> DataFrame:
     return found.select(F.col("v").alias("x"), best["y"].alias("nearest"))
 
 
+def _apart(pairs: DataFrame) -> DataFrame:
+    """(x, y, r, d): the distances of pairs, from what they share and their sizes."""
+    d = F.round(semantic_from_sizes(F.col("common"), F.col("size_x"), F.col("size_y")), TIE_DIGITS)
+    return pairs.select("x", "y", "r", d.alias("d"))
+
+
+def _climb(asked: DataFrame, released: DataFrame, tax: Taxonomy) -> DataFrame:
+    """Candidates for values whose shared ancestors with a released one are the ancestors of the deepest
+    shared one: per ancestor its smallest and then first released value. What an ancestor offers is never
+    nearer than it says, and the nearest value is offered by the deepest ancestor it shares."""
+    top = released.select("y", "r", F.col("size").alias("size_y"), F.explode("ancestors").alias("up"))
+    offer = F.struct("size_y", "r", "y")
+    top = top.groupBy("up").agg(F.min(offer).alias("o")).select("up", "o.*")
+    sizes = tax.nodes.select(F.col("node").alias("up"), F.col("size").alias("common"))
+    top = materialise(tax.lookup(top, sizes, "up"))
+    ways = asked.select("x", F.col("size").alias("size_x"), F.explode("ancestors").alias("up"))
+    return _apart(tax.lookup(ways, top, "up"))
+
+
+def _meet(asked: DataFrame, released: DataFrame) -> DataFrame:
+    """Candidates where both sides have several paths. Values with the same ancestors above them share as
+    many with any other value, so only distinct sets of ancestors meet; values above one another are
+    compared by themselves."""
+    above = lambda c: F.array_sort(F.array_except("ancestors", F.array(c)))
+    left = asked.withColumn("up_x", above("x"))
+    right = released.withColumn("up_y", above("y"))
+    sets_x = left.select("up_x", "size").distinct()
+    sets_y = right.groupBy("up_y", F.col("size").alias("size_y")).agg(F.min(F.struct("r", "y")).alias("o"))
+    met = sets_x.select("up_x", F.col("size").alias("size_x"), F.explode("up_x").alias("up")).join(
+        sets_y.select("up_y", "size_y", "o", F.explode("up_y").alias("up")), "up").drop("up").distinct()
+    met = met.withColumn("common", F.size(F.array_intersect("up_x", "up_y"))).drop("size_x")
+    others = left.join(met, "up_x").select("x", "o.y", "o.r", "common", F.col("size").alias("size_x"), "size_y")
+    x = F.struct("x", "ancestors", "size").alias("a")
+    y = F.struct("y", "r", "ancestors", "size").alias("b")
+    below = left.select(x, F.explode("ancestors").alias("up")).join(right.select(y, F.col("y").alias("up")), "up")
+    higher = right.select(y, F.explode("ancestors").alias("up")).join(left.select(x, F.col("x").alias("up")), "up")
+    nested = below.select("a", "b").unionByName(higher.select("a", "b")).select(
+        "a.x", "b.y", "b.r", F.size(F.array_intersect("a.ancestors", "b.ancestors")).alias("common"),
+        F.col("a.size").alias("size_x"), F.col("b.size").alias("size_y"))
+    return _apart(others.unionByName(nested))
+
+
 def nearest_category(points: DataFrame, column: DataFrame, qi: QI) -> DataFrame:
-    """Nearest value of a column for every point value; the one seen first on ties."""
-    pairs = distance_matrix(qi.tax, "all")
-    found = pairs.join(points.select(F.col("x").alias("node_a")).distinct(), "node_a").join(
-        column.groupBy(F.col("y").alias("node_b")).agg(F.min("first_rid").alias("first_rid")), "node_b")
-    star = (F.col("node_a") == STAR) | (F.col("node_b") == STAR)
-    d = F.round(F.when(star, F.lit(1.0)).otherwise(F.col("distance")), TIE_DIGITS)
-    return found.groupBy(F.col("node_a").alias("x")).agg(
-        F.min_by("node_b", F.struct(d, F.col("first_rid"))).alias("nearest"))
+    """Nearest value of a column for every point value; the one seen first on ties. ``*`` is at distance 1
+    from everything. Values outside the hierarchy have no row and are nobody's nearest.
+
+    No pairs of values are built: released values hand their ancestors an offer, and points climb to
+    their own. Only values that have several paths on both sides meet as sets of ancestors.
+    """
+    tax = qi.tax
+    side = lambda c: tax.nodes.select(F.col("node").alias(c), "ancestors", "size")
+    asked = tax.lookup(points.select("x").distinct(), side("x"), "x")
+    released = tax.lookup(column.groupBy("y").agg(F.min("first_rid").alias("r")), side("y"), "y")
+    odd = odd_nodes(tax) if tax.has_odd_nodes else None
+    if odd is not None:
+        mark = lambda c: odd.select(F.col("node").alias(c), F.lit(True).alias("odd"))
+        asked, released = tax.lookup(asked, mark("x"), "x", "left"), tax.lookup(released, mark("y"), "y", "left")
+    asked, released = materialise(asked), materialise(released)
+    any_one = released.agg(F.min(F.struct("r", "y")).alias("o")).filter("o is not null")
+    found = asked.select("x").join(F.broadcast(any_one)).select("x", "o.y", "o.r", F.lit(1.0).alias("d"))
+    known, held = asked.filter(F.col("x") != STAR), released.filter(F.col("y") != STAR)
+    if odd is None:
+        found = found.unionByName(_climb(known, held, tax))
+    else:
+        plain, several = known.filter("odd is null"), known.filter("odd")
+        found = (found.unionByName(_climb(plain, held, tax))
+                 .unionByName(_climb(several, held.filter("odd is null"), tax))
+                 .unionByName(_meet(several, held.filter("odd"))))
+    return found.groupBy("x").agg(F.min(F.struct("d", "r", "y")).alias("o")).select("x", F.col("o.y").alias("nearest"))
 
 
 def nearest_values(orig: DataFrame, anon: DataFrame, qis: list[QI], rid: str = "rid") -> DataFrame:

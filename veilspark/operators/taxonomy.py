@@ -70,6 +70,11 @@ class Taxonomy:
         """Some value has more than one path to the root."""
         return self.facts["last_path"] > 0
 
+    @cached_property
+    def has_odd_nodes(self) -> bool:
+        """Some node, leaf or not, has more than one path to the root."""
+        return bool(self.nodes.filter(~F.col("single")).limit(1).count())
+
     @property
     def is_small(self) -> bool:
         return self.facts["rows"] <= runtime.BROADCAST_ROWS
@@ -125,6 +130,13 @@ def node_table(tax: Taxonomy) -> DataFrame:
     ).withColumn("size", F.size("ancestors"))
 
 
+def odd_nodes(tax: Taxonomy) -> DataFrame:
+    """Nodes with more than one path to the root, and nodes below such a node."""
+    split = tax.nodes.filter(~F.col("single")).select(F.col("node").alias("_up"))
+    ways = tax.nodes.select("node", F.explode("ancestors").alias("_up"))
+    return ways.join(tax.hint(split), "_up", "left_semi").select("node").distinct()
+
+
 def ancestors(tax: Taxonomy) -> DataFrame:
     """Ancestor set of every leaf value, itself included, over all its paths."""
     return tax.closure.groupBy("leaf").agg(F.sort_array(F.collect_set("node")).alias("ancestors"))

@@ -202,6 +202,24 @@ def i5(spark, sf):
     return ranks.nearest_category(points, column, fx.category(spark, sf, "nation"))
 
 
+@query("i5_nearest_supplier", q.with_(q.SUPPLIER_T) + """SELECT x, arg_min(y, round(d, 9) * 1e9 + r) AS nearest FROM
+ (SELECT s_name AS x FROM supplier UNION SELECT n_name FROM nation),
+ (SELECT CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN n_name ELSE r_name END AS y, min(s_suppkey) AS r
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 5 > 0 GROUP BY 1), su_d
+ WHERE a = x AND b = y GROUP BY x""")
+def i5_supplier(spark, sf):
+    supplier = fx.table(spark, sf, "supplier")
+    nation, region = (F.broadcast(fx.table(spark, sf, t)) for t in ("nation", "region"))
+    points = supplier.select(F.col("s_name").alias("x")).unionByName(nation.select(F.col("n_name").alias("x")))
+    # a third of the released suppliers is generalised to nations, a third to regions
+    place, key = F.col("s_suppkey") % 3, F.col("s_suppkey")
+    column = supplier.filter(key % 5 > 0).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.when(place == 0, F.col("s_name")).when(place == 1, F.col("n_name")).otherwise(F.col("r_name")).alias("y"),
+        key.alias("first_rid"))
+    return ranks.nearest_category(points, column, fx.category(spark, sf, "supplier"))
+
+
 NEAR = lambda a, t: f"""y_{a} AS (SELECT x AS v, arg_min(y, round(d, 9) * 1e9 + r) AS y FROM (SELECT DISTINCT {a} AS x FROM c),
  (SELECT {a} AS y, min(rid) AS r FROM z GROUP BY 1), {t}_d WHERE a = x AND b = y GROUP BY x)"""
 
