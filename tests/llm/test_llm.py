@@ -145,6 +145,48 @@ def test_quality_rejects_symbols_and_keeps_clean(spark):
     assert not any(kept[1000 + i] for i in range(10)) and sum(kept[i] for i in range(300)) == 300
 
 
+def test_quality_judges_small_languages_and_groups(spark):
+    """Sixty documents of a language are judged alone in the table, beside a large language, and cut into
+    sources of ten."""
+    rng = np.random.default_rng(5)
+    words = [f"{'abcdefgh'[i % 8]}{'lmnop'[i % 5]}word{i}" for i in range(300)]
+    clean = lambda: " ".join(rng.choice(words, 90))
+    small = [(i, clean() if i < 50 else " ".join(w + "#$%&*" for w in rng.choice(words, 90)), None, f"s{i % 6}") for i in range(60)]
+    large = [(1000 + i, clean(), "en", f"s{i % 2}") for i in range(300)]
+    split = [(2000 + i, clean() if i % 10 else clean().replace(" ", "||| "), "de", f"t{i % 15}") for i in range(150)]
+    for rows in (small, small + large, small + large + split):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        got = {r["doc_id"]: (r["kept"], r["d2"]) for r in quality.judge(df, ["doc_id"]).collect()}
+        assert len(got) == len(rows) and all(d is not None for _, d in got.values())
+        bad = {i for i, text, *_ in rows if "#" in text or "|||" in text}
+        assert {i for i, (kept, _) in got.items() if not kept} == bad
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert quality.judge(empty, ["doc_id"]).count() == 0
+
+
+def test_mcd_distances_equal_a_plain_estimate(spark):
+    """Concentration steps in numpy over one group, from the same start and floors."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 4)) * [0.1, 0.3, 0.2, 0.4] + [1, 0.5, 0, 2]
+    x[:40] += 3
+    rows = [("g", i, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, i long, x0 double, x1 double, x2 double, x3 double")
+    got = {r["i"]: r["d2"] for r in quality.robust_distances(df, "k").collect()}
+    floor = np.diag(np.square(quality.FLOOR))
+    centre, inverse = np.sort(x, axis=0)[199], np.linalg.inv(floor)
+    for step in range(quality.STEPS + 1):
+        d2 = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
+        bins = np.floor(np.log2(np.maximum(d2, 1e-9)) * quality.BINS).astype(int)
+        half = np.sort(bins)[199]
+        if step < quality.STEPS:
+            core = x[bins <= half]
+            centre = core.mean(axis=0)
+            inverse = np.linalg.inv(np.cov(core.T, bias=True) + floor)
+    want = d2 / max(2 ** ((half + 0.5) / quality.BINS) / quality.CHI2_MEDIAN, 1)
+    assert np.allclose([got[i] for i in range(400)], want, rtol=1e-6)
+    assert want[:40].min() > quality.LEVEL_BOUND
+
+
 def test_mix_is_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -11,7 +11,8 @@ smallest ones. A step needs only sums and a histogram of distances per group, so
 is one partial aggregate; nothing of a group is collected. The scatter gets a floor (``FLOOR``), since
 most documents share the same value in some coordinates, and is rescaled by the median distance.
 
-Groups with fewer than ``MIN_GROUP`` documents are judged against all documents of their language.
+Groups with fewer than ``MIN_GROUP`` documents are judged against all documents of their language, and
+languages with fewer against all documents; however few those are, every document gets a distance.
 
 Defined results: NULL text has no words and fails the base rules. NULL language or source is a value
 like any other. Repeated rows count as often as they occur. An empty table gives an empty result.
@@ -20,6 +21,7 @@ like any other. Repeated rows count as often as they occur. An empty table gives
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.llm.common import BLANKS, query, quoted, row_key, table
-from veilspark.runtime import materialise
+from veilspark.runtime import lookup, materialise
 
 MIN_WORDS = 50
-#: Mahalanobis bound: the chi-square quantile at this level, for four coordinates.
+#: Mahalanobis bound: with four coordinates the chi-square distribution exceeds it with chance 4e-9. Most of
+#: a clean text's coordinates are 0, so the floors below and not their spread set the scale: markdown tables
+#: (half a bar per word) come to at most 45.
 LEVEL_BOUND = 45.0
 CHI2_MEDIAN = 3.356694
 STEPS = 3
@@ -150,22 +154,23 @@ def _half(rows: DataFrame, key: str) -> DataFrame:
 def robust_distances(rows: DataFrame, key: str, steps: int = STEPS) -> DataFrame:
     """``rows`` with ``d2``, the rescaled squared distance from their group's MCD estimate.
 
-    Each step's estimates are one row per group; they are written, so that Spark knows their size when
-    it joins them to the members.
+    Each step's estimates are one row per group, written and counted: few of them are broadcast, of many
+    those of the large groups.
     """
     names = [*[f"c{i}" for i in range(DIMS)], *[f"w{i}{j}" for i in range(DIMS) for j in range(i, DIMS)]]
     median = [F.percentile_approx(f"x{i}", 0.5, 200).alias(f"c{i}") for i in range(DIMS)]
     flat = [F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"w{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
     estimate = materialise(rows.groupBy(key).agg(*median).select(key, *[f"c{i}" for i in range(DIMS)], *flat))
     level = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * BINS).cast("int")
+    groups = estimate.count()
     for step in range(steps + 1):
-        far = rows.join(estimate, key).withColumn("d2", _distance()).withColumn("bin", level)
+        far = lookup(rows, estimate, [key], groups).withColumn("d2", _distance()).withColumn("bin", level)
         half = materialise(_half(far, key))
         if step < steps:
-            core = far.join(half, key).filter(F.col("bin") <= F.col("half"))
+            core = lookup(far, half, [key], groups).filter(F.col("bin") <= F.col("half"))
             estimate = materialise(_invert(_group_moments(core, key), key))
     scale = F.greatest(F.pow(F.lit(2.0), (F.col("half") + 0.5) / BINS) / CHI2_MEDIAN, F.lit(1.0))
-    return far.join(half, key).withColumn("d2", F.col("d2") / scale).drop(*names, "bin", "half")
+    return lookup(far, half, [key], groups).withColumn("d2", F.col("d2") / scale).drop(*names, "bin", "half", "members")
 
 
 def judge(docs: DataFrame, keep: list[str], bound: float = LEVEL_BOUND, min_group: int = MIN_GROUP) -> DataFrame:
@@ -180,19 +185,21 @@ def judge(docs: DataFrame, keep: list[str], bound: float = LEVEL_BOUND, min_grou
     for i, x in enumerate(_vector()):
         rows = rows.withColumn(f"x{i}", x)
     rows = rows.withColumn("_lang", tag("lang")).withColumn("_group", F.concat_ws("\u0001", tag("lang"), tag("source")))
-    names = [f"x{i}" for i in range(DIMS)]
-    sizes = materialise(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_members")))
-    rows = rows.join(sizes, "_group")
-    own = robust_distances(rows.filter(F.col("_members") >= min_group), "_group").drop("members")
-    thin = rows.filter(F.col("_members") < min_group).withColumn("_thin", F.lit(True))
-    pooled = rows.withColumn("_thin", F.lit(False)).join(
-        materialise(thin.select("_lang").distinct()), "_lang", "left_semi").unionByName(thin)
-    # members of thin groups are judged among all documents of their language
-    pooled = pooled.filter(F.col("_thin") | (F.col("_members") >= min_group))
-    among = robust_distances(pooled, "_lang").filter("_thin").drop("_thin")
-    among = among.withColumn("d2", F.when(F.col("members") >= min_group, F.col("d2")).otherwise(F.lit(0.0))).drop("members")
+    sizes = rows.groupBy("_lang", "_group").agg(F.count(F.lit(1)).alias("_members"))
+    sizes = materialise(sizes.withColumn("_speakers", F.sum("_members").over(W.partitionBy("_lang"))))
+    facts = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("_members").alias("group"), F.min("_speakers").alias("lang")).first()
+    rows = lookup(rows, sizes.drop("_lang"), ["_group"], facts["n"])
+    thin, rare = F.col("_members") < min_group, F.col("_speakers") < min_group
+    found = [robust_distances(rows.filter(~thin), "_group")]
+    if facts["n"] and facts["group"] < min_group:
+        # languages with thin groups that are large enough themselves
+        few = materialise(sizes.filter(thin & ~rare).select("_lang").distinct())
+        among = lookup(rows, few, ["_lang"], few.count())
+        found.append(robust_distances(among, "_lang").filter(thin))
+    if facts["n"] and facts["lang"] < min_group:
+        found.append(robust_distances(rows.withColumn("_all", F.lit("")), "_all").filter(rare))
     columns = [*stats.columns, "d2"]
-    judged = own.select(*columns).unionByName(among.select(*columns))
+    judged = reduce(DataFrame.unionByName, [f.select(*columns) for f in found])
     judged = judged.unionByName(stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double")))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= bound))
 
