@@ -187,3 +187,10 @@ def test_nearest_by_marginality_both_ways(spark, people, city):
     a = sn.nearest_by_marginality(targets, "t", margins).select("rid", "nearest")
     b = sn.nearest_by_marginality(targets, "t", margins, rows=10**9).select("rid", "nearest")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_a_value_moved_to_a_null_neighbour_changes_the_key(spark):
+    qis = [QI("x", "number", 0, 9), QI("y", "number", 0, 9)]
+    rows = lambda *r: spark.createDataFrame([(1, *r)], "rid long, x double, y double")
+    keys = {fingerprint(rows(*r), qis, 5) for r in ((4.0, None), (None, 4.0), (None, None), (4.0, 4.0))}
+    assert len(keys) == 4 and fingerprint(rows(4.0, None), qis, 5) in keys

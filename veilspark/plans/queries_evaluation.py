@@ -441,6 +441,61 @@ def j12_aligned(spark, sf):
     return r6(ev.compare({"aligned": moved}, "sse"), "mean", "std")
 
 
+# runs of a model: the same lattice node released for two class sizes
+RUNS = [5, 10]
+
+
+def _runs(df: DataFrame, qis: list, levels: list[int], model: str, **labels) -> DataFrame:
+    """Discernibility of one lattice node's releases for all class sizes, labelled."""
+    cells = attach_grid(classes.generalise_all(df, qis, levels), param=[float(k) for k in RUNS]).withColumn("iteration", F.lit(1))
+    releases = classes.suppress_small(cells, qis, F.col("param"), ["param"]).withColumn("model", F.lit(model))
+    scores = ev.score_releases(releases, df, qis, ["discernibility"], F.col("param").cast("int"))
+    return scores.select("*", *[F.lit(v).alias(c) for c, v in labels.items()])
+
+
+def _runs_sql(x: str, cells: list[tuple]) -> str:
+    """The same from rows: ``cells`` lists model, label, source and the text of a row's class."""
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS model, {label} AS x, {key} AS cls FROM {source}" for m, label, source, key in cells)
+    return f""",
+ rc AS ({rows}), rk AS (SELECT model, x, k, count(*) OVER (PARTITION BY model, x, k, cls) AS cnt, count(*) OVER (PARTITION BY model, x, k) AS total
+  FROM rc, (VALUES {", ".join(f"({k})" for k in RUNS)}) v(k)),
+ rs AS (SELECT model, x, k, sum(CASE WHEN cnt < k THEN total ELSE cnt END)::DOUBLE / ((k * k / (k - 1e0) + 1) * count(*)) AS score FROM rk GROUP BY model, x, k)
+ SELECT model, x AS {x}, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, count(*) AS n FROM rs GROUP BY ALL"""
+
+
+CUSTOMER_CELLS = q.with_(q.NATION_T, q.SEGMENT_T, q.CUSTOMER_QI, q.PART_QI) + f""",
+ cc AS (SELECT segment, nation, {q.ACCTBAL_TEXT} AS acctbal, s.node AS segment1, n.node AS nation1, {q.ACCTBAL_BAND} AS acctbal1
+  FROM c, st_c s, nt_c n WHERE s.leaf = segment AND s.level = 1 AND n.leaf = nation AND n.level = 1)""".lstrip("\n")
+MODELS = {"fine": [0, 0, 1], "coarse": [1, 1, 1]}
+
+
+def _class_text(levels: list[int]) -> str:
+    return " || '|' || ".join(a + ("1" if level else "") for a, level in zip(["segment", "nation", "acctbal"], levels))
+
+
+@query("j12_compare_attributes", CUSTOMER_CELLS + _runs_sql("n_attrs", [
+    (m, n, "cc", _class_text(levels[:n])) for m, levels in MODELS.items() for n in (1, 2, 3)]))
+def j12_attributes(spark, sf):
+    df, qis = fx.customer_qi(spark, sf), fx.customer_qis(spark, sf)
+    models = {m: reduce(DataFrame.unionByName, [
+        _runs(df, qis[:n], levels[:n], m, n_attrs=n) for n in (1, 2, 3)]) for m, levels in MODELS.items()}
+    return r6(ev.compare(models, "discernibility", ["n_attrs"]), "mean", "std")
+
+
+PART_BANDS = f"{q.SIZE_BAND} || '|' || {q.band_sql('retailprice', 9000, 1000, 200, 1)}"
+
+
+@query("j12_compare_datasets", CUSTOMER_CELLS + _runs_sql("dataset", [
+    ("raw", "'customer'", "cc", _class_text([0, 0, 0])), ("banded", "'customer'", "cc", _class_text([1, 1, 1])),
+    ("raw", "'part'", "p", "size::VARCHAR || '|' || retailprice::VARCHAR"), ("banded", "'part'", "p", PART_BANDS)]))
+def j12_datasets(spark, sf):
+    sets = {"customer": (fx.customer_qi(spark, sf), fx.customer_qis(spark, sf)), "part": (fx.part_qi(spark, sf), fx.part_qis(spark, sf))}
+    models = {m: reduce(DataFrame.unionByName, [
+        _runs(df, qis, [level] * len(qis), m, dataset=name) for name, (df, qis) in sets.items()])
+        for m, level in (("raw", 0), ("banded", 1))}
+    return r6(ev.compare(models, "discernibility", ["dataset"]), "mean", "std")
+
+
 @query("j14_value_frequency", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
 def j14(spark, sf):
     return ev.value_frequency(fx.orders_qi(spark, sf), "priority")

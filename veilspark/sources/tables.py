@@ -108,18 +108,24 @@ def attach_grid(df: DataFrame, **params: list) -> DataFrame:
     return df
 
 
+def _row_hash(columns: list[str]):
+    """Hash of a row. A NULL alone would leave no trace in it, wherever it stands."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
 def _content(df: DataFrame) -> list:
     """Order-free hash of all rows, for instance of a hierarchy."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    row = _row_hash(sorted(df.columns))
     return list(df.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(row.cast("decimal(38,0)")).cast("string")).first())
 
 
 def fingerprint(df: DataFrame, qis: list[QI], k: int, rid: str = "rid") -> str:
     """Key of a cluster assignment: content of the input, attributes with their hierarchies, and k."""
+    cells = _row_hash([rid, *names(qis)])
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64(rid, *names(qis))).alias("x"),
-        F.sum(F.xxhash64(rid, *names(qis)).cast("decimal(38,0)")).cast("string").alias("s"),
+        F.bit_xor(cells).alias("x"),
+        F.sum(cells.cast("decimal(38,0)")).cast("string").alias("s"),
     ).first()
     declared = [[q.name, q.kind, q.lo, q.hi, q.decimals, _content(q.tax.closure) if q.tax else None] for q in qis]
     text = json.dumps([row["n"], row["x"], row["s"], declared, k])
