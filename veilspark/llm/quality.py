@@ -34,8 +34,8 @@ from veilspark.runtime import lookup, materialise
 
 MIN_WORDS = 50
 #: Mahalanobis bound: with four coordinates the chi-square distribution exceeds it with chance 4e-9. Most of
-#: a clean text's coordinates are 0, so the floors below and not their spread set the scale: markdown tables
-#: (half a bar per word) come to at most 45.
+#: a clean text's coordinates are 0, so the floors below and not their spread set the scale: most tables
+#: (half a bar per word) come to less than 45.
 LEVEL_BOUND = 45.0
 CHI2_MEDIAN = 3.356694
 STEPS = 3
