@@ -37,7 +37,7 @@ def materialise(df: DataFrame) -> DataFrame:
     broadcast threshold decides the joins downstream.
     """
     path = f"{shared_dir(df.sparkSession)}/veilspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
