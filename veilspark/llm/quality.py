@@ -20,7 +20,7 @@ like any other. Repeated rows count as often as they occur. An empty table gives
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from veilspark.llm.common import BLANKS, query, quoted, row_key, table
+from veilspark.llm.common import BLANKS, query, quoted, table
 from veilspark.runtime import lookup, materialise
 
 MIN_WORDS = 50
@@ -72,19 +73,23 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeats
 
 
-def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and the statistics of each text."""
+def with_statistics(docs: DataFrame, keep: list[str], nested: str | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the statistics of each text; the text is a field of the column
+    ``nested``, if given."""
     names = [x.split()[0] for x in STATS.split(", ")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", " + STATS
+    kept = docs.select(*keep)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(x, T.LongType()) for x in names]])
+    inside = None if nested is None else (keep.index(nested), kept.schema[nested].dataType.names.index("text"))
 
     def run(batches):
         for batch in batches:
-            rows = [text_statistics(t) for t in batch.column(len(keep)).to_pylist()]
+            text = batch.column(len(keep)) if inside is None else batch.column(inside[0]).field(inside[1])
+            rows = [text_statistics(t) for t in text.to_pylist()]
             cols = list(zip(*rows)) if rows else [()] * len(names)
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(c, pa.int64()) for c in cols]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return (kept if nested else docs.select(*keep, F.col("text").alias("_text"))).mapInArrow(run, schema)
 
 
 def _vector():
@@ -151,66 +156,95 @@ def _half(rows: DataFrame, key: str) -> DataFrame:
             .groupBy(key).agg(F.min("bin").alias("half"), F.max("_t").alias("members")))
 
 
-def robust_distances(rows: DataFrame, key: str, steps: int = STEPS) -> DataFrame:
-    """``rows`` with ``d2``, the rescaled squared distance from their group's MCD estimate.
-
-    Each step's estimates are one row per group, written and counted: few of them are broadcast, of many
-    those of the large groups.
+def fit(rows: DataFrame, key: str, steps: int = STEPS) -> DataFrame:
+    """The MCD estimate of every group of ``rows``: one row per group with its centre, inverse scatter and
+    rescaling, written. Each step's estimates are counted: few of them are broadcast, of many those of the
+    large groups.
     """
-    names = [*[f"c{i}" for i in range(DIMS)], *[f"w{i}{j}" for i in range(DIMS) for j in range(i, DIMS)]]
     median = [F.percentile_approx(f"x{i}", 0.5, 200).alias(f"c{i}") for i in range(DIMS)]
     flat = [F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"w{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
     estimate = materialise(rows.groupBy(key).agg(*median).select(key, *[f"c{i}" for i in range(DIMS)], *flat))
-    level = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * BINS).cast("int")
+    level = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * BINS).cast("int")
     groups = estimate.count()
     for step in range(steps + 1):
-        far = lookup(rows, estimate, [key], groups).withColumn("d2", _distance()).withColumn("bin", level)
+        far = lookup(rows, estimate, [key], groups).withColumn("bin", level)
         half = materialise(_half(far, key))
         if step < steps:
             core = lookup(far, half, [key], groups).filter(F.col("bin") <= F.col("half"))
             estimate = materialise(_invert(_group_moments(core, key), key))
-    scale = F.greatest(F.pow(F.lit(2.0), (F.col("half") + 0.5) / BINS) / CHI2_MEDIAN, F.lit(1.0))
-    return lookup(far, half, [key], groups).withColumn("d2", F.col("d2") / scale).drop(*names, "bin", "half", "members")
+    scale = F.greatest(F.pow(F.lit(2.0), (F.col("half") + 0.5) / BINS) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
+    return materialise(estimate.join(half.select(key, scale), key))
 
 
-def judge(docs: DataFrame, keep: list[str], bound: float = LEVEL_BOUND, min_group: int = MIN_GROUP) -> DataFrame:
-    """Columns ``keep`` (doc_id, lang and source among them), statistics, ``base_failed``, ``d2`` (NULL
-    where the base rules decide) and ``kept``."""
-    cols = list(dict.fromkeys([*keep, "lang", "source"]))
-    stats = materialise(with_statistics(docs, cols))
+def with_distances(rows: DataFrame, key: str, model: DataFrame, groups: int, how: str = "inner") -> DataFrame:
+    """``rows`` with ``d2``, the rescaled squared distance from their group's estimate."""
+    return lookup(rows, model, [key], groups, how).withColumn("d2", _distance() / F.col("scale")).drop(
+        *[c for c in model.columns if c != key])
+
+
+def robust_distances(rows: DataFrame, key: str, steps: int = STEPS) -> DataFrame:
+    """``rows`` with ``d2``, the rescaled squared distance from their group's MCD estimate."""
+    model = fit(rows, key, steps)
+    return with_distances(rows, key, model, model.count())
+
+
+def _placed(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``base_failed``, the vector and the keys of language and group."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
     tag = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("~"))
-    rows = stats.filter(~F.col("base_failed"))
+    rows = stats.withColumn("base_failed", failed)
     for i, x in enumerate(_vector()):
         rows = rows.withColumn(f"x{i}", x)
-    rows = rows.withColumn("_lang", tag("lang")).withColumn("_group", F.concat_ws("\u0001", tag("lang"), tag("source")))
+    return rows.withColumn("_lang", tag("lang")).withColumn("_group", F.concat_ws("\u0001", tag("lang"), tag("source")))
+
+
+def learn(stats: DataFrame, min_group: int = MIN_GROUP) -> Callable[[DataFrame, float], DataFrame]:
+    """The estimates by which each group is judged, from written statistics, as a function that gives rows
+    with statistics their ``base_failed``, ``d2`` and ``kept``. It holds one row per language and source and
+    needs one lookup, so rows are judged where they are."""
+    rows = _placed(stats).filter(~F.col("base_failed"))
     sizes = rows.groupBy("_lang", "_group").agg(F.count(F.lit(1)).alias("_members"))
     sizes = materialise(sizes.withColumn("_speakers", F.sum("_members").over(W.partitionBy("_lang"))))
     facts = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("_members").alias("group"), F.min("_speakers").alias("lang")).first()
-    rows = lookup(rows, sizes.drop("_lang"), ["_group"], facts["n"])
     thin, rare = F.col("_members") < min_group, F.col("_speakers") < min_group
-    found = [robust_distances(rows.filter(~thin), "_group")]
+    names = sizes.select("_lang", "_group")
+    sized = lookup(rows, sizes.drop("_lang"), ["_group"], facts["n"])
+    found = [names.join(fit(sized.filter(~thin), "_group"), "_group")]
     if facts["n"] and facts["group"] < min_group:
         # languages with thin groups that are large enough themselves
         few = materialise(sizes.filter(thin & ~rare).select("_lang").distinct())
-        among = lookup(rows, few, ["_lang"], few.count())
-        found.append(robust_distances(among, "_lang").filter(thin))
+        among = fit(lookup(rows, few, ["_lang"], few.count()), "_lang")
+        found.append(sizes.filter(thin & ~rare).select("_lang", "_group").join(among, "_lang"))
     if facts["n"] and facts["lang"] < min_group:
-        found.append(robust_distances(rows.withColumn("_all", F.lit("")), "_all").filter(rare))
-    columns = [*stats.columns, "d2"]
-    judged = reduce(DataFrame.unionByName, [f.select(*columns) for f in found])
-    judged = judged.unionByName(stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double")))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= bound))
+        everyone = fit(rows.withColumn("_all", F.lit("")), "_all").drop("_all")
+        found.append(sizes.filter(rare).select("_lang", "_group").join(F.broadcast(everyone)))
+    model = materialise(reduce(DataFrame.unionByName, found).drop("_lang"))
+
+    def verdict(given: DataFrame, bound: float) -> DataFrame:
+        judged = with_distances(_placed(given), "_group", model, facts["n"], "left")
+        d2 = F.when(~F.col("base_failed"), F.col("d2"))
+        return judged.select(*given.columns, "base_failed", d2.alias("d2")).withColumn(
+            "kept", ~F.col("base_failed") & (F.col("d2") <= bound))
+
+    return verdict
+
+
+def judge(docs: DataFrame, keep: list[str], bound: float = LEVEL_BOUND, min_group: int = MIN_GROUP) -> DataFrame:
+    """Columns ``keep`` (doc_id, lang and source among them), statistics, ``base_failed``, ``d2`` (NULL
+    where the base rules decide) and ``kept``."""
+    stats = materialise(with_statistics(docs, list(dict.fromkeys([*keep, "lang", "source"]))))
+    return learn(stats, min_group)(stats, bound)
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows that the rules reject go, each by itself, whatever others share its id. Rows
-    travel as one column, so no name of theirs can clash."""
-    whole = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row"), "lang", "source", "text",
-                        row_key("doc_id", "lang", "source", "text").alias("_key"))
-    gone = materialise(judge(whole, ["_key"]).filter(~F.col("kept")).select("_key").distinct())
-    kept = whole.select("_row", "_key").join(gone, "_key", "left_anti")
+    """Pipeline stage: rows that the rules reject go, each by itself, whatever others share its id.
+
+    The estimates are learned from the statistics of all rows. Then every row is read again and judged where
+    it is, so that no text is shuffled. Rows travel as one column, so no name of theirs can clash."""
+    verdict = learn(materialise(with_statistics(docs, ["lang", "source"])))
+    row = F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row")
+    whole = with_statistics(docs.select(row, "lang", "source"), ["_row", "lang", "source"], "_row")
+    kept = verdict(whole, LEVEL_BOUND).filter("kept")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
