@@ -161,7 +161,7 @@ def fit(rows: DataFrame, key: str, steps: int = STEPS) -> DataFrame:
     rescaling, written. Each step's estimates are counted: few of them are broadcast, of many those of the
     large groups.
     """
-    median = [F.percentile_approx(f"x{i}", 0.5, 200).alias(f"c{i}") for i in range(DIMS)]
+    median = [F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"c{i}") for i in range(DIMS)]
     flat = [F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"w{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
     estimate = materialise(rows.groupBy(key).agg(*median).select(key, *[f"c{i}" for i in range(DIMS)], *flat))
     level = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * BINS).cast("int")
