@@ -57,6 +57,20 @@ def test_batched_is_the_sequential_scan(spark, monkeypatch, n, k, hot, batch):
     assert [shapes[i] for i in range(len(want))] == want
 
 
+def test_few_vectors_are_one_batch_however_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(ma, "BATCH_ROWS", 100)
+    batches, run = [], ma._batch_runs
+    monkeypatch.setattr(ma, "_batch_runs", lambda *a: batches.append(1) or run(*a))
+    rows = [(i, 10 * (i % 5), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "rid long, x long, y long")
+    got = {r["rid"]: r["cluster_id"] for r in ma.microaggregate(df, [X, Y], 3, "batched").collect()}
+    shapes = {}
+    for rid, x, y in rows:
+        shapes.setdefault(got[rid], Counter())[x, y] += 1
+    assert [shapes[i] for i in range(len(shapes))] == shapes_of_a_scan(rows, 3)
+    assert len(batches) == 1
+
+
 @pytest.mark.parametrize("strategy", ["batched", "ordered"])
 def test_sizes(spark, strategy):
     _, df = table(spark, 103, 1, 0.3)

@@ -150,7 +150,7 @@ def microaggregate_each(df: DataFrame, qis: list[QI], ks: list[int], strategy: s
 def _positions(df, qis, rid) -> DataFrame:
     corner = F.array(*[F.lit(b) for b in corner_order(len(qis), 1)[0]])
     d = _corner_distance(corner, len(qis))
-    keyed = corner_terms(df.select(rid, *names(qis)), qis).select(d.alias("_d"), rid)
+    keyed = corner_terms(spread(df.select(rid, *names(qis)), rid), qis).select(d.alias("_d"), rid)
     return ordered_positions(keyed, ["_d", rid], "_pos")
 
 
@@ -172,7 +172,7 @@ def _batched(df, qis, k, rid, n) -> DataFrame:
     attrs = names(qis)
     steps = max(n // k - 1, 0)
     corners = corner_order(m, steps)
-    rows = df.select(rid, *attrs, F.unhex(F.md5(F.to_json(F.struct(*attrs)))).alias("vec"))
+    rows = spread(df, rid).select(rid, *attrs, F.unhex(F.md5(F.to_json(F.struct(*attrs)))).alias("vec"))
     vectors = materialise(
         corner_terms(rows.groupBy("vec", *attrs).agg(F.count(F.lit(1)).alias("left")), qis)
         .select("vec", "left", "terms")
@@ -180,7 +180,7 @@ def _batched(df, qis, k, rid, n) -> DataFrame:
     taken = []
     done = 0
     while done < steps:
-        size = _batch_size(corners[done:], k)
+        size = _batch_size(corners[done:], k, vectors.count())
         runs = materialise(_batch_runs(vectors, corners[done:done + size], k, m, done))
         taken.append(runs)
         done += size
@@ -203,13 +203,15 @@ def _needs(batch: list[tuple[int, ...]], k: int) -> dict[tuple[int, ...], int]:
     return {corner: (t + 1) * k for t, corner in enumerate(batch)}
 
 
-def _batch_size(corners: list[tuple[int, ...]], k: int) -> int:
-    """Longest batch whose candidates stay below BATCH_ROWS, at least one corner."""
+def _batch_size(corners: list[tuple[int, ...]], k: int, vectors: int) -> int:
+    """Longest batch whose candidates stay below BATCH_ROWS, at least one corner. Around a corner there are
+    no more candidates than ``vectors``, however many rows they hold."""
     need: dict[tuple[int, ...], int] = {}
     total = 0
     for t, corner in enumerate(corners):
-        total += (t + 1) * k - need.get(corner, 0)
-        need[corner] = (t + 1) * k
+        mine = min((t + 1) * k, vectors)
+        total += mine - need.get(corner, 0)
+        need[corner] = mine
         if total > BATCH_ROWS and t:
             return t
     return len(corners)
@@ -275,15 +277,24 @@ def _batch_runs(vectors: DataFrame, batch: list[tuple[int, ...]], k: int, m: int
         queue = {
             c: codes[np.searchsorted(corner, c):np.searchsorted(corner, c, side="right")] for c in set(turns)
         }
+        # all before a corner's head is used up: a turn looks at few more vectors than it takes
+        head = dict.fromkeys(queue, 0)
         parts = []
         for t, c in enumerate(turns):
-            mine = queue[c]
-            mine = queue[c] = mine[left[mine] > 0]
-            free = left[mine]
-            take = np.clip(k - (np.cumsum(free) - free), 0, free)
-            hit = take > 0
+            window = 2 * k
+            while True:
+                mine = queue[c][head[c]:head[c] + window]
+                free = left[mine]
+                rows = np.cumsum(free)
+                if head[c] + window >= len(queue[c]) or rows[-1] >= k:
+                    break
+                window *= 4
+            take = np.clip(k - (rows - free), 0, free)
+            hit = np.flatnonzero(take)
             left[mine[hit]] -= take[hit]
-            parts.append((uniques[mine[hit]], np.full(hit.sum(), first + t), take[hit]))
+            if len(hit):
+                head[c] += hit[-1]
+            parts.append((uniques[mine[hit]], np.full(len(hit), first + t), take[hit]))
         vec, cluster, take = (np.concatenate(x) for x in zip(*parts))
         return pd.DataFrame({"vec": vec, "cluster_id": cluster, "take": take})
 
