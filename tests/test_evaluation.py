@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import classes, linkage, metrics, ranks
 from veilspark.operators.taxonomy import Taxonomy
-from veilspark.plans import evaluation as ev
+from veilspark.plans import evaluation as ev, sweeps
 from veilspark.sources import tables
 from veilspark.sources.hierarchy import lines_from_list
 from veilspark.spec import QI
@@ -138,6 +138,12 @@ def test_linkage_of_several_releases_at_once(spark, raw, color):
         assert got[name] == pytest.approx(linkage.record_linkage(raw, df, qis).first()["record_linkage"])
 
 
+def test_a_sweep_reads_its_table_in_many_splits(spark, raw, color):
+    table = sweeps._read_often(raw.coalesce(1), [X, Y, color])
+    assert len(table.inputFiles()) > 1
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, raw.select("rid", "x", "y", "color").collect()))
+
+
 def test_hot_values_are_joined_apart(spark, raw, color, monkeypatch):
     want = sorted(map(tuple, ranks.row_ranks(raw, [X, color]).collect()))
     monkeypatch.setattr(ranks, "BROADCAST_ROWS", -1)

@@ -21,7 +21,7 @@ from veilspark.operators.safepub import Release, class_size_for, safepub_family
 from veilspark.plans.evaluation import (
     KEYS, k_column, mean_std, normalise_scores, reference_scores, reference_scores_by_subset, score_releases,
 )
-from veilspark.runtime import materialise
+from veilspark.runtime import evened, materialise
 from veilspark.sources.tables import attribute_subset, subset_name
 from veilspark.spec import QI, names
 
@@ -83,6 +83,11 @@ def _scored(releases: DataFrame, df: DataFrame, qis: list[QI], metrics: list[str
     return mean_std(normalise_scores(scores, reference))
 
 
+def _read_often(df: DataFrame, qis: list[QI]) -> DataFrame:
+    """The table of a sweep, cut evenly: every model and every score scans it again."""
+    return evened(df.select("rid", *names(qis)), "rid")
+
+
 def _ks(per_model) -> list[int]:
     flat = [k for ks in per_model.values() for k in (ks.values() if isinstance(ks, dict) else [ks])]
     return sorted(set(flat))
@@ -92,7 +97,7 @@ def sweep_epsilon(df: DataFrame, qis: list[QI], eps: list[float], k: int, delta:
                   iterations: int = 1, seed: str | None = None, metrics: list[str] = PENALTIES,
                   steps: int = 300, strategy: str = "batched") -> DataFrame:
     """All three models over eps: mean and deviation of the normalised metrics."""
-    seed = fresh_seed(seed)
+    seed, df = fresh_seed(seed), _read_often(df, qis)
     per_model = {"MicroDP": k, "SafePub": {e: class_size_for(e, delta) for e in eps}, "k-anonymisation": 5}
     reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
     releases = (
@@ -107,7 +112,7 @@ def sweep_optimised(df: DataFrame, qis: list[QI], eps: list[float], models: list
                     steps: int = 300) -> DataFrame:
     """SafePub over eps for every optimised metric; ``model`` is the metric. The mean group size cannot
     be optimised privately (see ``dp_searches``)."""
-    seed = fresh_seed(seed)
+    seed, df = fresh_seed(seed), _read_often(df, qis)
     k = {e: class_size_for(e, delta) for e in eps}
     per_model = {model: k for model in models}
     reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
@@ -119,7 +124,7 @@ def sweep_k_delta(df: DataFrame, qis: list[QI], ks: list[int], deltas: list[floa
                   iterations: int = 1, seed: str | None = None, metrics: list[str] = PENALTIES,
                   steps: int = 300, strategy: str = "batched") -> DataFrame:
     """MicroDP over k and SafePub over delta at one eps; ``param`` is k or delta."""
-    seed = fresh_seed(seed)
+    seed, df = fresh_seed(seed), _read_often(df, qis)
     per_model = {"MicroDP": {float(k): k for k in ks}, "SafePub": {float(d): class_size_for(eps, d) for d in deltas}}
     reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
     releases = microdp_releases(df, qis, [eps], ks, seed, iterations, strategy).unionByName(
@@ -131,7 +136,7 @@ def sweep_attributes(df: DataFrame, qis: list[QI], subsets: list[list[str]], k:
                      delta: float = 1e-5, iterations: int = 1, seed: str | None = None,
                      metrics: list[str] = PENALTIES, steps: int = 300, strategy: str = "batched") -> DataFrame:
     """Both private models over attribute subsets; ``param`` is the number of attributes."""
-    seed = fresh_seed(seed)
+    seed, df = fresh_seed(seed), _read_often(df, qis)
     per_model = {"MicroDP": k, "SafePub": class_size_for(eps, delta)}
     reference = materialise(reference_scores_by_subset(df, qis, metrics, _ks(per_model), subsets))
     parts = []
@@ -149,7 +154,7 @@ def sweep_disclosure(df: DataFrame, qis: list[QI], eps: list[float], k: int, del
                      iterations: int = 1, seed: str | None = None, steps: int = 300,
                      strategy: str = "batched") -> DataFrame:
     """Squared error and record linkage of every release of all three models."""
-    seed = fresh_seed(seed)
+    seed, df = fresh_seed(seed), _read_often(df, qis)
     metrics = ["sse", "record_linkage"]
     clusters = materialise(microaggregate(df, qis, k, strategy))
     md = microdp_releases(df, qis, eps, k, seed, iterations, strategy, clusters)

@@ -56,6 +56,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), *keys)
 
 
+def evened(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` written once in as many files as there are shuffle partitions: for tables read again and
+    again, whose own files may come in few splits."""
+    return materialise(spread(df, *keys))
+
+
 def inline_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """A small driver-side list as a frame, without a Python worker."""
     cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
