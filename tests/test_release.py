@@ -170,6 +170,12 @@ def test_sweep_draws_differ(spark, people, city):
     assert {r["total_eps"] for r in out.select("total_eps").distinct().collect()} == {1.0, 2.0}
 
 
+def test_semantic_noise_is_drawn_in_many_tasks(spark, people, city):
+    """A compact table comes in one split; its rows are dealt out before the work on them."""
+    out = sn.semantic_noise(people.coalesce(1), "city", city.tax, 1.0, "s")
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_semantic_noise(spark, people, city):
     out = sn.semantic_noise(people, "city", city.tax, 1.0, "s").select("rid", "city", "noisy")
     rows = out.collect()

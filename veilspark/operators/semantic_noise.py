@@ -11,7 +11,7 @@ from veilspark.operators.marginality import (
 )
 from veilspark.operators.ranks import nearest_numeric
 from veilspark.operators.taxonomy import MATRIX_NODES, Taxonomy, similarity_distance
-from veilspark.runtime import lookup
+from veilspark.runtime import lookup, spread
 from veilspark.spec import STAR
 
 # Noise below this size leaves a value unchanged.
@@ -102,7 +102,7 @@ def semantic_noise(df: DataFrame, col: str, tax: Taxonomy, level: float, seed: s
     options = _value_options(df, col, tax, mean).withColumnRenamed("value", col)
     e = F.col("_e")
     # every row of options holds all leaves
-    rows = lookup(df, options, [col], tax.facts["rows"] * tax.domain_size, "left").join(F.broadcast(scale)).withColumn(
+    rows = lookup(spread(df, rid), options, [col], tax.facts["rows"] * tax.domain_size, "left").join(F.broadcast(scale)).withColumn(
         "_e", laplace(uniform(seed, "semantic", col, F.col(rid)), F.col("variance") * F.lit(float(level))))
     tie = uniform(seed, "semantic tie", col, F.col(rid))
 
