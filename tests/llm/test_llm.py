@@ -210,6 +210,20 @@ def test_mix_draws_each_copy_once(spark):
     assert mixing.mix_stage(spark, docs, SF).count() == len(rows)
 
 
+def test_mix_stage_shuffles_texts_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = mixing.draws(mixing.plan_mix(docs)).count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = mixing.mix_stage(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 2  # the texts and the runs
+        assert out.count() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_warc_round_trip(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")

@@ -190,8 +190,14 @@ def mix_stage(spark, docs, sf_dir: str) -> DataFrame:
     """Pipeline stage: whole documents, each as often as it is drawn. Rows that repeat id, source and
     size are told apart by their order."""
     key = lambda size: F.xxhash64("doc_id", "source", size)
-    number = lambda by: F.row_number().over(W.partitionBy("_k").orderBy(by))
-    plan = plan_mix(docs).select(key(F.col("size")).alias("_k"), "copies").withColumn("_nr", number("copies"))
-    plan = materialise(plan.filter("copies > 0"))
-    rows = docs.withColumn("_k", key(n_words(F.col("text")))).withColumn("_nr", number("text")).join(plan, ["_k", "_nr"])
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).drop("_n")
+    plan = plan_mix(docs).select(key(F.col("size")).alias("_k"), "copies").groupBy("_k", "copies").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy("_k").orderBy("copies"))
+    runs = materialise(
+        plan.select("_k", F.struct(upto.alias("upto"), "copies").alias("_r")).groupBy("_k")
+        .agg(F.array_sort(F.collect_list("_r")).alias("_runs")).filter(F.element_at("_runs", -1)["copies"] > 0))
+    # joined by the key alone and numbered after: one shuffle of the texts serves the join and the numbers
+    rows = docs.withColumn("_k", key(n_words(F.col("text")))).join(runs, "_k").withColumn(
+        "_nr", F.row_number().over(W.partitionBy("_k").orderBy("text")))
+    copies = F.get(F.filter("_runs", lambda r: r["upto"] >= F.col("_nr")), F.lit(0))["copies"].cast("int")
+    rows = rows.select(*docs.columns, copies.alias("_copies")).filter("_copies > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).drop("_n")
