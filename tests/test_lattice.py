@@ -188,3 +188,31 @@ def test_sweeps_over_attributes_and_disclosure(people, city):
     assert set(linked) == {("MicroDP", 1.0), ("MicroDP", 2.0), ("SafePub", 1.0), ("SafePub", 2.0), ("k-anonymisation", 5.0)}
     assert all(0 <= x <= 1 for x in linked.values())
     assert all(r["score"] >= 0 for r in risk)
+
+
+def test_codes_and_shares_of_numbers_are_those_of_their_text(spark):
+    qis = [QI("a", "number", -10.0, 30.0, 2, widths=(0.5, 7.0, 15.0)), QI("b", "number", 1.0, 50.0, 0, integer=True, widths=(10.0,))]
+    rows = [(None, None), *[(x, y) for x in (-10.0, -9.51, -0.01, 0.0, 4.996, 29.99, 30.0, 44.0) for y in (1.0, 2.5, 50.0, 70.0)]]
+    df = spark.createDataFrame(rows, "a double, b double").withColumn("n", F.lit(1))
+    scorer = Scorer(df, qis, 2)
+    text = lattice.with_paths(df, qis)
+    for j, q in enumerate(qis):
+        for level in range(q.top_level + 1):
+            want = text.groupBy(F.col(f"p{j}")[level]["node"]).agg(F.sum("n"), F.first(F.col(f"p{j}")[level]["share"])).collect()
+            cell, share = scorer._cell(j, F.lit(level))
+            mine = scorer.tables[0, 0][0].groupBy(cell).agg(F.sum("n"), F.first(share)).collect()
+            assert sorted((r[1], r[2]) for r in mine) == sorted((r[1], r[2]) for r in want)
+
+
+def test_coarse_nodes_are_scored_from_tables_rolled_up_along_several_attributes(spark):
+    qis = [QI(c, "number", 0.0, 999.0, 0, integer=True, widths=(250.0,)) for c in "abc"]
+    df = spark.range(3000).select(
+        *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)).cast("double").alias(c) for c in "abc"], F.lit(1).alias("n"))
+    rolled, direct = Scorer(df, qis, 5, rollup_rows=100), Scorer(df, qis, 5)
+    nodes = [rolled.lattice.node(x) for x in ([1, 1, 1], [2, 1, 1], [2, 2, 1], [0, 1, 1])]
+    rolled.fetch({"": set(nodes)})
+    direct.fetch({"": set(nodes)})
+    for i in nodes:
+        assert abs(rolled.value(i) - direct.value(i)) < 1e-9 and rolled.suppressed(i) == direct.suppressed(i)
+    small = rolled.tables[rolled._holding((1, 1, 1))][1]
+    assert small * 8 <= 3000

@@ -42,23 +42,48 @@ def contains_range(inner: Column, outer: Column) -> Column:
     return contains_number(range_lo(inner), outer) & contains_number(range_hi(inner), outer)
 
 
+def _band_index(value: Column, qi: QI, level: int) -> tuple[Column, int, int]:
+    """(band of a number at a level that has bands, grid steps in a band, number of the last band)."""
+    width = round(qi.widths[level - 1] * 10**qi.decimals)
+    last = max(1, round(qi.grid_units / width)) - 1
+    units = F.round((value - F.lit(float(qi.lo))) * 10**qi.decimals).cast("bigint")
+    return F.least(F.greatest(F.floor(units / width), F.lit(0)), F.lit(last)).cast("bigint"), width, last
+
+
 def band(value: Column, qi: QI, level: int) -> Column:
     """A number generalised to ``level``: itself, a band, or ``*``."""
     if level <= 0:
         return number_text(value, qi.decimals)
     if level >= qi.top_level:
         return F.lit(STAR)
-    scale = 10**qi.decimals
-    width = round(qi.widths[level - 1] * scale)
-    last = max(1, round(qi.grid_units / width)) - 1
-    units = F.round((value - F.lit(float(qi.lo))) * scale).cast("bigint")
-    index = F.least(F.greatest(F.floor(units / width), F.lit(0)), F.lit(last)).cast("bigint")
-    base = round(qi.lo * scale)
+    index, width, last = _band_index(value, qi, level)
+    scale, base = 10**qi.decimals, round(qi.lo * 10**qi.decimals)
     start = index * width + base
     end = F.when(index == last, F.lit(base + qi.grid_units)).otherwise(start + (width - 1))
     return F.concat_ws("_", number_text(start / scale, qi.decimals), number_text(end / scale, qi.decimals))
 
 
+def band_code(value: Column, qi: QI, level: int) -> Column:
+    """A whole number that tells the cells of a level apart just as their text, ``band``, does."""
+    if level >= qi.top_level:
+        return F.lit(0).cast("bigint")
+    if level > 0:
+        return _band_index(value, qi, level)[0]
+    if qi.decimals == 0:
+        return F.round(value, 0).cast("bigint")
+    return (value.cast(f"decimal(18,{qi.decimals})") * F.lit(10**qi.decimals)).cast("bigint")
+
+
+def code_leaves(qi: QI, level: int) -> tuple[int, int | None, int]:
+    """(grid values a cell of a level covers, the code of the last band, grid values that one covers)."""
+    if level >= qi.top_level:
+        return qi.domain_size, None, qi.domain_size
+    if level <= 0:
+        return 1, None, 1
+    _, width, last = _band_index(F.lit(0.0), qi, level)
+    return width, last, qi.grid_units - last * width + 1
+
+
 def grid_leaves(text: Column, qi: QI) -> Column:
     """How many grid values a numeric cell covers; ``*`` covers the whole domain."""
     width = F.round((range_hi(text) - range_lo(text)) * 10**qi.decimals).cast("bigint") + 1

@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.cells import band, grid_leaves
+from veilspark.functions.cells import band, band_code, code_leaves, grid_leaves
 from veilspark.operators.classes import generalise_all, suppress_small
 from veilspark.operators.metrics import PENALISED, scale_of
 from veilspark.operators.taxonomy import value_paths
@@ -24,11 +25,15 @@ from veilspark.spec import QI, STAR, names
 
 # Searches score lattices up to this size in one job; the scores are the same either way.
 PREFETCH_NODES = 5_000
-# Frequency sets above this size are rolled up along their widest attribute before scoring.
+# Frequency sets above this size are rolled up before scoring.
 ROLLUP_ROWS = 100_000
+# Nodes are scored from a set rolled up for them when that has at most one row for so many of the set it is made of.
+ROLLUP_GAIN = 8
+# An attribute is rolled up to levels that leave at most one cell for so many of the last such level.
+STOP_GAIN = 16
 
 # Corners of boxes of the lattice that a job of the exact search scores, where so many are left.
-BOXES = 8
+BOXES = 24
 
 MODELS = ("granularity", "intensity", "discernibility", "entropy", "groupsize")
 #: Column that tells the frequency sets of a family apart.
@@ -99,6 +104,15 @@ def with_paths(df: DataFrame, qis: list[QI]) -> DataFrame:
     return out
 
 
+def with_codes(df: DataFrame, qis: list[QI]) -> DataFrame:
+    """As ``with_paths``, but the cells of numbers are whole numbers and their shares are left to ``code_leaves``:
+    nothing is written out as text for rows that are only counted."""
+    out = with_paths(df, [q if q.is_category else replace(q, widths=()) for q in qis])
+    return out.withColumns({
+        f"p{j}": F.array(*[band_code(F.col(q.name).cast("double"), q, level) for level in range(q.top_level + 1)])
+        for j, q in enumerate(qis) if not q.is_category})
+
+
 @dataclass(frozen=True)
 class Facts:
     """What a lattice node costs, in sums that do not depend on the scale of a score."""
@@ -113,9 +127,9 @@ class Facts:
 class Scorer:
     """Scores lattice nodes of one frequency set, or of a family of them told apart by ``SET``.
 
-    The sets are generalised once, to paths of cells; the widest attribute is rolled up level by level,
-    so a node is computed from the smallest table that still holds it. A job scores any number of
-    nodes of all sets. ``k`` is one class size and ``model`` one loss, or one per set.
+    The sets are generalised once, to paths of cells. Large ones are rolled up as far as the nodes asked for
+    allow, where that makes them much smaller, so a node is computed from a small table that still holds it.
+    A job scores any number of nodes of all sets. ``k`` is one class size and ``model`` one loss, or one per set.
     """
 
     def __init__(self, freq: DataFrame, qis: list[QI], k: int | dict[str, int],
@@ -124,68 +138,116 @@ class Scorer:
         self.known: dict[tuple[str, int], Facts] = {}
         if SET not in freq.columns:
             freq = freq.withColumn(SET, F.lit(""))
-        paths = with_paths(spread(freq, SET, *names(qis)), qis).select(SET, "n", *[f"p{j}" for j in range(self.m)])
-        self.tables = [materialise(paths)]
+        paths = materialise(with_codes(spread(freq, SET, *names(qis)), qis).select(SET, "n", *[f"p{j}" for j in range(self.m)]))
         levels = [(j, level) for j in range(self.m) for level in range(self.lattice.radix[j])]
-        share = lambda j, level: F.sum(F.col("n") * F.get(f"p{j}", F.lit(level))["share"])
-        facts = self.tables[0].groupBy(SET).agg(
+        share = lambda j, level: F.sum(F.col("n") * self._cell(j, F.lit(level))[1])
+        # what bands hold is known without looking, see _cells
+        counted = [(j, level) for j, level in levels if level == 0 or qis[j].is_category]
+        facts = paths.groupBy(SET).agg(
             F.sum("n").alias("rows"), F.count(F.lit(1)).alias("combos"),
             F.array(*[share(j, level) for j, level in levels]).alias("shares"),
-            F.array(*[F.approx_count_distinct(F.get(f"p{j}", F.lit(0))["node"]) for j in range(self.m)]).alias("widths")).collect()
+            F.array(*[F.approx_count_distinct(self._cell(j, F.lit(level))[0]) for j, level in counted]).alias("cells")).collect()
         self.rows = {r[SET]: r["rows"] for r in facts}
         #: per set, attribute and level: the share sum of all rows, nothing suppressed
         self.shares = {r[SET]: {jl: x for jl, x in zip(levels, r["shares"])} for r in facts}
         self.k = k if isinstance(k, dict) else {s: k for s in self.rows} or {"": k}
-        self.wide = None
-        if sum(r["combos"] for r in facts) > rollup_rows:
-            self.wide = max(range(self.m), key=lambda j: max(r["widths"][j] for r in facts))
-
-    def _table(self, level: int) -> DataFrame:
-        """The sets with the widest attribute generalised to ``level``."""
-        w = self.wide
-        while len(self.tables) <= level:
-            at, base = len(self.tables), self.tables[-1]
+        combos = sum(r["combos"] for r in facts)
+        #: sets rolled up to a level of every attribute, with their counted rows
+        self.tables: dict[tuple[int, ...], tuple[DataFrame, int]] = {(0,) * self.m: (paths, combos)}
+        self.wide, self.rollup_rows = None, rollup_rows
+        if combos > rollup_rows:
+            cells = {jl: max(r["cells"][i] for r in facts) for i, jl in enumerate(counted)}
+            self.cells = [[self._cells(j, level, cells) for level in range(self.lattice.radix[j])] for j in range(self.m)]
+            self.wide = max(range(self.m), key=lambda j: self.cells[j][0])
+            self.stops = []
+            for mine in self.cells:
+                stops = [0]
+                for level, n in enumerate(mine):
+                    if n * STOP_GAIN <= mine[stops[-1]]:
+                        stops.append(level)
+                self.stops.append(stops)
+
+    def _cell(self, j: int, level: Column) -> tuple[Column, Column]:
+        """(cell, share of the domain) of attribute j at a level."""
+        q, cell = self.qis[j], F.get(f"p{j}", level)
+        if q.is_category:
+            return cell["node"], cell["share"]
+        usual, last, end = zip(*[code_leaves(q, i) for i in range(q.top_level + 1)])
+        at = lambda values, kind: F.get(F.array(*[F.lit(x).cast(kind) for x in values]), level)
+        leaves = F.when(cell == at(last, "bigint"), at(end, "bigint")).otherwise(at(usual, "bigint"))
+        # a NULL counts as lost, as it does in the metrics
+        return cell, F.when(cell.isNull(), F.lit(1.0)).otherwise(leaves / F.lit(q.domain_size))
+
+    def _cells(self, j: int, level: int, counted: dict[tuple[int, int], int]) -> int:
+        """How many paths of attribute j are left from a level on, at most (counts of categories are estimates)."""
+        q = self.qis[j]
+        if (j, level) in counted:
+            return max(counted[j, level], 1)
+        # every end of a band of a level above may cut one more
+        return min(counted[j, 0], sum(max(1, round(q.grid_units / round(w * 10**q.decimals))) for w in q.widths[level - 1:]) or 1)
+
+    def _source(self, levels: tuple[int, ...]) -> tuple[int, ...]:
+        """Levels of the smallest table made so far that holds a node."""
+        return min((t for t in self.tables if all(a <= b for a, b in zip(t, levels))), key=lambda t: self.tables[t][1])
+
+    def _table(self, levels: tuple[int, ...]) -> DataFrame:
+        """The sets with every attribute generalised to a level."""
+        if levels not in self.tables:
+            below = self._source(levels)
             # the whole path that is left: a band need not lie within one band of the level above
-            rest = F.slice(f"p{w}", at + 1, self.lattice.radix[w]).alias(f"p{w}")
-            paths = [rest if j == w else F.col(f"p{j}") for j in range(self.m)]
-            merged = base.groupBy(SET, *paths).agg(F.sum("n").alias("n"))
-            lowest = F.array_repeat(F.get(f"p{w}", F.lit(0)), at)
-            self.tables.append(materialise(merged.withColumn(f"p{w}", F.concat(lowest, f"p{w}"))))
-        return self.tables[level]
+            paths = [
+                F.slice(f"p{j}", at + 1, self.lattice.radix[j]).alias(f"p{j}") if at > below[j] else F.col(f"p{j}")
+                for j, at in enumerate(levels)]
+            merged = self.tables[below][0].groupBy(SET, *paths).agg(F.sum("n").alias("n"))
+            lowest = {f"p{j}": F.concat(F.array_repeat(F.get(f"p{j}", F.lit(0)), at), f"p{j}")
+                      for j, at in enumerate(levels) if at > below[j]}
+            made = materialise(merged.withColumns(lowest) if lowest else merged)
+            self.tables[levels] = made, made.count()
+        return self.tables[levels][0]
+
+    def _holding(self, levels: tuple[int, ...]) -> tuple[int, ...]:
+        """Levels of the table to score a node from, made for it where that is much smaller than the others."""
+        if self.wide is not None:
+            # what is left without the single values of the widest attribute can only be known by counting
+            if levels[self.wide]:
+                self._table(tuple(int(j == self.wide) for j in range(self.m)))
+            near = tuple(max(stop for stop in stops if stop <= at) for stops, at in zip(self.stops, levels))
+            most = len(self.rows) * math.prod(mine[at] for mine, at in zip(self.cells, near))
+            rows = self.tables[self._source(near)][1]
+            if near not in self.tables and rows > self.rollup_rows and most * ROLLUP_GAIN <= rows:
+                self._table(near)
+        return self._source(levels)
 
     def _classes_of(self, paths: DataFrame, ids: Column) -> DataFrame:
         """(set, node, g0.., cnt, share): equivalence classes of the nodes."""
         m = self.m
         each = paths.select("*", F.explode(ids).alias("node"))
-        cells = [F.element_at(f"p{j}", self.lattice.level(F.col("node"), j) + 1) for j in range(m)]
-        share = sum((c["share"] for c in cells), F.lit(0.0))
+        cells = [self._cell(j, self.lattice.level(F.col("node"), j)) for j in range(m)]
+        share = sum((c for _, c in cells), F.lit(0.0))
         return (
-            each.select(SET, "node", "n", *[c["node"].alias(f"g{j}") for j, c in enumerate(cells)], share.alias("share"))
+            each.select(SET, "node", "n", *[c.alias(f"g{j}") for j, (c, _) in enumerate(cells)], share.alias("share"))
             .groupBy(SET, "node", *[f"g{j}" for j in range(m)])
             .agg(F.sum("n").alias("cnt"), F.first("share").alias("share")))
 
     def classes(self, nodes: list[int] | None) -> DataFrame:
         """Classes of the nodes, or of all nodes, in every set."""
         lattice, w = self.lattice, self.wide
-        listed = lambda mine: F.array(*[F.lit(i).cast("bigint") for i in mine])
-        if w is None:
-            every = F.sequence(F.lit(0).cast("bigint"), F.lit(lattice.size - 1).cast("bigint"))
-            return self._classes_of(self._table(0), every if nodes is None else listed(nodes))
-        stride, radix = lattice.strides[w], lattice.radix[w]
-        out = None
-        for level in range(radix):
-            if nodes is None:
+        parts: list[tuple[DataFrame, Column]] = []
+        if nodes is not None:
+            held: dict[tuple[int, ...], list[int]] = {}
+            for i in nodes:
+                held.setdefault(self._holding(tuple(lattice.levels(i))), []).append(i)
+            parts = [(self._table(at), F.array(*[F.lit(i).cast("bigint") for i in mine])) for at, mine in held.items()]
+        elif w is None:
+            parts = [(self._table((0,) * self.m), F.sequence(F.lit(0).cast("bigint"), F.lit(lattice.size - 1).cast("bigint")))]
+        else:
+            stride, radix = lattice.strides[w], lattice.radix[w]
+            for level in range(radix):
                 # numbers of the other attributes' levels, with this attribute's level put between
                 others = F.sequence(F.lit(0).cast("bigint"), F.lit(lattice.size // radix - 1).cast("bigint"))
                 ids = F.transform(others, lambda c: F.floor(c / stride) * (stride * radix) + level * stride + F.pmod(c, F.lit(stride)))
-            else:
-                mine = [i for i in nodes if lattice.levels(i)[w] == level]
-                if not mine:
-                    continue
-                ids = listed(mine)
-            part = self._classes_of(self._table(level), ids)
-            out = part if out is None else out.unionByName(part)
-        return out
+                parts.append((self._table(tuple(level if j == w else 0 for j in range(self.m))), ids))
+        return reduce(DataFrame.unionByName, [self._classes_of(*part) for part in parts])
 
     def scores(self, models: list[str], nodes: list[int] | None = None) -> DataFrame:
         """One row per set and node: quality after suppressing classes below k (lower is better), the
@@ -195,7 +257,7 @@ class Scorer:
             (k, n), = [(self.k[s], n) for s, n in self.rows.items()] or [(next(iter(self.k.values())), 0)]
             classes = classes.withColumn("_k", F.lit(k)).withColumn("_rows", F.lit(float(n)))
         else:
-            sets = self.tables[0].sparkSession.createDataFrame(
+            sets = classes.sparkSession.createDataFrame(
                 [(s, self.k[s], float(n)) for s, n in self.rows.items()], f"{SET} string, _k int, _rows double")
             # one row per set
             classes = classes.join(F.broadcast(sets), SET)
@@ -209,8 +271,11 @@ class Scorer:
             F.sum(size * F.greatest(size, F.col("_k"))).alias("_floor_squares"),
             F.count_if(kept).alias("_kept_classes"))
         if "entropy" in models:
+            # numbers are codes; their highest level is the only one that is suppressed
+            text = lambda j, q: F.col(f"g{j}") if q.is_category else F.when(
+                lattice.level(F.col("node"), j) == q.top_level, F.lit(STAR)).otherwise(F.col(f"g{j}").cast("string"))
             cells = F.explode(F.array(*[
-                F.struct(F.lit(j).alias("j"), F.col(f"g{j}").alias("g")) for j in range(m)])).alias("_c")
+                F.struct(F.lit(j).alias("j"), text(j, q).alias("g")) for j, q in enumerate(self.qis)])).alias("_c")
             per_value = classes.filter(kept).select(SET, "node", "cnt", "_rows", cells).groupBy(SET, "node", "_c.j", "_c.g").agg(
                 F.sum("cnt").cast("double").alias("c"), F.first("_rows").alias("_rows"))
             star = F.col("g") == STAR
