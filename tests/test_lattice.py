@@ -216,3 +216,15 @@ def test_coarse_nodes_are_scored_from_tables_rolled_up_along_several_attributes(
         assert abs(rolled.value(i) - direct.value(i)) < 1e-9 and rolled.suppressed(i) == direct.suppressed(i)
     small = rolled.tables[rolled._holding((1, 1, 1))][1]
     assert small * 8 <= 3000
+
+
+def test_an_aggregate_takes_few_nodes_of_a_large_set(spark, monkeypatch):
+    qis = [QI(c, "number", 0.0, 999.0, 0, integer=True, widths=(250.0,)) for c in "ab"]
+    df = spark.range(900).select(
+        *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)).cast("double").alias(c) for c in "ab"], F.lit(1).alias("n"))
+    scorer, nodes = Scorer(df, qis, 5), [0, 1, 3, 4, 8]
+    direct = scorer.scores(["granularity"], nodes).drop("levels").orderBy("node").collect()
+    monkeypatch.setattr(lattice, "NODE_ROWS", 2000)
+    plan = scorer.classes(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 3
+    assert scorer.scores(["granularity"], nodes).drop("levels").orderBy("node").collect() == direct

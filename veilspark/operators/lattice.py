@@ -32,6 +32,9 @@ ROLLUP_GAIN = 8
 # An attribute is rolled up to levels that leave at most one cell for so many of the last such level.
 STOP_GAIN = 16
 
+# Rows times nodes that one aggregate takes: a task holds the classes of all its nodes at once.
+NODE_ROWS = 4_000_000
+
 # Corners of boxes of the lattice that a job of the exact search scores, where so many are left.
 BOXES = 24
 
@@ -237,7 +240,9 @@ class Scorer:
             held: dict[tuple[int, ...], list[int]] = {}
             for i in nodes:
                 held.setdefault(self._holding(tuple(lattice.levels(i))), []).append(i)
-            parts = [(self._table(at), F.array(*[F.lit(i).cast("bigint") for i in mine])) for at, mine in held.items()]
+            for at, mine in held.items():
+                table, each = self._table(at), max(1, NODE_ROWS // max(self.tables[at][1], 1))
+                parts += [(table, F.array(*[F.lit(i).cast("bigint") for i in mine[x:x + each]])) for x in range(0, len(mine), each)]
         elif w is None:
             parts = [(self._table((0,) * self.m), F.sequence(F.lit(0).cast("bigint"), F.lit(lattice.size - 1).cast("bigint")))]
         else:
