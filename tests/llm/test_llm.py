@@ -395,3 +395,17 @@ def test_units_learned_together_and_forgotten(monkeypatch):
     monkeypatch.setattr(nbest, "CHUNK_CHARS", 500)
     again = nbest.Pieces(nbest.MODEL)
     assert [[(s, x.tolist()) for s, x in f] for f in again.encode_all(texts, 3)] == want
+
+
+def test_a_worker_keeps_few_units(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join("".join(rng.choice(list("aeinorst"), int(rng.integers(4, 12)))) for _ in range(60)) for _ in range(60)]
+    want = [[(s, x.tolist()) for s, x in f] for f in nbest.Pieces(nbest.MODEL).encode_all(texts, 4)]
+    for name, value in (("CACHE_UNITS", 300), ("CACHE_CHOICES", 20), ("CHUNK_CHARS", 1_500)):
+        monkeypatch.setattr(nbest, name, value)
+    vocab, got, kept, choices = nbest.Pieces(nbest.MODEL), [], [], []
+    for found in vocab.encode_all(texts, 4):
+        got.append([(s, x.tolist()) for s, x in found])
+        kept.append(len(vocab.units))
+        choices.append(len(vocab.second))
+    assert got == want and max(kept) <= 300 and max(choices) <= 20

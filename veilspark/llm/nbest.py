@@ -36,10 +36,13 @@ from veilspark.llm.repeats import runs_of
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 4
-#: Units a worker keeps; beyond, it forgets those that few documents hold.
-CACHE_UNITS = 1_000_000
+#: Units a worker keeps; before more, it forgets those that few documents hold. Workers outlive their tasks, so
+#: what they keep adds to the memory of every later stage of a job.
+CACHE_UNITS = 200_000
+#: Units whose further segmentations a worker keeps.
+CACHE_CHOICES = 8_000
 #: Characters of text whose new units are learned together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Units up to this length are learned together, one length at a time.
 SHORT_UNIT = 32
 #: Units of a length learned at once: their arrays stay in the processor's cache.
@@ -236,12 +239,13 @@ class Pieces:
 
     def learn(self, units: set[str]):
         """Add the units not met so far."""
-        if len(self.units) > CACHE_UNITS:
+        new = [u for u in units if u not in self.units]
+        if len(self.units) + len(new) > CACHE_UNITS:
             self._forget()
+            new = [u for u in units if u not in self.units]
         by_length: dict[int, list[str]] = {}
-        for u in units:
-            if u not in self.units:
-                by_length.setdefault(len(u), []).append(u)
+        for u in new:
+            by_length.setdefault(len(u), []).append(u)
         for length, some in by_length.items():
             for i in range(0, len(some), GROUP_UNITS):
                 part = some[i:i + GROUP_UNITS]
@@ -291,7 +295,7 @@ class Pieces:
     def choices(self, unit: str, n: int) -> list:
         found = self.second.get((unit, n))
         if found is None:
-            if len(self.second) > 20_000:
+            if len(self.second) >= CACHE_CHOICES:
                 self.second.clear()
             found = self.second[unit, n] = self.segment(unit, n)
         return found
