@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import round_clamp
 from veilspark.functions.noise import gumbel, laplace, uniform
-from veilspark.operators import classes, lattice, release, semantic_noise as sn
+from veilspark.operators import classes, lattice, microaggregation, release, semantic_noise as sn
 from veilspark.operators.safepub import class_size_for, safepub
 from veilspark.operators.taxonomy import Taxonomy
 from veilspark.sources.hierarchy import lines_from_list
@@ -200,3 +200,24 @@ def test_a_value_moved_to_a_null_neighbour_changes_the_key(spark):
     rows = lambda *r: spark.createDataFrame([(1, *r)], "rid long, x double, y double")
     keys = {fingerprint(rows(*r), qis, 5) for r in ((4.0, None), (None, 4.0), (None, None), (4.0, 4.0))}
     assert len(keys) == 4 and fingerprint(rows(4.0, None), qis, 5) in keys
+
+
+def test_private_centroids_are_drawn_in_many_tasks(spark, people, city):
+    """Counts are few bytes, which the domain multiplies; they are dealt out by cluster first."""
+    counted = people.withColumn("cluster_id", F.col("rid") % 40)
+    out = release.dp_categorical_centroid(counted, city, 1.0, 600, 15, "s")
+    assert out.count() == 40 and out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_squared_terms_of_known_and_unknown_cells(spark, city):
+    cells = ["c0", "c5", "c8", "g1", "*", "nowhere", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "rid long, city string")
+    got = {r["city"]: r["terms"][0] for r in microaggregation.with_squared_terms(df, [city], {"city": ["c0", "c4"]}).collect()}
+    up = {**{f"c{i}": {f"c{i}", f"g{i % 3}", "*"} for i in range(9)}, "g1": {"g1", "*"}}
+    for cell, corners in got.items():
+        for corner, term in zip(["c0", "c4"], corners):
+            if cell in up:
+                all_, both = len(up[cell] | up[corner]), len(up[cell] & up[corner])
+                assert term == pytest.approx((math.log2(1 + (all_ - both) / all_) / city.span) ** 2)
+            else:
+                assert term == (1.0 if cell == "*" else None)

@@ -72,17 +72,19 @@ def with_squared_terms(df: DataFrame, qis: list[QI], points: dict[str, list], ou
     cols = []
     for q in qis:
         if q.is_category:
-            table = q.tax.nodes.select(F.col("node").alias(q.name), F.col("ancestors").alias("_up"))
             # the points are few: look their ancestor sets up once, on the driver
             ups = {r["node"]: r["ancestors"] for r in q.tax.nodes
                    .filter(F.col("node").isin(points[q.name])).select("node", "ancestors").collect()}
+            # distances are taken once per node; rows look them up
+            apart = lambda up: [ancestor_distance(up, F.array(*[F.lit(a) for a in ups[p]])) / F.lit(q.span)
+                                for p in points[q.name]]
+            table = q.tax.nodes.select(F.col("node").alias(q.name), F.array(*apart(F.col("ancestors"))).alias("_apart"))
             df = q.tax.lookup(df, table, q.name, "left")
             each = []
-            for p in points[q.name]:
-                d = ancestor_distance(F.col("_up"), F.array(*[F.lit(a) for a in ups[p]])) / F.lit(q.span)
-                d = cell_distance(F.col(q.name), F.lit(p), d)
+            for i, (p, unknown) in enumerate(zip(points[q.name], apart(F.lit(None).cast("array<string>")))):
+                d = cell_distance(F.col(q.name), F.lit(p), F.coalesce(F.col("_apart")[i], unknown))
                 each.append(d * d)
-            df = df.withColumn(f"_t_{q.name}", F.array(*each)).drop("_up")
+            df = df.withColumn(f"_t_{q.name}", F.array(*each)).drop("_apart")
         else:
             text = cell_text(F.col(q.name), q) if q.kind == "mixed" else F.col(q.name).cast("double")
             each = []

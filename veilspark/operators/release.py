@@ -12,10 +12,13 @@ from veilspark.functions.noise import fresh_seed, gumbel, laplace, uniform
 from veilspark.operators.marginality import categorical_mean, least_marginal, marginality, value_counts
 from veilspark.operators.microaggregation import microaggregate, microaggregate_each
 from veilspark.operators.taxonomy import leaf_domain
-from veilspark.runtime import materialise
+from veilspark.runtime import materialise, spread
 from veilspark.sources.tables import attach_grid
 from veilspark.spec import QI, STAR, names
 
+# Values of a domain up to which a cluster is drawn for in one task.
+TASK_DOMAIN = 10_000
+
 
 def numeric_centroid(df: DataFrame, col: str, by: list[str] = ["cluster_id"]) -> DataFrame:
     """Mean of a numeric attribute per cluster."""
@@ -68,6 +71,9 @@ def _dp_centroid(counts, qi, eps, n, k, seed, by, iterations=None) -> DataFrame:
     some = leaf_domain(qi.tax).agg(F.min_by("leaf", "leaf_ord").alias("value"))
     none = counts.select(*by).distinct().join(F.broadcast(some)).withColumn("n", F.lit(0).cast("bigint"))
     counts = counts.select(*by, "value", "n").unionByName(none)
+    if qi.tax.domain_size <= TASK_DOMAIN:
+        # few bytes, which the whole domain multiplies: dealt by cluster once, over all shuffle partitions
+        counts = spread(counts, *by)
     margins = marginality(counts, qi.tax, by, targets="domain")
     grid = attach_grid(margins, eps=[float(eps)] if single else eps, iteration=iterations or [1])
     logit = -F.col("eps") * F.col("marginality") / (2 * (F.lit(float(n)) / _number(k)) * qi.span)
@@ -123,8 +129,8 @@ def centroid_table(
 def apply_centroids(clusters: DataFrame, centroids: DataFrame, rid: str = "rid",
                     by: list[str] = ["cluster_id"]) -> DataFrame:
     """Replace every row by the centroid of its cluster. Clusters have fewer than 2k rows, so no
-    key is hot; Spark broadcasts the centroids when they are small."""
-    return clusters.select(rid, *by).join(centroids, by).drop("cluster_id")
+    key is hot. They are dealt over all shuffle partitions, for the noise that each row is given after."""
+    return spread(clusters.select(rid, *by), *by).join(centroids, by).drop("cluster_id")
 
 
 def noise_scale(qi: QI, eps: Column | float, k: Column | int, n: int | None = None, sensitivity: str = "per_cluster"):
