@@ -86,6 +86,60 @@ def test_closest_records_brute_force(spark, monkeypatch, cell_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("pairs, stretch", [(linkage.LINE_PAIRS, linkage.STRETCH), (linkage.LINE_PAIRS, 7), (-1, 7)])
+def test_closest_records_build_no_pairs(spark, monkeypatch, pairs, stretch):
+    """Closest records are found along lines, on the own one and on others; the grid finds the same."""
+    monkeypatch.setattr(linkage, "LINE_PAIRS", pairs)
+    monkeypatch.setattr(linkage, "STRETCH", stretch)
+    monkeypatch.setattr(linkage, "FIRST_LINES", 1)
+    if pairs > 0:
+        monkeypatch.setattr(linkage, "_neighbours", lambda *a: pytest.fail("pairs of records"))
+    rng = random.Random(11)
+    orig = [(rng.randint(0, 90), rng.choice([1, 2, 3, 5, 7]), rng.choice([1, 4])) for _ in range(70)] + [(40, 2, 4)] * 12
+    orig += [(None, 1, 1)]
+    column = lambda j: [r[j] for r in orig if r[j] is not None]
+    pick = lambda *ks: tuple(rng.choice(column(j)) if k is None else k for j, k in enumerate(ks))
+    releases = {
+        "mixed": [pick(None, None, None) for _ in orig],
+        "few": [pick(None, 7, None) if i % 9 else (None, 3, 1) for i in range(len(orig))],  # own lines are empty
+        "heap": [(orig[0][0], 1, 1)] * 30 + [pick(None, 3, 4)] * 5,
+    }
+    raw = spark.createDataFrame([(i, *r) for i, r in enumerate(orig)], "rid long, x long, y long, v long")
+    mapped = spark.createDataFrame([(name, i, *r) for name, rs in releases.items() for i, r in enumerate(rs)],
+                                   "model string, rid long, x long, y long, v long")
+    last = [{v: sum(w <= v for w in column(j)) for v in column(j)} for j in range(3)]
+    # an unknown number comes before all known ones
+    last[0] = {v: n + 1 for v, n in last[0].items()}
+    vec = lambda r: None if None in r else [last[j][v] for j, v in enumerate(r)]
+    want, pairs_ = {}, set()
+    for name, rs in releases.items():
+        for i, r in enumerate(orig):
+            ds = {k: max(abs(a - b) for a, b in zip(vec(r), vec(z))) for k, z in enumerate(rs) if vec(r) and vec(z)}
+            if ds:
+                near = min(ds.values())
+                want[name, i] = (near, list(ds.values()).count(near))
+                pairs_ |= {(name, i, near, k) for k, d in ds.items() if d == near}
+    qis = [X, Y, QI("v", "number", 0.0, 10.0, 0, widths=(5.0,))]
+    got = linkage.closest_records(raw, mapped, qis, ["model"]).collect()
+    assert {(r["model"], r["rid"]): (r["distance"], r["n_closest"]) for r in got} == want and len(got) == len(want)
+    got = linkage.closest_records(raw, mapped, qis, ["model"], expand=True).collect()
+    assert {(r["model"], r["rid"], r["distance"], r["match_rid"]) for r in got} == pairs_ and len(got) == len(pairs_)
+
+
+@pytest.mark.parametrize("expand", [False, True])
+def test_closest_records_of_a_release_rank_the_originals_once(spark, raw, color, monkeypatch, expand):
+    for qis in ([X, color], [X]):
+        anon = classes.release_cells(raw, qis, ["rid"]).withColumn("x", ((F.col("x").cast("int") * 7 + 13) % 1000).cast("string"))
+        want = linkage.closest_records(raw, ranks.reverse_map(raw, anon, qis), qis, expand=expand)
+        asked, value_ranks = [], ranks.value_ranks
+        with monkeypatch.context() as patch:
+            for module in (linkage, ranks):
+                patch.setattr(module, "value_ranks", lambda df, *a, **k: asked.append(df) or value_ranks(df, *a, **k))
+            got = linkage.closest_released(raw, anon, qis, expand=expand)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+        assert sum(df is raw for df in asked) == 1
+
+
 def test_linkage_of_raw_is_share_of_unique_vectors(spark, raw, color):
     qis = [X, Y, color]
     rows = [tuple(r)[1:] for r in raw.collect()]

@@ -243,9 +243,7 @@ def i6(spark, sf):
 @query("i7_closest_records", MAPPED + """SELECT rid, any_value(distance) AS distance, count(*) AS n_closest
  FROM pr JOIN mn USING (rid) WHERE d = distance GROUP BY rid""")
 def i7(spark, sf):
-    df, qis = fx.customer_qi(spark, sf), fx.customer_qis(spark, sf)
-    mapped = ranks.reverse_map(df, fx.masked_qi(spark, sf), qis)
-    return linkage.closest_records(df, mapped, qis)
+    return linkage.closest_released(fx.customer_qi(spark, sf), fx.masked_qi(spark, sf), fx.customer_qis(spark, sf))
 
 
 @query("i7_closest_records_expanded", MAPPED + """SELECT rid, distance, zid AS match_rid FROM pr JOIN mn USING (rid) WHERE d = distance""")
