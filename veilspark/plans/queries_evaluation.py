@@ -248,9 +248,7 @@ def i7(spark, sf):
 
 @query("i7_closest_records_expanded", MAPPED + """SELECT rid, distance, zid AS match_rid FROM pr JOIN mn USING (rid) WHERE d = distance""")
 def i7_expanded(spark, sf):
-    df, qis = fx.customer_qi(spark, sf), fx.customer_qis(spark, sf)
-    mapped = ranks.reverse_map(df, fx.masked_qi(spark, sf), qis)
-    return linkage.closest_records(df, mapped, qis, expand=True)
+    return linkage.closest_released(fx.customer_qi(spark, sf), fx.masked_qi(spark, sf), fx.customer_qis(spark, sf), expand=True)
 
 
 LINKAGE = MAPPED + """, one AS (SELECT rid, any_value(zid) AS zid FROM pr JOIN mn USING (rid) WHERE d = distance GROUP BY rid HAVING count(*) = 1)
