@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.cells import round_clamp
 from veilspark.functions.noise import gumbel, laplace, uniform
-from veilspark.operators import classes, lattice, microaggregation, release, semantic_noise as sn
+from veilspark.operators import classes, lattice, metrics, microaggregation, release, semantic_noise as sn
 from veilspark.operators.safepub import class_size_for, safepub
 from veilspark.operators.taxonomy import Taxonomy
+from veilspark.runtime import materialise
 from veilspark.sources.hierarchy import lines_from_list
 from veilspark.sources.tables import fingerprint
 from veilspark.spec import QI
@@ -221,3 +222,20 @@ def test_squared_terms_of_known_and_unknown_cells(spark, city):
                 assert term == pytest.approx((math.log2(1 + (all_ - both) / all_) / city.span) ** 2)
             else:
                 assert term == (1.0 if cell == "*" else None)
+
+
+def test_tables_of_records_are_not_broadcast(spark, people, city, monkeypatch):
+    """Their written files are far below the broadcast threshold, however many rows those hold."""
+    qis = [city, AGE]
+    joins = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    rows, clusters = materialise(people), materialise(microaggregation.microaggregate(people, qis, 20, "ordered"))
+    centroids = materialise(release.centroid_table(people, clusters, qis))
+    assert any("SortMergeJoin [rid" in x for x in joins(release.centroid_table(rows, clusters, [AGE])))
+    applied = release.apply_centroids(clusters, centroids)
+    assert any("SortMergeJoin [cluster_id" in x for x in joins(applied)) and applied.count() == 600
+    anon = materialise(classes.release_cells(people, qis, ["rid"]))
+    assert any("SortMergeJoin [rid" in x for x in joins(metrics.sse(rows, anon, qis)))
+    # classes below k that were counted as too many to broadcast
+    monkeypatch.setattr(classes, "BROADCAST_ROWS", 0)
+    out = classes.suppress_small(anon.drop("rid"), qis, 30)
+    assert any("SortMergeJoin" in x and "LeftOuter" in x for x in joins(out)) and out.count() == 600

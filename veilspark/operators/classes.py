@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.cells import band, cell_text
 from veilspark.functions.noise import uniform
 from veilspark.operators.taxonomy import at_level
-from veilspark.runtime import BROADCAST_ROWS, HOT_SHARE, materialise, null_safe_join
+from veilspark.runtime import BROADCAST_ROWS, HOT_SHARE, by_shuffle, materialise, null_safe_join
 from veilspark.spec import QI, STAR, names
 
 
@@ -74,7 +74,7 @@ def suppress_small(df: DataFrame, qis: list[QI], k: int | Column, by: list[str]
         hot = F.broadcast(classes.filter(F.col("class_size") > limit).select(*keys))
         safe = null_safe_join(df, hot, keys, "left_semi").withColumn("_small", F.lit(None).cast("boolean"))
         rest = null_safe_join(df, hot, keys, "left_anti")
-        flagged = safe.unionByName(null_safe_join(rest, below, keys, "left"))
+        flagged = safe.unionByName(null_safe_join(rest, by_shuffle(below), keys, "left"))
     return flagged.select(*[
         F.when(F.col("_small"), F.lit(STAR)).otherwise(F.col(c)).alias(c) if c in names(qis) else F.col(c)
         for c in df.columns

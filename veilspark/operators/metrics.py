@@ -12,7 +12,7 @@ from veilspark.functions.cells import cell_text, grid_leaves
 from veilspark.functions.distance import ancestor_distance, cell_distance, numeric_distance
 from veilspark.operators.classes import all_suppressed, equivalence_classes
 from veilspark.operators.taxonomy import node_facts
-from veilspark.runtime import materialise, small
+from veilspark.runtime import by_shuffle, materialise, small
 from veilspark.spec import QI, STAR
 
 PENALISED = ("granularity", "intensity", "discernibility", "entropy")
@@ -201,7 +201,7 @@ def sse(raw: DataFrame, anon: DataFrame, qis: list[QI], by: list[str] | None = N
     """
     by = by or []
     raw = raw.select(rid, *[cell_text(F.col(q.name), q).alias(f"_raw_{q.name}") for q in qis])
-    both = anon.select(*by, rid, *[F.col(q.name).cast("string").alias(q.name) for q in qis]).join(raw, rid)
+    both = anon.select(*by, rid, *[F.col(q.name).cast("string").alias(q.name) for q in qis]).join(by_shuffle(raw), rid)
     # one cell per category and one for all numbers of a row
     numbers = [q for q in qis if not q.is_category]
     categories = [q for q in qis if q.is_category]

@@ -12,7 +12,7 @@ from veilspark.functions.noise import fresh_seed, gumbel, laplace, uniform
 from veilspark.operators.marginality import categorical_mean, least_marginal, marginality, value_counts
 from veilspark.operators.microaggregation import microaggregate, microaggregate_each
 from veilspark.operators.taxonomy import leaf_domain
-from veilspark.runtime import materialise, spread
+from veilspark.runtime import by_shuffle, materialise, spread
 from veilspark.sources.tables import attach_grid
 from veilspark.spec import QI, STAR, names
 
@@ -95,7 +95,7 @@ def centroid_table(
     cluster whose values are all NULL or outside the hierarchy gets ``*``; with ``dp`` it draws from
     the whole domain alike.
     """
-    members = df.select(rid, *names(qis)).join(clusters, rid)
+    members = df.select(rid, *names(qis)).join(by_shuffle(clusters), rid)
     categories = [q for q in qis if q.is_category]
     aggs = [F.count(F.lit(1)).alias("_n")]
     for q in qis:
@@ -130,7 +130,7 @@ def apply_centroids(clusters: DataFrame, centroids: DataFrame, rid: str = "rid",
                     by: list[str] = ["cluster_id"]) -> DataFrame:
     """Replace every row by the centroid of its cluster. Clusters have fewer than 2k rows, so no
     key is hot. They are dealt over all shuffle partitions, for the noise that each row is given after."""
-    return spread(clusters.select(rid, *by), *by).join(centroids, by).drop("cluster_id")
+    return by_shuffle(spread(clusters.select(rid, *by), *by)).join(centroids, by).drop("cluster_id")
 
 
 def noise_scale(qi: QI, eps: Column | float, k: Column | int, n: int | None = None, sensitivity: str = "per_cluster"):

@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts lineage, survives lost executors, and gives the optimizer true sizes, so its own
-    broadcast threshold decides the joins downstream.
+    Cuts lineage, survives lost executors, and gives the optimizer sizes, so its own broadcast
+    threshold decides the joins downstream. They are sizes of compressed files: see ``by_shuffle``.
     """
     path = f"{shared_dir(df.sparkSession)}/veilspark/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -46,6 +46,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Shuffle hint for a join with ``df``, which grows with the records. The optimizer takes the compressed
+    files of a written table for the size of its rows: a byte may hold a row, and millions of them would be
+    collected and broadcast by the driver."""
+    return df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
