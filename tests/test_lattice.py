@@ -190,6 +190,14 @@ def test_sweeps_over_attributes_and_disclosure(people, city):
     assert all(r["score"] >= 0 for r in risk)
 
 
+def test_last_plan_of_an_attribute_sweep_holds_scores_only(people, city):
+    out = sweeps.sweep_attributes(people, [city, AGE], [["city"], ["age"]], 20, seed="s", metrics=["sse"], steps=12, strategy="ordered")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted((r["subset"], r["model"], r["metric"]) for r in out.collect()) == [
+        (s, m, "sse") for s in ("age", "city") for m in ("MicroDP", "SafePub")]
+
+
 def test_codes_and_shares_of_numbers_are_those_of_their_text(spark):
     qis = [QI("a", "number", -10.0, 30.0, 2, widths=(0.5, 7.0, 15.0)), QI("b", "number", 1.0, 50.0, 0, integer=True, widths=(10.0,))]
     rows = [(None, None), *[(x, y) for x in (-10.0, -9.51, -0.01, 0.0, 4.996, 29.99, 30.0, 44.0) for y in (1.0, 2.5, 50.0, 70.0)]]

@@ -78,8 +78,9 @@ def _k_of(per_model: dict[str, int | dict[float, int]]):
     return out
 
 
-def _scored(releases: DataFrame, df: DataFrame, qis: list[QI], metrics: list[str], per_model, reference) -> DataFrame:
-    scores = score_releases(materialise(releases), df, qis, metrics, _k_of(per_model))
+def _scored(releases: list[DataFrame], df: DataFrame, qis: list[QI], metrics: list[str], per_model, reference) -> DataFrame:
+    written = reduce(DataFrame.unionByName, [materialise(r) for r in releases])
+    scores = score_releases(written, df, qis, metrics, _k_of(per_model))
     return mean_std(normalise_scores(scores, reference))
 
 
@@ -104,7 +105,7 @@ def sweep_epsilon(df: DataFrame, qis: list[QI], eps: list[float], k: int, delta:
         microdp_releases(df, qis, eps, k, seed, iterations, strategy)
         .unionByName(safepub_releases(df, qis, [(e, e, delta) for e in eps], seed, iterations, steps=steps))
         .unionByName(kanon_release(df, qis)))
-    return _scored(releases, df, qis, metrics, per_model, reference)
+    return _scored([releases], df, qis, metrics, per_model, reference)
 
 
 def sweep_optimised(df: DataFrame, qis: list[QI], eps: list[float], models: list[str], delta: float = 1e-5,
@@ -117,7 +118,7 @@ def sweep_optimised(df: DataFrame, qis: list[QI], eps: list[float], models: list
     per_model = {model: k for model in models}
     reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
     releases = optimised_releases(df, qis, [(e, e, delta) for e in eps], seed, iterations, models, steps)
-    return _scored(releases, df, qis, metrics, per_model, reference)
+    return _scored([releases], df, qis, metrics, per_model, reference)
 
 
 def sweep_k_delta(df: DataFrame, qis: list[QI], ks: list[int], deltas: list[float], eps: float = 1.0,
@@ -129,7 +130,7 @@ def sweep_k_delta(df: DataFrame, qis: list[QI], ks: list[int], deltas: list[floa
     reference = materialise(reference_scores(df, qis, metrics, _ks(per_model)))
     releases = microdp_releases(df, qis, [eps], ks, seed, iterations, strategy).unionByName(
         safepub_releases(df, qis, [(d, eps, d) for d in deltas], seed, iterations, steps=steps))
-    return _scored(releases, df, qis, metrics, per_model, reference)
+    return _scored([releases], df, qis, metrics, per_model, reference)
 
 
 def sweep_attributes(df: DataFrame, qis: list[QI], subsets: list[list[str]], k: int, eps: float = 1.0,
@@ -143,10 +144,12 @@ def sweep_attributes(df: DataFrame, qis: list[QI], subsets: list[list[str]], k:
     for attrs in subsets:
         sub, chosen = attribute_subset(df, qis, attrs)
         mine = reference.filter(F.col("subset") == subset_name(attrs)).drop("subset")
-        releases = microdp_releases(sub, chosen, [eps], k, seed, iterations, strategy).unionByName(
-            safepub_releases(sub, chosen, [(eps, eps, delta)], seed, iterations, steps=steps))
-        releases = releases.withColumn("param", F.lit(float(len(attrs))))
-        parts.append(_scored(releases, sub, chosen, metrics, per_model, mine).withColumn("subset", F.lit(subset_name(attrs))))
+        models = [microdp_releases(sub, chosen, [eps], k, seed, iterations, strategy),
+                  safepub_releases(sub, chosen, [(eps, eps, delta)], seed, iterations, steps=steps)]
+        releases = [r.withColumn("param", F.lit(float(len(attrs)))) for r in models]
+        # written one by one: the driver holds the plan of one model or score, however many subsets there are
+        scores = materialise(_scored(releases, sub, chosen, metrics, per_model, mine))
+        parts.append(scores.withColumn("subset", F.lit(subset_name(attrs))))
     return reduce(DataFrame.unionByName, parts)
 
 
